@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import langid, linededup, mixing, packing
+from quire.llm import langid, linededup, minhash, mixing, packing
 
 
 def queries():
     return {
+        "op1_minhash": minhash.query,
         "op3_mixing": mixing.query,
         "op4_linededup": linededup.query,
         "op6_packing": packing.query,
