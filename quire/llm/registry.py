@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import langid, linededup, minhash, mixing, packing
+from quire.llm import ctw, langid, linededup, minhash, mixing, packing
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_linededup": linededup.query,
         "op6_packing": packing.query,
         "op7_langid": langid.query,
+        "op8_lm": ctw.query,
     }
 
 
