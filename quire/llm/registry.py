@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quire.llm import ctw, langid, linededup, minhash, mixing, packing
+from quire.llm import chat, ctw, langid, linededup, minhash, mixing, packing, urlfilter
 
 
 def queries():
     return {
         "op1_minhash": minhash.query,
+        "op2_chat": chat.query,
         "op3_mixing": mixing.query,
         "op4_linededup": linededup.query,
+        "op5_urlfilter": urlfilter.query,
         "op6_packing": packing.query,
         "op7_langid": langid.query,
         "op8_lm": ctw.query,
@@ -20,4 +22,5 @@ def oracle_sql():
     return {
         "op3_mixing": mixing.SQL,
         "op4_linededup": linededup.SQL,
+        "op5_urlfilter": urlfilter.SQL,
     }
