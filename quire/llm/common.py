@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared(spark: SparkSession, value) -> Callable[[], object]:
+    """A function that gives value on any executor. It travels as bytes that hold the code of this
+    package's classes too. For what is small, or grows far slower than the data."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return get
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A column name for each of names that df doesn't have yet, in either case of letters."""
     taken = {c.lower() for c in df.columns}

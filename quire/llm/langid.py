@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh
+from quire.llm.common import fresh, shared
 
 #: The bound on labelled documents that the model is fitted on, for each language.
 SAMPLE = 400
@@ -124,12 +124,12 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text", min_margin: fl
     name. Rows, repeated ones and null ids too, are kept one by one; where docs has columns of
     these names, the new ones have underscores before them. An empty table gives an empty table.
     """
-    share = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, not by docs
+    share = shared(docs.sparkSession, model)  # bounded by the sample, not by docs
     names = fresh(docs, "language", "margin", "accepted")
     none = (UNKNOWN, 0.0, False)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = share.value
+        model = share()
         memo: dict[str, int] = {}
         table, used = np.zeros((1 << 12, len(model.langs))), 0
 

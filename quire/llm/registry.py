@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, ctw, langid, linededup, minhash, mixing, packing, urlfilter
+from quire.llm import ann, chat, ctw, langid, linededup, minhash, mixing, packing, urlfilter
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_packing": packing.query,
         "op7_langid": langid.query,
         "op8_lm": ctw.query,
+        "op9_ann": ann.query,
     }
 
 
