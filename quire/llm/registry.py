@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, chat, ctw, langid, linededup, minhash, mixing, packing, urlfilter
+from quire.llm import ann, chat, ctw, embdedup, langid, linededup, minhash, mixing, packing, urlfilter
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_langid": langid.query,
         "op8_lm": ctw.query,
         "op9_ann": ann.query,
+        "op10_embdedup": embdedup.query,
     }
 
 
