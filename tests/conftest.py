@@ -1,8 +1,10 @@
 import os
 import sys
 
+
 import pytest
 
+os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
