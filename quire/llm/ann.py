@@ -185,14 +185,14 @@ def search(index: Index, shard: int, leaf: int, k: int, confidence: float) -> tu
     q = np.array(x[me])
     q64, n2 = q.astype(np.float64), (q**2).sum(1)
     p = q @ projection(index.dim, index.m, index.seed)
-    n = len(q)
+    n, near = len(q), 1e-5 * float((p**2).sum(1).max())  # what rounding may add to the distance of a copy
     dist, found = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
     heap = [(float(g), -1, s, -1) for s, g in enumerate(_gap(p, index.lo, index.hi).min(0))]
     heapq.heapify(heap)
     gaps: dict[int, np.ndarray] = {}
     while heap:
         bound, _, s, f = heapq.heappop(heap)
-        if bound > stop * dist[:, -1].max():
+        if bound > stop * dist[:, -1].max() + near:
             break
         xs, is_, ss, lo, hi = index.shard(s)
         if f < 0:
@@ -200,7 +200,7 @@ def search(index: Index, shard: int, leaf: int, k: int, confidence: float) -> tu
             for g, b in enumerate(gaps[s].min(0)):
                 heapq.heappush(heap, (float(b), 0, s, g))
             continue
-        rows = np.flatnonzero(gaps[s][:, f] <= stop * dist[:, -1])
+        rows = np.flatnonzero(gaps[s][:, f] <= stop * dist[:, -1] + near)
         if not len(rows):
             continue
         at = slice(int(ss[f]), int(ss[f + 1]))
