@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text", min_margin: fl
             if len(memo) > 400_000:
                 memo.clear()
                 used = 0
-            for w in tally.keys() - memo.keys():
+            for w in [w for w in tally if w not in memo]:
                 if used == len(table):
                     table = np.concatenate([table, np.zeros_like(table)])
                 table[used] = model.word(w)
