@@ -39,7 +39,7 @@ def test_against_brute_force(spark):
 
 
 def test_pruning_keeps_the_nearest():
-    x = embdedup.unit(data(300))
+    x = embdedup.unit(data()[:300])
     lists, medoid = embdedup.pruned(x)
     s = x @ x.T
     np.fill_diagonal(s, -9)
