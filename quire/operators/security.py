@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry
@@ -109,10 +109,17 @@ def verify(docs: DataFrame, column: str, key: str, not_before: str = "not_before
     return docs.withColumns({"integrity_ok": same, "certificate_valid": dated, "message": message})
 
 
-def annotations_of_removed(removed: DataFrame) -> DataFrame:
-    """(page, n): how many items each page lost."""
-    return removed.groupBy(*PAGE).agg(F.count("*").alias("n"))
+def certificate_status(certs: DataFrame, at: Column | None = None) -> DataFrame:
+    """certs (subject, issuer, not_before, not_after) with self_signed and date_valid (at a time, else now)."""
+    now = F.current_timestamp() if at is None else at
+    return certs.withColumns({"self_signed": F.col("subject") == F.col("issuer"), "date_valid": now.between(F.col("not_before"), F.col("not_after"))})
+
+
+def long_term(signatures: DataFrame) -> DataFrame:
+    """signatures (has_timestamp, has_crl, has_ocsp) with ltv: a timestamp and one kind of revocation data."""
+    return signatures.withColumn("ltv", F.col("has_timestamp") & (F.col("has_crl") | F.col("has_ocsp")))
 
 
-def ranked_hits(found: DataFrame) -> DataFrame:
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE).orderBy("line_idx", "span_idx")))
+def covers_all(signatures: DataFrame) -> DataFrame:
+    """signatures (a, la, b, lb, size) with covers_whole_file: two ranges from 0 to the end with one hole."""
+    return signatures.withColumn("covers_whole_file", (F.col("a") == 0) & (F.col("a") + F.col("la") <= F.col("b")) & (F.col("b") + F.col("lb") == F.col("size")))

@@ -100,3 +100,22 @@ def action_category(action: Column) -> Column:
             hit |= t.contains(w)
         out = F.when(hit, name).otherwise(out)
     return out
+
+
+def struct_tree(elements: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(elements reached, their headings with level, figures without text) of a structure tree.
+
+    elements (id, s, alt) and edges (src, dst); what roots don't lead to doesn't count, and an
+    element that is reached twice counts once.
+    """
+    from quire.operators.pageset import closure
+
+    reached = elements.join(closure(edges, roots), "id", "left_semi")
+    headings = reached.filter(F.col("s").rlike("^H[1-6]$")).withColumn("level", F.substring("s", 2, 1).cast("int"))
+    return reached, headings, reached.filter((F.col("s") == "Figure") & F.col("alt").isNull())
+
+
+def require_format(files: DataFrame, step: str, format: str = "pdf") -> DataFrame:
+    """files (format) with error where a step is for another format."""
+    message = F.concat(F.lit(f"{step} is for {format.upper()} files, not "), F.col("format"))
+    return files.withColumn("error", F.when(F.col("format") != format, message))
