@@ -1,18 +1,21 @@
-"""PDF files: objects, text with places, rule lines, and a plain writer. Encrypted files are refused."""
+"""PDF files: objects, text with places, rule lines, and a plain writer; RC4 and AES-128 with a password."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from math import ceil
 
+from quire.sources import crypt
+
 LIMIT = 500 << 20
 _DELIM = b"()<>[]{}/%"
 _SPACE = b"\0\t\n\f\r "
 
 
 class PdfError(ValueError):
-    """code: not_a_pdf, encrypted, too_large, no_such_page or malformed."""
+    """code: not_a_pdf, password_required, wrong_password, unsupported_encryption, too_large or malformed."""
 
     def __init__(self, code: str, detail: str = ""):
         super().__init__(f"{code}: {detail}" if detail else code)
@@ -195,7 +198,9 @@ class Pdf:
     """A file's objects. They are found by scanning for their heads, so a damaged cross-reference doesn't
     matter; of several with one number the last counts. Object streams are unpacked."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: str | None = None):
+        self.key: bytes | None = None
+        self.aes = False
         if b"%PDF" not in data[:1024]:
             raise PdfError("not_a_pdf")
         self.data, self.places, self.cache, self.trailer = data, {}, {}, {}
@@ -205,19 +210,49 @@ class Pdf:
         for m in re.finditer(rb"trailer\s*<<", data):
             found = Lexer(data, m.end() - 2).next()
             self.trailer |= found if isinstance(found, dict) else {}
+        for m in re.finditer(rb"/Type\s*/XRef", data):  # a cross-reference stream is never encrypted
+            at = data.rfind(b" obj", 0, m.start())
+            found = Lexer(data, at + 4).next() if at >= 0 else None
+            if isinstance(found, dict):
+                self.trailer |= {k: v for k, v in found.items() if k in ("Root", "Info", "Encrypt", "ID")}
+        self._unlock(password)
         for num in list(self.places):
             s = self.object(num)
-            if isinstance(s, Stream) and s.info.get("Type") == "XRef":
-                self.trailer |= {k: v for k, v in s.info.items() if k in ("Root", "Info", "Encrypt")}
-            elif isinstance(s, Stream) and s.info.get("Type") == "ObjStm":
+            if isinstance(s, Stream) and s.info.get("Type") == "ObjStm":
                 body = self.decoded(s)
                 lex = Lexer(body)
                 heads = [lex.next() for _ in range(2 * int(self.get(s.info, "N") or 0))]
                 for k, (n, at) in enumerate(zip(heads[::2], heads[1::2])):
                     if isinstance(n, int) and n not in self.places:
                         self.cache[n] = Lexer(body, int(self.get(s.info, "First") or 0) + at).next()
-        if "Encrypt" in self.trailer:
-            raise PdfError("encrypted")
+    def _unlock(self, password: str | None) -> None:
+        e = self.get(self.trailer, "Encrypt")
+        if not isinstance(e, dict):
+            return
+        r, v = self.get(e, "R"), self.get(e, "V")
+        method = self.get(self.get(self.get(e, "CF") or {}, str(self.get(e, "StmF") or "StdCF")) or {}, "CFM")
+        if self.get(e, "Filter") != "Standard" or v not in (1, 2, 4) or r not in (2, 3, 4) or (v == 4 and method not in ("V2", "AESV2")):
+            raise PdfError("unsupported_encryption")
+        ids = self.get(self.trailer, "ID") or [b""]
+        length = 16 if v == 4 else int(self.get(e, "Length") or 40) // 8
+        key = crypt.unlock((password or "").encode("cp1252", "replace"), self.get(e, "O"), self.get(e, "U"), int(self.get(e, "P")), self.resolve(ids[0]), r, length, self.get(e, "EncryptMetadata") is not False)
+        if key is None:
+            raise PdfError("password_required" if password is None else "wrong_password")
+        own = self.trailer.get("Encrypt")
+        self.cache.clear()
+        self.key, self.aes, self.plain = key, method == "AESV2", own[0] if isinstance(own, Ref) else None
+
+    def _reveal(self, v, num: int):
+        """A value with its strings decrypted."""
+        if isinstance(v, bytes):
+            return crypt.reveal(self.key, num, v, self.aes)
+        if isinstance(v, Ref):
+            return v
+        if isinstance(v, list):
+            return [self._reveal(x, num) for x in v]
+        if isinstance(v, dict):
+            return {k: self._reveal(x, num) for k, x in v.items()}
+        return v
 
     def object(self, num: int):
         if num not in self.cache and num in self.places:
@@ -232,6 +267,12 @@ class Pdf:
                     n = self.resolve(v.get("Length"))
                     end = start + n if isinstance(n, int) and re.match(rb"\s*endstream", self.data[start + n : start + n + 20]) else self.data.find(b"endstream", start)
                     v = Stream(v, self.data[start : end if end >= 0 else len(self.data)])
+            if self.key is not None and num != self.plain:
+                if isinstance(v, Stream):
+                    if v.info.get("Type") != "XRef":
+                        v = Stream(self._reveal(v.info, num), crypt.reveal(self.key, num, v.raw, self.aes))
+                else:
+                    v = self._reveal(v, num)
             self.cache[num] = v
         return self.cache.get(num)
 
@@ -555,9 +596,9 @@ def form_nodes(pdf: Pdf) -> list[dict]:
 INFO = {"Title": "title", "Author": "author", "Subject": "subject", "Keywords": "keywords", "Creator": "creator", "Producer": "producer", "CreationDate": "creation_date", "ModDate": "modification_date"}
 
 
-def read(content: bytes) -> dict:
+def read(content: bytes, password: str | None = None) -> dict:
     """Pages, spans, segments, metadata, outline, annotations, images and form of a file."""
-    pdf = Pdf(content)
+    pdf = Pdf(content, password)
     info = pdf.get(pdf.trailer, "Info") or {}
     version = re.search(rb"%PDF-([0-9.]+)", content[:1024])
     meta = {f: t for k, f in INFO.items() if (t := pdf_text(pdf.get(info, k)))} | ({"pdf_version": version[1].decode()} if version else {})
@@ -591,31 +632,51 @@ def _string(s: str) -> bytes:
     return b"(" + raw.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
 
 
-def write(pages: list[dict], metadata: dict[str, str] | None = None, compress: bool = True) -> bytes:
-    """A file of pages {width, height, spans [{text, x, y, font_size, bold}], segments [(ax, ay, bx, by)]}."""
-    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold /Encoding /WinAnsiEncoding >>"]
+def write(pages: list[dict], metadata: dict[str, str] | None = None, compress: bool = True, encrypt: dict | None = None) -> bytes:
+    """A file of pages {width, height, spans [{text, x, y, font_size, bold}], segments [(ax, ay, bx, by)]}.
+
+    encrypt: {user, owner, algorithm (rc4 or aes128), permissions (the signed number)}.
+    """
+    objects: list[tuple[bytes, bytes | None]] = [(b"<< /Type /Catalog /Pages 2 0 R >>", None), (b"", None), (b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", None), (b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold /Encoding /WinAnsiEncoding >>", None)]
+    key, aes, trailer = None, False, b""
+    if encrypt is not None:
+        aes = encrypt.get("algorithm", "aes128") == "aes128"
+        file_id, p = hashlib.md5(repr((metadata, len(pages))).encode()).digest(), int(encrypt.get("permissions", -4))
+        user, owner = (str(encrypt.get(k) or "").encode("cp1252", "replace") for k in ("user", "owner"))
+        revision = 4 if aes else 3
+        o = crypt.owner_entry(owner, user, revision, 16)
+        key = crypt.file_key(user, o, p, file_id, revision, 16)
+        u = crypt.user_entry(key, file_id, revision)
     kids = []
-    for p in pages:
-        body = [b"%g %g m %g %g l S" % s for s in p.get("segments", [])]
-        for s in p.get("spans", []):
+    for p_ in pages:
+        body = [b"%g %g m %g %g l S" % s for s in p_.get("segments", [])]
+        for s in p_.get("spans", []):
             body.append(b"BT /%s %g Tf 1 0 0 1 %g %g Tm %s Tj ET" % (b"F2" if s.get("bold") else b"F1", s.get("font_size", 12), s["x"], s["y"], _string(s["text"])))
-        raw = b"\n".join(body)
-        head = b""
+        raw, head = b"\n".join(body), b""
         if compress:
             raw, head = zlib.compress(raw), b" /Filter /FlateDecode"
-        objects.append(b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(raw), head, raw))
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %g %g] /Contents %d 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (p.get("width", 595), p.get("height", 842), len(objects)))
+        objects.append((head, raw))
+        objects.append((b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %g %g] /Contents %d 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (p_.get("width", 595), p_.get("height", 842), len(objects)), None))
         kids.append(len(objects))
-    objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
+    objects[1] = (b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids)), None)
     known = {f: k for k, f in INFO.items()}
-    objects.append(b"<< " + b" ".join(b"/%s %s" % (known[f].encode(), _string(v)) for f, v in (metadata or {}).items() if f in known and v) + b" >>")
+    info = len(objects) + 1
+    said = lambda v: _string(v) if key is None else b"<%s>" % crypt.seal(key, info, v.encode("cp1252", "replace"), aes).hex().encode()
+    objects.append((b"<< " + b" ".join(b"/%s %s" % (known[f].encode(), said(v)) for f, v in (metadata or {}).items() if f in known and v) + b" >>", None))
+    if key is not None:
+        kind = b"/V 4 /R 4 /Length 128 /CF << /StdCF << /CFM /AESV2 /AuthEvent /DocOpen /Length 16 >> >> /StmF /StdCF /StrF /StdCF" if aes else b"/V 2 /R 3 /Length 128"
+        objects.append((b"<< /Filter /Standard %s /O <%s> /U <%s> /P %d >>" % (kind, o.hex().encode(), u.hex().encode(), p), None))
+        trailer = b" /Encrypt %d 0 R /ID [<%s> <%s>]" % (len(objects), file_id.hex().encode(), file_id.hex().encode())
     out, places = bytearray(b"%PDF-1.7\n"), []
-    for i, o in enumerate(objects, 1):
+    for i, (head, raw) in enumerate(objects, 1):
         places.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (i, o)
+        if raw is not None:
+            raw = raw if key is None else crypt.seal(key, i, raw, aes)
+            head = b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(raw), head, raw)
+        out += b"%d 0 obj\n%s\nendobj\n" % (i, head)
     start = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
-    out += b"trailer\n<< /Size %d /Root 1 0 R /Info %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(objects), start)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % at for at in places)
+    out += b"trailer\n<< /Size %d /Root 1 0 R /Info %d 0 R%s >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, info, trailer, start)
     return bytes(out)
 
 

@@ -70,7 +70,7 @@ def markdown_dict(content: bytes) -> dict:
 READERS = {"pdf": pdf.read, "docx": office.docx, "xlsx": office.xlsx, "pptx": office.pptx, "epub": office.epub, "html": html_dict, "markdown": markdown_dict}
 
 
-def parse(content: bytes | None, fmt: str | None) -> dict:
+def parse(content: bytes | None, fmt: str | None, password: str | None = None) -> dict:
     """One document as a dict of PARSED's fields; what goes wrong is in error, with its code."""
     fmt = fmt if fmt in READERS else detect.of_bytes(content)
     out: dict = {k: None for k in ("page_count", "text", "metadata", "error")} | {"format": fmt} | {p: [] for p in PARTS}
@@ -79,7 +79,9 @@ def parse(content: bytes | None, fmt: str | None) -> dict:
             raise ValueError("there is no content")
         if fmt not in READERS:
             raise ValueError("the format isn't known")
-        doc = READERS[fmt](content)
+        if password is not None and fmt != "pdf":
+            raise ValueError("only PDF files have passwords")
+        doc = pdf.read(content, password) if fmt == "pdf" else READERS[fmt](content)
     except Exception as e:  # a bad file is a row with an error, never a failed job
         return out | {"error": {"code": getattr(e, "code", "malformed"), "message": str(e)[:500]}}
     out |= {k: doc.get(k) for k in ("page_count", "text", "metadata")}
@@ -101,12 +103,12 @@ def parse(content: bytes | None, fmt: str | None) -> dict:
     return out
 
 
-def parse_column(df: DataFrame, content: str = "content", fmt: str | None = None) -> DataFrame:
+def parse_column(df: DataFrame, content: str = "content", fmt: str | None = None, password: str | None = None) -> DataFrame:
     """df with doc, the struct PARSED of each content."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for contents, formats in batches:
-            rows = [parse(None if c is None else bytes(c), f) for c, f in zip(contents, formats)]
+            rows = [parse(None if c is None else bytes(c), f, password) for c, f in zip(contents, formats)]
             for r in rows:
                 for p in PARTS:
                     r[p] = [{k: x.get(k) for k in _KEYS[p]} for x in r[p]]
@@ -190,12 +192,12 @@ class Documents:
         return self.parsed.select("doc_id", F.explode("doc.metadata").alias("field", "value"))
 
 
-def open_files(spark: SparkSession, path: str, fmt: str | None = None) -> Documents:
+def open_files(spark: SparkSession, path: str, fmt: str | None = None, password: str | None = None) -> Documents:
     """The files that a path or glob names; no match is an error of Spark. Content tells the format before the name does."""
     files = spark.read.format("binaryFile").load(path)
     by_name = detect.by_extension(F.col("path"))
     hint = F.lit(fmt) if fmt else F.when(by_name.isin("markdown"), by_name)
-    return Documents(parse_column(files.select(F.col("path").alias("doc_id"), "content", hint.alias("_fmt")), fmt="_fmt").drop("content", "_fmt"))
+    return Documents(parse_column(files.select(F.col("path").alias("doc_id"), "content", hint.alias("_fmt")), fmt="_fmt", password=password).drop("content", "_fmt"))
 
 
 def open_table(df: DataFrame, key: str, content: str, fmt: str | None = None) -> Documents:

@@ -152,7 +152,7 @@ trailer << /Root 1 0 R >>
     assert [s["text"] for s in d["spans"]] == ["a", "b", "c"] and (d["spans"][0]["x"], d["spans"][0]["y"]) == (20, 40)
     assert d["bookmarks"] == [{"title": "Ch 1", "page": 1, "level": 1}] and d["annotations"][0]["uri"] == "http://x"
     assert d["images"][0]["data"].strip() == b"Z" and [(f["t"], f["ft"], f["parent"], f["value"]) for f in d["fields"]] == [("group", "Tx", None, None), ("name", None, 0, "val")]
-    for bad, code in [(b"nothing", "not_a_pdf"), (raw.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 5 0 R"), "encrypted")]:
+    for bad, code in [(b"nothing", "not_a_pdf"), (raw.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 5 0 R"), "unsupported_encryption")]:
         with pytest.raises(pdf.PdfError) as e:
             pdf.read(bad)
         assert e.value.code == code
@@ -185,3 +185,29 @@ def test_convert_round_trip(spark):
     rows = {r.doc_id: r for r in made.collect()}
     assert rows[1].tables == 1 and rows[1].blocks == 9 and rows[2].error
     assert [b["text"] for b in office.docx(bytes(rows[1].content))["blocks"]][:2] == ["Head", "one"]
+
+
+@pytest.mark.parametrize("algorithm", ["rc4", "aes128"])
+def test_encrypted_pdf(algorithm):
+    made = pdf.write([{"spans": [{"text": "hidden (text)", "x": 9, "y": 9}]}], {"title": "Secret title"}, encrypt={"user": "u", "owner": "o", "algorithm": algorithm})
+    assert b"Secret" not in made
+    for password in ("u", "o"):
+        d = pdf.read(made, password)
+        assert d["spans"][0]["text"] == "hidden (text)" and d["metadata"]["title"] == "Secret title"
+    for password, code in ((None, "password_required"), ("x", "wrong_password")):
+        with pytest.raises(pdf.PdfError) as e:
+            pdf.read(made, password)
+        assert e.value.code == code
+    open_ = pdf.write([{"spans": [{"text": "t", "x": 9, "y": 9}]}], encrypt={"owner": "o", "algorithm": algorithm})
+    assert pdf.read(open_)["spans"][0]["text"] == "t"  # no user password is needed
+
+
+def test_ciphers():
+    from quire.sources import crypt
+
+    assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    aes = crypt.Aes128(bytes.fromhex("000102030405060708090a0b0c0d0e0f"))
+    block = bytes.fromhex("00112233445566778899aabbccddeeff")
+    assert aes.encrypt(block).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a" and aes.decrypt(aes.encrypt(block)) == block
+    for n in (0, 1, 15, 16, 40):
+        assert crypt.cbc_decrypt(b"k" * 16, crypt.cbc_encrypt(b"k" * 16, b"d" * n, b"i" * 16)) == b"d" * n
