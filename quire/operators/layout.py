@@ -38,54 +38,61 @@ def projection(body: DataFrame, width: float) -> DataFrame:
     return every.join(hit, [*PAGE, "bin"], "left").select(*PAGE, "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def gutters(body: DataFrame, width: float, min_width: float = MIN_GUTTER) -> DataFrame:
-    """(page, g0, g1, center): runs of nearly empty bins inside the margins of 5 %, wide enough.
+def page_layout(zoned: DataFrame, width: float, min_gutter: float = MIN_GUTTER, min_lines: float = MIN_LINES, most: int = MAX_COLUMNS) -> DataFrame:
+    """(page, lines, gutters, cols): the lines of each page as an array, and what parts its body.
 
-    Nearly empty: at most 2 % of the body's lines, rounded up.
+    gutters: runs of nearly empty points inside the margins of 5 %, wide enough; nearly empty is
+    what at most 2 % of the body's lines (rounded up) cover. cols: the bands between gutters that
+    hold a tenth of the lines' middles or more, at most 4 from the left; the whole page where none
+    is left, or without gutters. A page is gathered once; the rest is expressions on its arrays.
     """
     bins, margin = int(-(-width // 1)), int(width * 0.05)
-    total = body.groupBy(*PAGE).agg(F.count("*").alias("total"))
-    low = projection(body, width).join(total, PAGE).filter((F.col("bin") >= margin) & (F.col("bin") < bins - margin) & (F.col("n") <= F.ceil(F.col("total") * 0.02)))
-    island = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    runs = low.withColumn("run", island).groupBy(*PAGE, "run").agg(F.min("bin").cast("double").alias("g0"), (F.max("bin") + 1).cast("double").alias("g1"))
-    return runs.filter(F.col("g1") - F.col("g0") >= min_width).select(*PAGE, "g0", "g1", ((F.col("g0") + F.col("g1")) / 2).alias("center"))
-
-
-def columns(body: DataFrame, gaps: DataFrame, width: float, min_lines: float = MIN_LINES, most: int = MAX_COLUMNS) -> DataFrame:
-    """(page, col, c0, c1): the bands between gutters that hold a tenth of the lines' middles or more.
-
-    At most 4 from the left; the whole page where no band is left.
+    every = F.collect_list(F.struct(*[c for c in zoned.columns if c not in PAGE]))
+    pages = zoned.groupBy(*PAGE).agg(every.alias("lines"))
+    body = F.filter("lines", lambda x: x["zone"] == "body")
+    pages = pages.withColumn("_ext", F.transform(body, lambda x: F.struct(F.greatest(F.floor(x["x0"]), F.lit(0)).alias("a"), F.least(F.ceil(x["x1"]), F.lit(bins)).alias("b"), ((x["x0"] + x["x1"]) / 2).alias("mid"))))
+    pages = pages.withColumn("_low", F.ceil(F.size("_ext") * 0.02))
+    covered = lambda i: F.size(F.filter("_ext", lambda e: (e["a"] <= i) & (i < e["b"])))
+    low = F.filter(F.sequence(F.lit(margin), F.lit(bins - margin - 1)), lambda i: covered(i) <= F.col("_low"))
+    run = lambda g0, g1: F.struct(g0.cast("double").alias("g0"), g1.cast("double").alias("g1"), ((g0 + g1) / 2).alias("center"))
+    start = F.struct(F.array().cast("array<struct<g0:double,g1:double,center:double>>").alias("done"), F.lit(-1.0).alias("g0"), F.lit(-1.0).alias("g1"))
+    closed = lambda a: F.when(a["g1"] - a["g0"] >= min_gutter, F.array_append(a["done"], run(a["g0"], a["g1"]))).otherwise(a["done"])
+    step = lambda a, i: F.when(a["g1"] == i, F.struct(a["done"].alias("done"), a["g0"].alias("g0"), (i + 1.0).alias("g1"))).otherwise(F.struct(closed(a).alias("done"), i.cast("double").alias("g0"), (i + 1.0).alias("g1")))
+    pages = pages.withColumn("gutters", F.when(F.size("_ext") > 0, F.aggregate(low, start, step, closed)).otherwise(start["done"]))
+    ends = F.array_append(F.transform("gutters", lambda g: g["center"]), F.lit(float(width)))
+    pages = pages.withColumn("_ends", ends)
+    bands = F.transform("_ends", lambda c, i: F.struct(F.when(i == 0, 0.0).otherwise(F.col("_ends")[i - 1]).alias("c0"), c.alias("c1")))
+    held = lambda c: F.size(F.filter("_ext", lambda e: (e["mid"] >= c["c0"]) & (e["mid"] < c["c1"])))
+    kept = F.slice(F.filter(bands, lambda c: held(c) >= F.floor(F.greatest(F.size("_ext") * min_lines, F.lit(1.0)))), 1, most)
+    whole = F.array(F.struct(F.lit(0.0).alias("c0"), F.lit(float(width)).alias("c1")))
+    pages = pages.withColumn("cols", F.when(F.size("gutters") == 0, whole).otherwise(kept))
+    return pages.withColumn("cols", F.when(F.size("cols") == 0, whole).otherwise(F.col("cols"))).drop("_ext", "_low", "_ends")
+
+
+def gutters(laid: DataFrame) -> DataFrame:
+    """(page, g0, g1, center) of page_layout()."""
+    return laid.select(*PAGE, F.explode("gutters").alias("g")).select(*PAGE, "g.*")
+
+
+def columns(laid: DataFrame) -> DataFrame:
+    """(page, col, c0, c1) of page_layout()."""
+    return laid.select(*PAGE, F.posexplode("cols").alias("col", "c")).select(*PAGE, "col", "c.*")
+
+
+def placed(laid: DataFrame, width: float) -> DataFrame:
+    """The lines of page_layout() with col and is_full.
+
+    col: the band whose middle is nearest to the line's, the leftmost of equals. is_full: where
+    there are several columns, a line over 70 % of the page wide, or over 20 points to both sides
+    of a gutter. Both are 0 and false outside the body.
     """
-    pages = body.groupBy(*PAGE).agg(F.count("*").alias("total"))
-    edges = gaps.select(*PAGE, "center").unionByName(pages.select(*PAGE, F.lit(float(width)).alias("center")))
-    w = Window.partitionBy(*PAGE).orderBy("center")
-    bands = edges.withColumn("c0", F.coalesce(F.lag("center").over(w), F.lit(0.0))).withColumnRenamed("center", "c1")
-    mid = (F.col("x0") + F.col("x1")) / 2
-    held = body.select(*PAGE, mid.alias("mid")).join(bands, PAGE).filter((F.col("mid") >= F.col("c0")) & (F.col("mid") < F.col("c1")))
-    held = held.groupBy(*PAGE, "c0", "c1").agg(F.count("*").alias("n")).join(pages, PAGE)
-    several = gaps.select(*PAGE).distinct().withColumn("cut", F.lit(True))
-    ok = held.join(several, PAGE).filter(F.col("n") >= F.floor(F.greatest(F.col("total") * min_lines, F.lit(1.0))))
-    ok = ok.withColumn("col", F.row_number().over(Window.partitionBy(*PAGE).orderBy("c0")) - 1).filter(F.col("col") < most)
-    whole = pages.join(ok.select(*PAGE).distinct(), PAGE, "left_anti").select(*PAGE, F.lit(0).alias("col"), F.lit(0.0).alias("c0"), F.lit(float(width)).alias("c1"))
-    return ok.select(*PAGE, "col", "c0", "c1").unionByName(whole)
-
-
-def assigned(body: DataFrame, bands: DataFrame) -> DataFrame:
-    """body with col: the band whose middle is nearest to the line's; the leftmost of equals."""
+    lines = laid.select(*PAGE, "gutters", "cols", F.explode("lines").alias("x")).select(*PAGE, "x.*", "gutters", "cols")
     mid = (F.col("x0") + F.col("x1")) / 2
-    nearest = F.min(F.struct(F.abs((F.col("c0") + F.col("c1")) / 2 - F.col("mid")).alias("d"), F.col("col"))).alias("best")
-    best = body.withColumn("mid", mid).select(*PAGE, "line_idx", "mid").join(bands, PAGE).groupBy(*PAGE, "line_idx").agg(nearest)
-    return body.join(best.select(*PAGE, "line_idx", F.col("best.col").alias("col")), [*PAGE, "line_idx"])
-
-
-def full_width(body: DataFrame, gaps: DataFrame, bands: DataFrame, width: float) -> DataFrame:
-    """body with is_full: over 70 % of the page wide, or over 20 points to both sides of a gutter."""
-    many = bands.groupBy(*PAGE).agg((F.count("*") > 1).alias("many"))
-    crosses = (F.col("x0") < F.col("center")) & (F.col("x1") > F.col("center")) & (F.col("g0") - F.col("x0") > 20) & (F.col("x1") - F.col("g1") > 20)
-    over = body.select(*PAGE, "line_idx", "x0", "x1").join(gaps, PAGE).groupBy(*PAGE, "line_idx").agg(F.max(crosses).alias("over"))
-    out = body.join(over, [*PAGE, "line_idx"], "left").join(many, PAGE, "left")
-    full = F.coalesce("many", F.lit(False)) & ((F.col("x1") - F.col("x0") > width * 0.7) | F.coalesce("over", F.lit(False)))
-    return out.withColumn("is_full", full).drop("over", "many")
+    near = F.array_min(F.transform("cols", lambda c, i: F.struct(F.abs((c["c0"] + c["c1"]) / 2 - mid).alias("d"), i.alias("i"))))["i"]
+    over = F.exists("gutters", lambda g: (F.col("x0") < g["center"]) & (F.col("x1") > g["center"]) & (g["g0"] - F.col("x0") > 20) & (F.col("x1") - g["g1"] > 20))
+    full = (F.size("cols") > 1) & ((F.col("x1") - F.col("x0") > width * 0.7) | over)
+    body = F.col("zone") == "body"
+    return lines.withColumns({"col": F.when(body, near).otherwise(0), "is_full": body & full}).drop("gutters", "cols")
 
 
 def analyze(lines: DataFrame, width: float, height: float) -> DataFrame:
@@ -94,15 +101,11 @@ def analyze(lines: DataFrame, width: float, height: float) -> DataFrame:
     Header first, then the body from the top: full-width lines part it into sections, in which
     columns follow each other from the left, each from the top down; the footer last.
     """
-    zoned = zones(lines, height)
-    body = zoned.filter("zone = 'body'")
-    gaps = gutters(body, width)
-    bands = columns(body, gaps, width)
-    placed = full_width(assigned(body, bands), gaps, bands, width)
+    every = placed(page_layout(zones(lines, height), width), width)
+    outside = F.when(F.col("zone") == "header", -1).when(F.col("zone") == "footer", 1 << 30)
     down = Window.partitionBy(*PAGE).orderBy(F.desc("y1"), "line_idx")
-    placed = placed.withColumn("section", F.sum(F.col("is_full").cast("int")).over(down) * 2 - F.col("is_full").cast("int"))
-    edge = zoned.filter("zone <> 'body'").withColumns({"col": F.lit(0), "is_full": F.lit(False), "section": F.when(F.col("zone") == "header", -1).otherwise(1 << 30)})
-    every = placed.unionByName(edge)
+    full = F.col("is_full").cast("int")
+    every = every.withColumn("section", F.coalesce(outside, F.sum(full).over(down) * 2 - full))
     kind = F.when(F.col("zone") != "body", F.col("zone")).when(F.col("is_full"), "full_width").otherwise("body_column")
     order = Window.partitionBy(*PAGE).orderBy("section", F.when(F.col("is_full"), 0).otherwise(F.col("col")), F.desc("y1"), "line_idx")
     return every.withColumn("region", kind).withColumn("ord", F.row_number().over(order) - 1)

@@ -24,12 +24,15 @@ def line_texts(spans: DataFrame, key: list[str]) -> DataFrame:
     Wide is over a quarter of the font size of the span before (2 points if that has none). Spans
     are in the order of span_idx. The text of a null span is empty.
     """
+    return spans.withColumn("_piece", _piece(key)).groupBy(*key).agg(joined(F.col("_piece"), ["span_idx"], "").alias("text"))
+
+
+def _piece(key: list[str]) -> Column:
     w = Window.partitionBy(*key).orderBy("span_idx")
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)
     size = F.lag("font_size").over(w)
     wide = gap > F.when(size > 0, size * 0.25).otherwise(2.0)
-    piece = F.concat(F.when(wide, " ").otherwise(""), F.coalesce("text", F.lit("")))
-    return spans.withColumn("piece", piece).groupBy(*key).agg(joined(F.col("piece"), ["span_idx"], "").alias("text"))
+    return F.concat(F.when(wide, " ").otherwise(""), F.coalesce("text", F.lit("")))
 
 
 def page_texts(lines: DataFrame, key: list[str] = PAGE, order: str = "line_idx", text: str = "text", sep: str = "\n") -> DataFrame:
@@ -90,8 +93,17 @@ def group_spans(spans: DataFrame, key: list[str] = PAGE) -> DataFrame:
     return spans.select(*key, *cols).groupBy(*key).applyInPandas(fold, schema)
 
 
-def line_boxes(spans: DataFrame, key: list[str]) -> DataFrame:
-    """The box around each line; its height is the font size."""
-    return spans.groupBy(*key).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("font_size")).alias("y1")
-    )
+def lines_of(spans: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """One row a line: text, box, and of its longest span (the last of equals) size and font; first_x.
+
+    All in one aggregation. Spans are brought together by page, which is enough for the lines and
+    for what is done by page afterwards: there is no other shuffle.
+    """
+    key = key or [*PAGE, "line_idx"]
+    by_page = spans.repartition(*[c for c in PAGE if c in key]) if set(PAGE) <= set(key) else spans
+    longest = F.struct(F.octet_length("text"), F.col("span_idx"))
+    return by_page.withColumn("_piece", _piece(key)).groupBy(*key).agg(
+        joined(F.col("_piece"), ["span_idx"], "").alias("text"),
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("font_size")).alias("y1"),
+        F.max_by("font_size", longest).alias("size"), F.max_by("font_name", longest).alias("font"), F.min_by("x", "span_idx").alias("first_x"),
+    )

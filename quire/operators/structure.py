@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, text as T
-from quire.operators.lines import PAGE, joined, line_boxes, line_texts
+from quire.operators.lines import PAGE, joined, lines_of
 
 HEADING_RATIO = 1.2
 BLOCK = "doc_id bigint, page int, block_idx int, type string, text string, level int, indent_level int, x0 double, y0 double, x1 double, y1 double"
@@ -17,32 +17,29 @@ def bucket(size: Column) -> Column:
     return F.round(size * 2).cast("int")
 
 
-def body_size(spans: DataFrame) -> DataFrame:
-    """(page, body): the size that most bytes of text have; the smaller of equals; 12 without text."""
-    w = F.when(F.trim("text") != "", F.octet_length("text")).otherwise(0)
-    sized = spans.withColumn("b", bucket(F.col("font_size"))).groupBy(*PAGE, "b").agg(F.sum(w).alias("n"), F.min("font_size").alias("size"))
-    best = F.max_by(F.when(F.col("n") > 0, F.col("size")), F.struct("n", -F.col("b")))
-    return sized.groupBy(*PAGE).agg(F.coalesce(best, F.lit(12.0)).alias("body"))
-
+def page_sizes(spans: DataFrame, ratio: float = HEADING_RATIO) -> DataFrame:
+    """(page, body, heads): the size that most bytes of text have, and the buckets of headings, largest first.
 
-def heading_levels(spans: DataFrame, body: DataFrame, ratio: float = HEADING_RATIO) -> DataFrame:
-    """(page, b, level): the sizes from ratio x body up, the largest is level 1, none is over 6."""
-    big = spans.filter(F.trim("text") != "").join(body, PAGE).filter(F.col("font_size") >= F.col("body") * ratio)
-    sizes = big.select(*PAGE, bucket(F.col("font_size")).alias("b")).distinct()
-    rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("b")))
-    return sizes.withColumn("level", F.least(rank, F.lit(6)))
+    body is the smaller of equally frequent sizes, and 12 without text; headings begin at ratio x body.
+    """
+    w = F.when(F.trim("text") != "", F.octet_length("text")).otherwise(0)
+    per = spans.repartition(*PAGE).withColumn("b", bucket(F.col("font_size"))).groupBy(*PAGE, "b").agg(F.sum(w).alias("n"), F.min("font_size").alias("lo"), F.max(F.when(F.trim("text") != "", F.col("font_size"))).alias("hi"))
+    pages = per.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("n"), (-F.col("b")).alias("nb"), F.col("lo"), F.col("hi"))).alias("s"))
+    best = F.array_max("s")
+    pages = pages.withColumn("body", F.when(best["n"] > 0, best["lo"]).otherwise(12.0))
+    heads = F.transform(F.array_sort(F.transform(F.filter("s", lambda x: F.coalesce(x["hi"] >= F.col("body") * ratio, F.lit(False))), lambda x: x["nb"])), lambda nb: -nb)
+    return pages.select(*PAGE, "body", heads.alias("heads"))
 
 
-def dominant(spans: DataFrame) -> DataFrame:
-    """(page, line_idx, size, font, first_x): of the span with most bytes (the last of equals); x of the first span."""
-    longest = F.struct(F.octet_length("text").alias("n"), F.col("span_idx"))
-    return spans.groupBy(*PAGE, "line_idx").agg(F.max_by("font_size", longest).alias("size"), F.max_by("font_name", longest).alias("font"), F.min_by("x", "span_idx").alias("first_x"))
+def heading_levels(sizes: DataFrame) -> DataFrame:
+    """(page, b, level) of page_sizes(): the largest size is level 1, none is over 6."""
+    return sizes.select(*PAGE, F.posexplode("heads").alias("i", "b")).select(*PAGE, "b", F.least(F.col("i") + 1, F.lit(6)).alias("level"))
 
 
-def left_margin(lines: DataFrame, body: DataFrame) -> DataFrame:
-    """(page, margin): the least x of lines whose size is within a point of the body's, 0 at least."""
-    near = lines.join(body, PAGE).filter(F.abs(F.col("size") - F.col("body")) < 1)
-    return near.groupBy(*PAGE).agg(F.greatest(F.min("first_x"), F.lit(0.0)).alias("margin"))
+def left_margin(sized: DataFrame) -> Column:
+    """Over lines (first_x, size, body) of a page: the least x of those whose size is within a point of the body's, 0 at least."""
+    near = F.when(F.abs(F.col("size") - F.col("body")) < 1, F.col("first_x"))
+    return F.greatest(F.min(near).over(Window.partitionBy(*PAGE)), F.when(F.min(near).over(Window.partitionBy(*PAGE)).isNotNull(), 0.0))
 
 
 def is_bold(font: Column) -> Column:
@@ -54,13 +51,11 @@ def classified(spans: DataFrame, ratio: float = HEADING_RATIO) -> DataFrame:
 
     Short bold lines at the body's size are headings one level below the lowest by size.
     """
-    body = body_size(spans)
-    levels = heading_levels(spans, body, ratio)
-    lowest = levels.groupBy(*PAGE).agg(F.max("level").alias("lowest"))
     key = [*PAGE, "line_idx"]
-    lines = line_texts(spans, key).join(line_boxes(spans, key), key).join(dominant(spans), key)
-    margin = left_margin(lines, body)
-    all_ = lines.join(body, PAGE).join(margin, PAGE, "left").join(lowest, PAGE, "left").withColumn("b", bucket(F.col("size"))).join(levels, [*PAGE, "b"], "left")
+    all_ = lines_of(spans, key).join(page_sizes(spans, ratio), PAGE)
+    all_ = all_.withColumn("margin", left_margin(all_)).withColumn("lowest", F.least(F.size("heads"), F.lit(6)))
+    nth = F.array_position("heads", bucket(F.col("size")))
+    all_ = all_.withColumn("level", F.when(nth > 0, F.least(nth, F.lit(6))))
     bold = is_bold(F.col("font")) & (F.abs(F.col("size") - F.col("body")) < 1) & (F.octet_length("text") < 100) & (F.trim("text") != "")
     sized = F.col("level").isNotNull()
     item = T.is_list_item(F.col("text"))

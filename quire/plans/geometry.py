@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import layout, markdown, structure, tables
-from quire.operators.lines import PAGE, group_spans, page_texts
+from quire.operators.lines import PAGE, group_spans, lines_of, page_texts
 from quire.plans import mapped
 from quire.plans.mapped import HEIGHT, LINES, RECTS, SPANS, WIDTH
 
@@ -65,6 +65,10 @@ def _body(spark, d):
     return layout.zones(mapped.lines(spark, d), HEIGHT).filter("zone = 'body'")
 
 
+def _laid(spark, d):
+    return layout.page_layout(layout.zones(mapped.lines(spark, d), HEIGHT), WIDTH)
+
+
 @query("x_projection", f"WITH {PROJECTION} SELECT doc_id, page, bin, n FROM profile")
 def x_projection(spark, d):
     return layout.projection(_body(spark, d), WIDTH)
@@ -81,7 +85,7 @@ GUTTERS = f"""{PROJECTION}, low AS (
 
 @query("gutters", f"WITH {GUTTERS} SELECT doc_id, page, g0, g1, center FROM gutters")
 def gutters(spark, d):
-    return layout.gutters(_body(spark, d), WIDTH)
+    return layout.gutters(_laid(spark, d))
 
 
 COLUMNS = f"""{GUTTERS}, totals AS (SELECT doc_id, page, count(*) AS total FROM body GROUP BY doc_id, page
@@ -101,8 +105,7 @@ COLUMNS = f"""{GUTTERS}, totals AS (SELECT doc_id, page, count(*) AS total FROM
 
 @query("columns", f"WITH {COLUMNS} SELECT doc_id, page, col, c0, c1 FROM cols")
 def columns(spark, d):
-    body = _body(spark, d)
-    return layout.columns(body, layout.gutters(body, WIDTH), WIDTH)
+    return layout.columns(_laid(spark, d))
 
 
 ASSIGNED = f"""{COLUMNS}, near AS (
@@ -121,10 +124,7 @@ ASSIGNED = f"""{COLUMNS}, near AS (
 
 @query("column_assign", f"WITH {ASSIGNED} SELECT doc_id, page, line_idx, col, is_full FROM placed")
 def column_assign(spark, d):
-    body = _body(spark, d)
-    gaps = layout.gutters(body, WIDTH)
-    bands = layout.columns(body, gaps, WIDTH)
-    return layout.full_width(layout.assigned(body, bands), gaps, bands, WIDTH).select(*PAGE, "line_idx", "col", "is_full")
+    return layout.placed(_laid(spark, d), WIDTH).filter("zone = 'body'").select(*PAGE, "line_idx", "col", "is_full")
 
 
 ORDERED = f"""{ASSIGNED}, parts AS (
@@ -159,13 +159,12 @@ BODY = f"""{LINES}, buckets AS (
 
 @query("body_font_size", f"WITH {BODY} SELECT doc_id, page, body FROM bodies")
 def body_font_size(spark, d):
-    return structure.body_size(mapped.spans(spark, d))
+    return structure.page_sizes(mapped.spans(spark, d)).select(*PAGE, "body")
 
 
 @query("heading_levels", f"WITH {BODY} SELECT doc_id, page, b, level::INTEGER AS level FROM levels")
 def heading_levels(spark, d):
-    s = mapped.spans(spark, d)
-    return structure.heading_levels(s, structure.body_size(s)).select(*PAGE, "b", "level")
+    return structure.heading_levels(structure.page_sizes(mapped.spans(spark, d)))
 
 
 CLASSIFIED = f"""{BODY}, dom AS (
@@ -189,10 +188,10 @@ CLASSIFIED = f"""{BODY}, dom AS (
 )"""
 
 
-@query("left_margin", f"WITH {CLASSIFIED} SELECT doc_id, page, margin FROM margins")
+@query("left_margin", f"WITH {CLASSIFIED} SELECT DISTINCT doc_id, page, margin FROM lines LEFT JOIN margins USING (doc_id, page)")
 def left_margin(spark, d):
-    s = mapped.spans(spark, d)
-    return structure.left_margin(structure.dominant(s), structure.body_size(s))
+    sized = lines_of(mapped.spans(spark, d)).join(structure.page_sizes(mapped.spans(spark, d)), PAGE)
+    return sized.withColumn("margin", structure.left_margin(sized)).select(*PAGE, "margin").distinct()
 
 
 @query("classify_lines", f"WITH {CLASSIFIED} SELECT doc_id, page, line_idx, kind, level, indent_level, text FROM classed")

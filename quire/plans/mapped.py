@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.lines import PAGE, line_boxes, line_texts
+from quire.operators.lines import PAGE, lines_of
 
 WIDTH, HEIGHT = 612.0, 792.0
 
@@ -70,9 +70,7 @@ LINES = f"{SPANS}, {TEXTS}, {BOXES}, lines AS (SELECT * FROM texts JOIN boxes US
 
 
 def lines(spark, sf_dir: str) -> DataFrame:
-    s = spans(spark, sf_dir)
-    key = [*PAGE, "line_idx"]
-    return line_texts(s, key).join(line_boxes(s, key), key)
+    return lines_of(spans(spark, sf_dir)).select(*PAGE, "line_idx", "text", "x0", "y0", "x1", "y1")
 
 
 def rects(spark, sf_dir: str) -> DataFrame:

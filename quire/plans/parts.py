@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry, names, text as T
 from quire.operators import compare, convert, forms, markdown, metrics, mutate, pageset, render, search, security, structure, tables, validate
-from quire.operators.lines import PAGE, joined
+from quire.operators.lines import PAGE, joined, lines_of
 from quire.plans import mapped
 from quire.sources import office
 
@@ -152,7 +152,7 @@ def rectangle_segments(spark, d):
 
 @query("dominant_size", f"WITH {mapped.SPANS} SELECT doc_id, page, line_idx, size, first_x FROM (SELECT doc_id, page, line_idx, font_size AS size, first_value(x) OVER (PARTITION BY doc_id, page, line_idx ORDER BY span_idx) AS first_x, row_number() OVER (PARTITION BY doc_id, page, line_idx ORDER BY strlen(text) DESC, span_idx DESC) AS rn FROM spans) WHERE rn = 1")
 def dominant_size(spark, d):
-    return structure.dominant(mapped.spans(spark, d)).select(*PAGE, "line_idx", "size", "first_x")
+    return lines_of(mapped.spans(spark, d)).select(*PAGE, "line_idx", "size", "first_x")
 
 
 HIT = "r.doc_id = s.doc_id AND r.page = s.page AND s.x < r.x + r.w AND r.x < s.x + s.width AND s.y < r.y + r.h AND r.y < s.y + s.font_size"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import structure, tables
-from quire.operators.lines import group_spans, line_boxes, line_texts, page_texts
+from quire.operators.lines import group_spans, line_texts, lines_of, page_texts
 from quire.sources import detect, htmltree, office, pdf
 
 PARSED = """format string, page_count int, text string, metadata map<string,string>, error struct<code:string,message:string>,
@@ -150,9 +150,7 @@ class Documents:
 
     @property
     def lines(self) -> DataFrame:
-        key = ["doc_id", "page", "line_idx"]
-        s = self.spans
-        return line_texts(s, key).join(line_boxes(s, key), key)
+        return lines_of(self.spans).select("doc_id", "page", "line_idx", "text", "x0", "y0", "x1", "y1")
 
     @property
     def blocks(self) -> DataFrame:
