@@ -24,6 +24,10 @@ MIN_MARGIN = 0.02
 #: ... so large a share of its characters other than blanks are letters.
 MIN_LETTERS = 0.2
 
+#: A claim of another language is refuted by a lead of so many nats a word: text wholly of one language
+#: leads by 4 to 6, text that only holds a passage of another by less.
+REFUTES = 4.0
+
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -167,15 +171,16 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text", min_margin: fl
     return out.select(*docs.columns, *[F.col(f"{found}.{c}").alias(n) for c, n in zip(("language", "margin", "accepted"), names)])
 
 
-def language_filter(docs: DataFrame, model: Backoff | None = None, lang: str = "lang", **how) -> DataFrame:
-    """The documents whose language is found, and isn't another than the one they claim.
+def language_filter(docs: DataFrame, model: Backoff | None = None, lang: str = "lang", refutes: float = REFUTES, **how) -> DataFrame:
+    """The documents whose language is found, and doesn't refute the one they claim.
 
-    A null claim agrees with any language; so does one of a language that the model doesn't know.
-    Cases are those of identify(); columns stay as they are.
+    A claim is refuted when another language leads by refutes or more; a document that mixes
+    languages is kept under its claim. A null claim agrees with any language; so does one of a
+    language that the model doesn't know. Cases are those of identify(); columns stay as they are.
     """
     model = train(docs) if model is None else model
-    (language, _, accepted) = fresh(docs, "language", "margin", "accepted")
-    agrees = F.col(lang).isNull() | ~F.col(lang).isin(model.langs) | (F.col(lang) == F.col(language))
+    (language, margin, accepted) = fresh(docs, "language", "margin", "accepted")
+    agrees = F.col(lang).isNull() | ~F.col(lang).isin(model.langs) | (F.col(lang) == F.col(language)) | (F.col(margin) < refutes)
     return identify(docs, model, **how).filter(F.col(accepted) & agrees).select(*docs.columns)
 
 

@@ -39,7 +39,7 @@ def brute(docs, model):
         order = np.argsort(-total, kind="stable")
         margin = (total[order[0]] - total[order[1]]) / len(words)
         letters = sum(map(len, words)) / len("".join(t.split()))
-        if margin >= langid.MIN_MARGIN and letters >= langid.MIN_LETTERS and (lang is None or lang not in model.langs or lang == model.langs[order[0]]):
+        if margin >= langid.MIN_MARGIN and letters >= langid.MIN_LETTERS and (lang is None or lang not in model.langs or lang == model.langs[order[0]] or margin < langid.REFUTES):
             kept.append((i, t, s))
     texts = test_linededup.brute([t for _, t, _ in kept], MAX_DOCS)
     kept = [(i, t, s) for (i, _, s), t in zip(kept, texts)]
