@@ -46,7 +46,7 @@ def test_cases(spark):
     assert out.columns == ["doc_id", "text", "lang", "language", "_language", "margin", "accepted"]
     got = [(r.doc_id, r._language, r.accepted) for r in out.collect()]
     assert got == [(1, "en", True), (2, "fr", True), (3, "und", False), (4, "und", False), (5, "und", False), (None, "en", True), (1, "en", True), (7, "fr", True), (8, "en", True)]
-    kept = langid.language_filter(docs, model)
+    kept = langid.language_filter(docs, model, refutes=0.0)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "8", "None"]
     claims = spark.createDataFrame([(1, "the cat and the dog", "fr"), (2, "le chat et the dog", "en")], "doc_id long, text string, lang string")
     assert [r.doc_id for r in langid.language_filter(claims, model, refutes=1.0).collect()] == [2]  # mixed text keeps its claim
