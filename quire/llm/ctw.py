@@ -52,42 +52,66 @@ def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - lgamma(n0 + n1 + 1.0) - log(pi)
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The trees under one latest byte, for the 255 inner nodes of the byte's binary code.
+#: Depth down to which trees are computed in groups; above it there are few nodes.
+TOP = 2
+#: Contexts and bytes that are in one group, on average.
+GROUP = 200_000
 
-    Gives for each key the weighted probability of its 8 bits from depth 1 down, and for each
-    node of the code (1 and the bits so far, as a number) the log of the weighted probability of
-    all that was counted at depth 1.
+
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trees from depth top down, for the 255 inner nodes of the byte's binary code.
+
+    The keys are all those of some contexts of depth top. Gives for each key the weighted
+    probability of its 8 bits from depth top down; and for each node of depth top the number of
+    the node above (its context and code), and the log of the weighted probability of all that
+    was counted there, and both counts.
     """
     probs = np.ones((len(keys), 8))
-    nodes, logs = [], []
+    above, sums = [], []
     byte, ctx = keys & 255, keys >> 8
     for k in range(8):
         code = (1 << k) | (byte >> (8 - k))
         bit = (byte >> (7 - k)) & 1
         child, c0, c1, lpw, q = None, n * (bit == 0), n * (bit == 1), None, None
-        below = np.arange(len(keys))
-        for d in range(depth, 0, -1):
+        path = np.arange(len(keys))
+        for d in range(depth, top - 1, -1):
             # the nodes of depth d that these keys pass, and where each of the level below belongs
-            at = (((ctx >> (8 * (depth - d))) << 8) | code)[below] if child is None else ((child >> 8 >> 8) << 8) | (child & 255)
+            at = (ctx << 8) | code if child is None else ((child >> 16) << 8) | (child & 255)
             uniq, inv = np.unique(at, return_inverse=True)
             m = len(uniq)
             n0, n1 = np.bincount(inv, c0, m), np.bincount(inv, c1, m)
             pe = kt_log(n0, n1)
             if child is None:
-                pw, stop, path = pe, np.ones(m), inv
+                pw, stop = pe, np.ones(m)
             else:
-                kids = np.bincount(inv, lpw, m)
-                pw = np.logaddexp(pe, kids) - log(2)
+                pw = np.logaddexp(pe, np.bincount(inv, lpw, m)) - log(2)
                 stop = np.exp(pe - log(2) - pw)
-                path = inv[path]
-            kt = np.where(bit == 1, n1[path] + 0.5, n0[path] + 0.5) / (n0[path] + n1[path] + 1.0)
+            path = inv[path]
+            kt = (np.where(bit == 1, n1[path], n0[path]) + 0.5) / (n0[path] + n1[path] + 1.0)
             q = kt if q is None else stop[path] * kt + (1 - stop[path]) * q
             child, c0, c1, lpw = uniq, n0, n1, pw
         probs[:, k] = q
-        nodes.append(child & 255)
-        logs.append(lpw)
-    return probs, np.concatenate(nodes), np.concatenate(logs)
+        above.append(((child >> 16) << 8) | (child & 255))
+        sums.append(np.stack([lpw, c0, c1], 1))
+    return probs, np.concatenate(above), np.concatenate(sums)
+
+
+def upper(nodes: dict[int, tuple[float, float, float]], top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the depths top - 1 to 0: by context and code (256 x 256 at depth 1, 1 x 256 at depth 0) the
+    counts of both bits, and the weight of the node's own estimate."""
+    out = []
+    size = 256 ** (top - 1)
+    kids, n0, n1 = (np.zeros((size, 256)) for _ in range(3))
+    for at, (l, a, b) in nodes.items():
+        kids[at >> 8, at & 255], n0[at >> 8, at & 255], n1[at >> 8, at & 255] = l, a, b
+    while True:
+        pe = kt_log(n0, n1)
+        pw = np.logaddexp(pe, kids) - log(2)
+        out.append((n0, n1, np.exp(pe - log(2) - pw)))
+        if size == 1:
+            return out
+        size //= 256
+        kids, n0, n1 = (x.reshape(size, 256, 256).sum(1) for x in (pw, n0, n1))
 
 
 def gather(texts: DataFrame, depth: int, weight: int) -> DataFrame:
@@ -141,8 +165,8 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
     For each byte and context that corpus has (and scored, whose texts aren't counted but may be
     scored by the model) it holds the code length of the byte: along the byte's 8 binary
     decisions, the Krichevsky-Trofimov estimates of depths 0 to depth, mixed by the weights that
-    the corpus gives them. Counts are added up over the whole corpus; trees are computed by
-    latest byte, and joined at depth 0 from 256 x 255 sums. The model goes to the shared folder
+    the corpus gives them. Counts are added up over the whole corpus; trees are computed in groups
+    of contexts by their latest two bytes, and joined above from 256 x 255 sums. The model goes to the shared folder
     in shards by range of key; its size is that of the different contexts, not of the corpus.
     """
     spark = corpus.sparkSession
@@ -150,28 +174,22 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
     if scored is not None:
         found = found.unionByName(gather(scored.select(F.col(text).alias("text")), depth, 0))
     counts = cut(found.groupBy("key").agg(F.sum("n").alias("n")))
-    top = F.shiftright("key", 8 * depth) if depth else F.lit(0)
+    total, top = counts.count(), min(TOP, depth)
+    group = F.pmod(F.xxhash64(F.shiftright("key", 8 * (depth - top + 1))), F.lit(max(1, -(-total // GROUP))))
 
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n = pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.float64)
-        order = np.argsort(keys)
-        probs, nodes, logs = subtree(keys[order], n[order], depth)
-        roots = np.ones((len(nodes), 8))
-        roots[:, 0] = logs
-        q = np.concatenate([probs, roots])
-        return pd.DataFrame({"key": np.concatenate([keys[order], -nodes]), "q": list(q)})
-
-    fitted = cut(counts.groupBy(top.alias("top")).applyInPandas(trees, "key bigint, q array<double>"))
-    kids = np.zeros(256)
-    for r in fitted.filter("key < 0").groupBy("key").agg(F.sum(F.col("q")[0]).alias("s")).collect():  # 255 rows at most
-        kids[-r.key] = r.s
-    n0, n1 = np.zeros(256), np.zeros(256)
-    for r in counts.groupBy(F.col("key").bitwiseAND(255).alias("b")).agg(F.sum("n").alias("n")).collect():  # 256 rows at most
-        for k in range(8):
-            code = (1 << k) | (r.b >> (8 - k))
-            (n1 if (r.b >> (7 - k)) & 1 else n0)[code] += r.n
-    pe = kt_log(n0, n1)
-    stop = np.exp(pe - np.logaddexp(pe, kids))
+        pdf = pdf.sort_values("key")
+        keys = pdf["key"].to_numpy(np.int64)
+        probs, above, sums = subtree(keys, pdf["n"].to_numpy(np.float64), depth, top)
+        named, inv = np.unique(above, return_inverse=True)
+        added = np.zeros((len(named), 8))
+        for j in range(3):
+            added[:, j] = np.bincount(inv, sums[:, j], len(named))
+        return pd.DataFrame({"key": np.concatenate([keys, -1 - named]), "q": list(np.concatenate([probs, added]))})
+
+    fitted = cut(counts.groupBy(group.alias("g")).applyInPandas(trees, "key bigint, q array<double>"))
+    added = fitted.filter("key < 0").groupBy("key").agg(*[F.sum(F.col("q")[j]).alias(f"s{j}") for j in range(3)])
+    levels = upper({-1 - r.key: (r.s0, r.s1, r.s2) for r in added.collect()}, top)  # 256 x 255 rows at most
     folder = new_folder(spark, "ctw")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,9 +201,12 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
                 byte = keys & 255
                 bits = np.zeros(len(keys))
                 for k in range(8):
-                    code, bit = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
-                    kt = np.where(bit == 1, n1[code] + 0.5, n0[code] + 0.5) / (n0[code] + n1[code] + 1.0)
-                    bits -= np.log2(stop[code] * kt + (1 - stop[code]) * q[:, k])
+                    code, bit, p = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1, q[:, k]
+                    for d, (n0, n1, stop) in zip(range(top - 1, -1, -1), levels):
+                        at = (keys >> (8 * (depth - d + 1)), code)
+                        kt = (np.where(bit == 1, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1.0)
+                        p = stop[at] * kt + (1 - stop[at]) * p
+                    bits -= np.log2(p)
                 ks.append(keys)
                 cs.append(bits)
         if ks:
@@ -193,7 +214,7 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
             name = f"{keys[0]:016x}"
             yield pd.DataFrame([(int(keys[0]), len(keys), sharedfile.put(folder, f"k{name}", keys), sharedfile.put(folder, f"c{name}", bits.astype(np.float32)))], columns=["lo", "n", "k", "c"])
 
-    parts = max(1, -(-counts.count() // 8_000_000))
+    parts = max(1, -(-total // 8_000_000))
     shards = fitted.filter("key >= 0").repartitionByRange(parts, "key").sortWithinPartitions("key")
     rows = shards.mapInPandas(write, "lo bigint, n bigint, k string, c string").collect()
     return Model([(r.lo, r.n, r.k, r.c) for r in rows], depth)
