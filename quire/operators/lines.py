@@ -78,19 +78,22 @@ def fold_lines(spans: list[dict]) -> list[dict]:
 def group_spans(spans: DataFrame, key: list[str] = PAGE) -> DataFrame:
     """(key, line_idx, span_idx, text, x, y, width, font_size, font_name): spans with their line.
 
-    Which line a span joins depends on those before it, so each page is folded in one go.
+    Which line a span joins depends on those before it, so each page is folded in one go. Spans of
+    the same place are taken in the order of their texts.
     """
-    fields = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
     cols = ["text", "x", "y", "width", "font_size", "font_name"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for i, line in enumerate(fold_lines(pdf.to_dict("records"))):
-            rows += [tuple(s[k] for k in key) + (i, j) + tuple(s[c] for c in cols) for j, s in enumerate(line["spans"])]
-        return pd.DataFrame(rows, columns=[*key, "line_idx", "span_idx", *cols])
-
-    schema = ", ".join(f"{k} {fields[k]}" for k in key) + ", line_idx int, span_idx int, " + ", ".join(f"{c} {fields[c]}" for c in cols)
-    return spans.select(*key, *cols).groupBy(*key).applyInPandas(fold, schema)
+    types = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
+
+    def fold(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            lines = fold_lines(sorted(page, key=lambda s: (s["text"] or "", s["font_name"] or "")))
+            out.append([{"line_idx": i, "span_idx": j} | {c: s[c] for c in cols} for i, line in enumerate(lines) for j, s in enumerate(line["spans"])])
+        return pd.Series(out)
+
+    udf = F.pandas_udf(fold, "array<struct<line_idx int, span_idx int, " + ", ".join(f"{c} {types[c]}" for c in cols) + ">>")
+    pages = spans.groupBy(*key).agg(F.collect_list(F.struct(*cols)).alias("_s"))
+    return pages.select(*key, F.explode(udf("_s")).alias("_l")).select(*key, "_l.*")
 
 
 def lines_of(spans: DataFrame, key: list[str] | None = None) -> DataFrame:

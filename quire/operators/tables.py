@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,19 +65,19 @@ def cluster_points(points: list[tuple[float, float]], snap: float = SNAP) -> lis
 def clusters(points: DataFrame, snap: float = SNAP) -> DataFrame:
     """points with table_id, for clusters of four or more; ids follow the least (px, py) of each."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["px", "py"], ignore_index=True)
-        pdf["label"] = cluster_points(list(zip(pdf.px, pdf.py)), snap)
-        pdf = pdf[pdf.groupby("label")["label"].transform("size") >= 4].copy()
-        pdf["table_id"] = pd.factorize(pdf["label"])[0]
-        return pdf[[*PAGE, "table_id", "px", "py"]]
-
-    return points.groupBy(*PAGE).applyInPandas(fold, _schema(points, "table_id int, px double, py double"))
-
-
-def _schema(df: DataFrame, rest: str) -> str:
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"{k} {types[k]}" for k in PAGE) + ", " + rest
+    def fold(pages: pd.Series) -> pd.Series:
+        out = []
+        for page in pages:
+            at = [(p["px"], p["py"]) for p in page]
+            labels = cluster_points(at, snap)
+            sizes = Counter(labels)
+            ids: dict[int, int] = {}
+            out.append([{"table_id": ids.setdefault(k, len(ids)), "px": x, "py": y} for (x, y), k in zip(at, labels) if sizes[k] >= 4])
+        return pd.Series(out)
+
+    udf = F.pandas_udf(fold, "array<struct<table_id int, px double, py double>>")
+    pages = points.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("px", "py"))).alias("p"))
+    return pages.select(*PAGE, F.explode(udf("p")).alias("c")).select(*PAGE, "c.*")
 
 
 def axis(values: Column, snap: float = SNAP) -> Column:
