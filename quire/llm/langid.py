@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import fresh, shared
@@ -24,9 +25,12 @@ MIN_MARGIN = 0.02
 #: ... so large a share of its characters other than blanks are letters.
 MIN_LETTERS = 0.2
 
-#: A claim of another language is refuted by a lead of so many nats a word: text wholly of one language
-#: leads by 4 to 6, text that only holds a passage of another by less.
-REFUTES = 4.0
+#: Nats that a change of language within a text costs, and the doubt that the claim is wrong: odds of 1000 to 1.
+CHANGE = log(1000)
+#: A claim is refuted when more than this share of the words is in runs of other languages, and ...
+MOST = 0.5
+#: ... another language leads over the whole text by so many nats a word; at 0 the words alone decide.
+REFUTES = 0.0
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -119,6 +123,29 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int =
     return Backoff(counts)
 
 
+def against(scores: np.ndarray, claim: int, change: float = CHANGE) -> float:
+    """The share of words, one a row of scores, in runs of other languages than the claimed column.
+
+    The runs are those of the likeliest path: it starts in the claim, each change of language costs
+    change nats, and of equal paths the one that stays or ends in the claim is taken.
+    """
+    n, k = scores.shape
+    best, stay = np.full(k, -change), np.arange(k)
+    best[claim] = 0
+    came = np.empty((n, k), np.int32)
+    for i in range(n):
+        top = int(np.argmax(best))
+        moved = best < best[top] - change
+        came[i] = np.where(moved, top, stay)
+        best = np.where(moved, best[top] - change, best) + scores[i]
+    at = claim if best[claim] >= best.max() else int(np.argmax(best))
+    other = 0
+    for i in range(n - 1, -1, -1):
+        other += at != claim
+        at = int(came[i, at])
+    return other / n
+
+
 def identify(docs: DataFrame, model: Backoff, text: str = "text", min_margin: float = MIN_MARGIN, min_letters: float = MIN_LETTERS) -> DataFrame:
     """docs with language, margin (nats a word before the second language) and accepted.
 
@@ -128,20 +155,29 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text", min_margin: fl
     name. Rows, repeated ones and null ids too, are kept one by one; where docs has columns of
     these names, the new ones have underscores before them. An empty table gives an empty table.
     """
-    share = shared(docs.sparkSession, model)  # bounded by the sample, not by docs
     names = fresh(docs, "language", "margin", "accepted")
-    none = (UNKNOWN, 0.0, False)
+    (found,) = fresh(docs, "_found")
+    out = docs.withColumn(found, _scored(docs, model, F.col(text), F.lit(None).cast("string"), min_margin, min_letters))
+    return out.select(*docs.columns, *[F.col(f"{found}.{c}").alias(n) for c, n in zip(("language", "margin", "accepted"), names)])
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def _scored(docs: DataFrame, model: Backoff, text: Column, claim: Column, min_margin: float, min_letters: float) -> Column:
+    """language, margin and accepted of identify(), and against() of a claim that isn't the language
+    found; 0 where it is, is null or isn't known to the model."""
+    share = shared(docs.sparkSession, model)  # bounded by the sample, not by docs
+    none = (UNKNOWN, 0.0, False, 0.0)
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = share()
         memo: dict[str, int] = {}
         table, used = np.zeros((1 << 12, len(model.langs))), 0
 
-        def row(t) -> tuple:
+        def row(t, claim) -> tuple:
             nonlocal table, used
             if t is None or not model.langs:
                 return none
-            tally = Counter(words_of(t))
+            words = words_of(t)
+            tally = Counter(words)
             if not tally:
                 return none
             if len(memo) > 400_000:
@@ -159,29 +195,37 @@ def identify(docs: DataFrame, model: Backoff, text: str = "text", min_margin: fl
             best = int(np.argmax(total))
             margin = float((total[best] - np.delete(total, best).max()) / n.sum()) if len(total) > 1 else float("inf")
             letters = sum(len(w) * c for w, c in tally.items()) / max(1, len("".join(t.split())))
-            return model.langs[best], margin, bool(margin >= min_margin and letters >= min_letters)
+            other = 0.0
+            if claim in known and claim != model.langs[best]:
+                other = against(table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))], known[claim])
+            return model.langs[best], margin, bool(margin >= min_margin and letters >= min_letters), other
 
-        for texts in batches:
-            rows = [row(t) for t in texts]
-            yield pd.DataFrame(rows, columns=["language", "margin", "accepted"])
+        known = {g: i for i, g in enumerate(model.langs)}
+        for texts, claims in batches:
+            rows = [row(t, c) for t, c in zip(texts, claims)]
+            yield pd.DataFrame(rows, columns=["language", "margin", "accepted", "against"])
 
-    udf = F.pandas_udf(score, "language string, margin double, accepted boolean")
-    (found,) = fresh(docs, "_found")
-    out = docs.withColumn(found, udf(F.col(text)))
-    return out.select(*docs.columns, *[F.col(f"{found}.{c}").alias(n) for c, n in zip(("language", "margin", "accepted"), names)])
+    return F.pandas_udf(score, "language string, margin double, accepted boolean, against double")(text, claim)
 
 
-def language_filter(docs: DataFrame, model: Backoff | None = None, lang: str = "lang", refutes: float = REFUTES, **how) -> DataFrame:
+def language_filter(
+    docs: DataFrame, model: Backoff | None = None, lang: str = "lang", refutes: float = REFUTES, most: float = MOST, text: str = "text",
+    min_margin: float = MIN_MARGIN, min_letters: float = MIN_LETTERS,
+) -> DataFrame:
     """The documents whose language is found, and doesn't refute the one they claim.
 
-    A claim is refuted when another language leads by refutes or more; a document that mixes
-    languages is kept under its claim. A null claim agrees with any language; so does one of a
-    language that the model doesn't know. Cases are those of identify(); columns stay as they are.
+    A claim is refuted when another language is found, leads by refutes or more, and more than the
+    share most of the words is in runs of other languages; see against(). So a document that holds
+    a passage of another language is kept under its claim, and so is a short text without the evidence
+    to outweigh the claim; one mostly of another language goes. A null claim agrees with any
+    language; so does one of a language that the model doesn't know. Cases are those of identify();
+    columns stay as they are.
     """
     model = train(docs) if model is None else model
-    (language, margin, accepted) = fresh(docs, "language", "margin", "accepted")
-    agrees = F.col(lang).isNull() | ~F.col(lang).isin(model.langs) | (F.col(lang) == F.col(language)) | (F.col(margin) < refutes)
-    return identify(docs, model, **how).filter(F.col(accepted) & agrees).select(*docs.columns)
+    (found,) = fresh(docs, "_found")
+    out = docs.withColumn(found, _scored(docs, model, F.col(text), F.col(lang), min_margin, min_letters))
+    refuted = (F.col(f"{found}.margin") >= refutes) & (F.col(f"{found}.against") > most)
+    return out.filter(F.col(f"{found}.accepted") & ~refuted).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

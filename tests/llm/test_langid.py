@@ -54,6 +54,28 @@ def test_cases(spark):
     assert langid.language_filter(docs.limit(0)).count() == 0
 
 
+def test_runs_against_brute_force():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for claim in (0, 1, 2):
+        scores = rng.normal(0, 2, (7, 3))
+        cost = lambda p: sum(scores[i, g] for i, g in enumerate(p)) - 2.0 * sum(a != b for a, b in zip((claim, *p), p))
+        best = max(product(range(3), repeat=7), key=cost)
+        assert langid.against(scores, claim, 2.0) == sum(g != claim for g in best) / 7
+    assert langid.against(np.zeros((5, 2)), 1) == 0
+
+
+def test_claims_at_the_production_default(spark):
+    en, fr = "the cat and the dog in house of my old friend".split(), "le chat et le chien dans maison de mon vieil ami".split()
+    model = langid.Backoff({"en": Counter(en * 9), "fr": Counter(fr * 9)})
+    text = lambda n, k: "\n".join([" ".join(en)] * n + [" ".join(fr)] * k)
+    rows = [(1, text(9, 1), "fr"), (2, text(3, 7), "fr"), (3, text(6, 4), "fr"), (4, text(4, 6), "fr"), (5, text(10, 0), "fr"), (6, "the", "fr"), (7, text(9, 1), "en"), (8, text(9, 1), "xx"), (9, text(9, 1), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert 0 < langid.identify(docs.filter("doc_id = 1"), model).first().margin < 4
+    assert sorted(r.doc_id for r in langid.language_filter(docs, model).collect()) == [2, 4, 6, 7, 8, 9]
+
+
 @pytest.mark.parametrize("n", [5, 20])
 def test_sample_is_bounded(spark, n):
     docs = spark.range(500).selectExpr("concat('word', id) AS text", "IF(id % 3 = 0, 'a', 'b') AS lang")
