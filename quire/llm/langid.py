@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import fresh, shared
 
-#: The bound on labelled documents that the model is fitted on, for each language.
+#: The bound on different labelled texts that the model is fitted on, for each language.
 SAMPLE = 400
 #: Longest n-gram that an unseen word falls back to.
 MAX_N = 5
@@ -94,15 +94,15 @@ class Backoff:
 
 
 def sample_of(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """At most sample labelled documents of each language, chosen by a hash of their text."""
+    """At most sample different labelled texts of each language, those of the least hashes; all where there are fewer."""
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sizes = {r.lang: r.n for r in docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for g, n in sizes.items():
-        share = F.when(F.col("lang") == g, F.lit(min(1.0, 4.0 * sample / n))).otherwise(share)
-    hashed = labelled.withColumn("h", F.xxhash64("text", "lang")).filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return hashed.withColumn("r", first).filter(F.col("r") <= sample).select("lang", "text")
+    hashed = labelled.withColumn("h", F.xxhash64("text", "lang"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = hashed.select("lang", "h").distinct().withColumn("r", first).filter(F.col("r") <= sample)
+    taken = F.lit(False)
+    for r in least.groupBy("lang").agg(F.max("h").alias("h")).collect():
+        taken = F.when(F.col("lang") == r.lang, F.col("h") <= r.h).otherwise(taken)
+    return hashed.filter(taken).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> Backoff:

@@ -80,3 +80,12 @@ def test_claims_at_the_production_default(spark):
 def test_sample_is_bounded(spark, n):
     docs = spark.range(500).selectExpr("concat('word', id) AS text", "IF(id % 3 = 0, 'a', 'b') AS lang")
     assert {r.lang: r["count"] for r in langid.sample_of(docs, sample=n).groupBy("lang").count().collect()} == {"a": n, "b": n}
+
+
+def test_sample_takes_texts_not_rows(spark):
+    few = spark.range(10_000).selectExpr("concat('mot', id % 5) AS text", "'a' AS lang")
+    none = spark.range(10_000).selectExpr("IF(id < 3, concat('wort', id), IF(id % 2 = 0, NULL, '')) AS text", "'b' AS lang")
+    many = spark.range(3_000).selectExpr("concat('word', IF(id < 2000, id % 4, id)) AS text", "'c' AS lang")
+    got = langid.sample_of(few.union(none).union(many)).collect()
+    assert len({(r.lang, r.text) for r in got}) == len(got)
+    assert Counter(r.lang for r in got) == {"a": 5, "b": 3, "c": langid.SAMPLE}
