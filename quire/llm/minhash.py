@@ -72,7 +72,7 @@ def sketches(texts: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
                 rows.append((x[:k], len(x)))
             yield pd.DataFrame(rows, columns=["s", "n"])
 
-    udf = F.pandas_udf(run, "s array<bigint>, n int")
+    udf = F.pandas_udf(run, "s array<bigint>, n int").asNondeterministic()  # the filter below would run it again
     found = texts.withColumn("f", udf("text")).select("node", F.col("f.s").alias("s"), F.col("f.n").alias("n")).filter("n > 0")
     return found.groupBy("node").agg(F.first("s").alias("s"), F.first("n").alias("n"))
 
