@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import pipeline
-from quire.operators import compare, convert, markdown, search, validate
+from quire.operators import compare, convert, search, validate
 from quire.sources import reader
 
 TABLES = {"info": "files", "text": "texts", "structure": "blocks", "tables": "cells", "images": "images", "bookmarks": "bookmarks", "annotations": "annotations", "links": "links", "metadata": "metadata", "pages": "pages", "spans": "spans"}
@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"there is no {path}", file=sys.stderr)
             return 1
     docs = reader.open_files(spark, a.a if a.command == "diff" else a.path)
-    docs.parsed.persist()
+    docs = docs.stored()
     for e in docs.errors.collect():
         print(f"{e.doc_id}: {e.message}", file=sys.stderr)
         if a.command != "info":
@@ -87,14 +87,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command in TABLES:
         show(getattr(docs, TABLES[a.command]), a.json)
     elif a.command == "markdown":
-        show(markdown.render(docs.blocks, strip_markers=False), a.json)
+        show(docs.markdown(), a.json)
     elif a.command == "search":
         found = search.hits(_lines(docs), a.query, a.regex, not a.ignore_case)
         return 0 if show(search.first_hits(found, ["doc_id"], ["line_idx"], a.max_results).select("doc_id", (F.col("line_idx") + 1).alias("line"), "text"), a.json) else 1
     elif a.command == "convert":
         ext = a.target.rpartition(".")[2]
-        out = convert.convert_blocks(docs.blocks, ext) if docs.files.first().format == "pdf" else convert.convert(docs.parsed, ext)
-        for r in out.toLocalIterator():
+        for r in convert.convert(docs.parsed, ext).toLocalIterator():
             with open(a.target if "." in a.target else f"{os.path.splitext(r.doc_id.removeprefix('file:'))[0]}.{ext}", "wb") as f:
                 f.write(r.content)
     elif a.command == "diff":

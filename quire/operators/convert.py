@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import markdown
 from quire.operators.lines import joined
 
 #: Font sizes of headings by level; deeper ones have the last.
@@ -58,12 +59,15 @@ def print_lines(blocks: DataFrame, key: str = "doc_id", order: str = "block_idx"
     return parts.withColumn("line", line).select(key, "line", (F.floor(F.col("line") / LINES_PER_PAGE) + 1).cast("int").alias("page"), "text", "font_size", "bold")
 
 
-def html(blocks: DataFrame, key: str = "doc_id", order: str = "block_idx", title: Column | None = None, table: str | None = None) -> DataFrame:
+def html(blocks: DataFrame, key: str = "doc_id", order: str = "block_idx", title: Column | None = None, table: str | None = None, cells: DataFrame | None = None) -> DataFrame:
     """(key, html): a page of the blocks; lists open and close as the indent of items goes up and down.
 
-    title is a column of blocks, the same in all rows of a document (else Document); table names a
-    column with the markup of table blocks.
+    title is a column of blocks, the same in all rows of a document (else Document). Table blocks are
+    rendered from cells (key, page, table_id, row, col, text), or table names a column with their markup.
     """
+    if cells is not None:
+        at = [key, "page", "table_id"]
+        blocks, table = blocks.join(markdown.html_tables(cells, at).withColumnRenamed("table", "_table"), at, "left"), "_table"
     w = Window.partitionBy(key).orderBy(order)
     depth = F.when(F.col("type") == "list_item", F.coalesce("indent_level", F.lit(0)) + 1).otherwise(0)
     before = F.coalesce(F.lag(depth).over(w), F.lit(0))
@@ -243,7 +247,7 @@ def generate(blocks: list[dict], target: str, meta: dict[str, str] | None = None
         title = escape(_clean(meta.get("title") or "Document"))
         return f'<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>{title}</title>\n</head>\n<body>\n{"".join(map(_markup, blocks))}</body>\n</html>\n'.encode()
     if target == "markdown":
-        return markdown_text(blocks).encode()
+        return markdown.text(blocks, "markdown").encode()
     if target == "pdf":
         lines: list[tuple[str, float, bool]] = []
         for b in blocks:
@@ -266,28 +270,8 @@ def wrap_words(text: str, width: int) -> list[str]:
     return [*out, now]
 
 
-def markdown_text(blocks: list[dict]) -> str:
-    out = []
-    for b in blocks:
-        if b["type"] == "heading":
-            out.append("#" * max(1, min(6, b["level"] or 1)) + " " + b["text"])
-        elif b["type"] == "list_item":
-            out.append("  " * (b.get("indent_level") or 0) + "- " + b["text"])
-        elif b.get("rows"):
-            cells = [[c.strip().replace("|", "\\|").replace("\n", " ") for c in r] for r in b["rows"]]
-            cols = max(map(len, cells))
-            line = lambda r: "| " + " | ".join(r + [""] * (cols - len(r))) + " |"
-            out.append("\n".join([line(cells[0]), "|" + " --- |" * cols, *map(line, cells[1:])]))
-        else:
-            out.append(b["text"])
-    return "\n\n".join(out) + "\n"
-
-
 def convert(parsed: DataFrame, target: str) -> DataFrame:
-    """(doc_id, content, blocks, tables, error) of parsed documents (reader.parse_column) in another format.
-
-    PDFs have no blocks of their own here: convert them by convert_blocks().
-    """
+    """(doc_id, content, blocks, tables, error) of parsed documents (reader.parse_column) in another format."""
     text = F.struct("doc.blocks", "doc.cells", "doc.metadata")
 
     def run(docs: pd.DataFrame) -> pd.DataFrame:
@@ -314,22 +298,29 @@ def nested(blocks: list, cells: list) -> list[dict]:
     """Blocks as dicts, table blocks with rows of texts."""
     rows: dict[int, dict[int, dict[int, str]]] = {}
     for c in cells:
-        rows.setdefault(c["table_id"], {}).setdefault(c["row"], {})[c["col"]] = c["text"] or ""
+        rows.setdefault(_whole(c["table_id"]), {}).setdefault(c["row"], {})[c["col"]] = c["text"] or ""
     out = []
     for b in blocks:
-        d = {"type": b["type"], "text": b["text"] or "", "level": _whole(b["level"]), "indent_level": _whole(b["indent_level"])}
-        if b["type"] == "table" and b["table_id"] in rows:
-            t = rows[b["table_id"]]
+        d = {"page": _whole(b["page"]), "type": b["type"], "text": b["text"] or "", "level": _whole(b["level"]), "indent_level": _whole(b["indent_level"])}
+        if b["type"] == "table" and _whole(b["table_id"]) in rows:
+            t = rows[_whole(b["table_id"])]
             d["rows"] = [[r[c] for c in sorted(r)] for _, r in sorted(t.items())]
         out.append(d)
     return out
 
 
-def convert_blocks(blocks: DataFrame, target: str, key: str = "doc_id") -> DataFrame:
-    """(key, content) from blocks as rows (page, block_idx, type, text, level, indent_level)."""
-    packed = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page", "block_idx", "type", "text", "level", "indent_level"))).alias("b"))
+def convert_blocks(blocks: DataFrame, target: str, key: str = "doc_id", cells: DataFrame | None = None) -> DataFrame:
+    """(key, content) from blocks as rows (page, block_idx, type, text, level, indent_level), and cells where
+    blocks have a table_id."""
+    if "table_id" not in blocks.columns:
+        blocks = blocks.withColumn("table_id", F.lit(None).cast("int"))
+    packed = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page", "block_idx", "type", "text", "level", "indent_level", "table_id"))).alias("b"))
+    if cells is None:
+        packed = packed.withColumn("c", F.expr("array() :: array<struct<table_id int, row int, col int, text string>>"))
+    else:
+        packed = packed.join(cells.groupBy(key).agg(F.collect_list(F.struct("table_id", "row", "col", "text")).alias("c")), key, "left")
 
-    def run(all_: pd.Series) -> pd.Series:
-        return pd.Series([generate([{"type": x["type"], "text": x["text"] or "", "level": _whole(x["level"]), "indent_level": _whole(x["indent_level"])} for x in bs], target) for bs in all_])
+    def run(all_: pd.Series, cells: pd.Series) -> pd.Series:
+        return pd.Series([generate(nested(list(bs), [] if cs is None else list(cs)), target) for bs, cs in zip(all_, cells)])
 
-    return packed.select(key, F.pandas_udf(run, "binary")("b").alias("content"))
+    return packed.select(key, F.pandas_udf(run, "binary")("b", "c").alias("content"))

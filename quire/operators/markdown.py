@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators.lines import joined
 
+_MARKER = re.compile(T.MARKER)
+
 
 def render(
     blocks: DataFrame,
@@ -19,15 +24,23 @@ def render(
     heading_offset: int = 0,
     strip_markers: bool = True,
     table: str | None = None,
+    cells: DataFrame | None = None,
+    html: bool = False,
+    header: bool = True,
 ) -> DataFrame:
     """(key, markdown): the blocks of each document in order.
 
     Headings have their level plus heading_offset, from 1 to 6. Items that follow each other are
     one list, two blanks deeper a level of indent. Where a block is on another page than the one
     before, separator stands between them, and page_numbers ({n} in it) after that; pages without
-    blocks leave no trace. table names a column with the rendered text of table blocks. A document
-    without blocks isn't in the result.
+    blocks leave no trace. Table blocks are rendered from cells (key, page, table_id, row, col, text),
+    as pipe tables, with header or an empty head, or as HTML; or table names a column with their
+    rendered text. A document without blocks isn't in the result.
     """
+    if cells is not None:
+        at = [key, page, "table_id"]
+        drawn = (html_tables(cells, at) if html else pipe_tables(cells, at, header)).withColumnRenamed("table", "_table")
+        blocks, table = blocks.join(drawn, at, "left"), "_table"
     order = order or [page, "block_idx"]
     w = Window.partitionBy(key).orderBy(*order)
     text = F.trim(F.coalesce("text", F.lit("")))
@@ -36,7 +49,7 @@ def render(
     body = (
         F.when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text))
         .when(F.col("type") == "list_item", F.concat(F.repeat(F.lit("  "), F.coalesce("indent_level", F.lit(0))), F.lit("- "), item))
-        .when(F.col("type") == "table", F.rtrim(F.coalesce(F.col(table), F.lit("")) if table else F.lit("")))
+        .when(F.col("type") == "table", F.regexp_replace(F.coalesce(F.col(table), F.lit("")) if table else F.lit(""), r"\s+$", ""))
         .otherwise(text)
     )
     turned = F.coalesce(F.lag(page).over(w) != F.col(page), F.lit(False))
@@ -51,6 +64,79 @@ def render(
     return out.withColumn("markdown", F.concat(F.regexp_replace("markdown", r"\s+$", ""), F.lit("\n")))
 
 
+def pipe_rows(rows: list[list[str]], header: bool = True) -> str:
+    """One table as pipe_tables() renders it."""
+    cells = [[(c or "").strip(" ").replace("|", "\\|").replace("\n", " ") for c in r] for r in rows]
+    wide = [max(3, *(len(r[j].encode()) for r in cells if j < len(r))) for j in range(max(map(len, cells)))]
+    line = lambda r: "|" + "".join(f" {c}{' ' * (w - len(c.encode()))} |" for c, w in zip(r, wide))
+    rule = lambda r: "|" + "".join(f" {'-' * w} |" for _, w in zip(r, wide))
+    lines = [*map(line, cells)]
+    lines[:1] = [lines[0], rule(cells[0])] if header else ["|" + "".join(f" {' ' * w} |" for w in wide), rule(cells[0]), lines[0]]
+    return "\n".join(lines)
+
+
+def html_rows(rows: list[list[str]]) -> str:
+    """One table as html_tables() renders it, without spans."""
+    tag = lambda i: "th" if i == 0 else "td"
+    cell = lambda i, c: f"    <{tag(i)}>{escape(c or '')}</{tag(i)}>\n"
+    return "<table>\n" + "".join("  <tr>\n" + "".join(cell(i, c) for c in r) + "  </tr>\n" for i, r in enumerate(rows)) + "</table>"
+
+
+def text(
+    blocks: list[dict],
+    format: str = "pdf",
+    notes: dict[int, str] | None = None,
+    separator: str = "---",
+    page_numbers: str | None = None,
+    heading_offset: int = 0,
+    strip_markers: bool | None = None,
+    html: bool = False,
+    header: bool = True,
+) -> str:
+    """The blocks (page, type, text, level, indent_level, rows) of one document, as render() has those of many.
+
+    Formats have customs of their own: a deck's slides begin with "## Slide n" and their title and end
+    with their notes; items of DOCX files aren't indented; list markers are stripped in PDFs only, by default.
+    """
+    strip_markers = format == "pdf" if strip_markers is None else strip_markers
+    out: list[str] = []
+    before, item, deck, notes = None, False, format == "pptx", notes or {}
+
+    def close() -> None:
+        if deck and before in notes:
+            out.append(f"\n\n> **Notes:** {notes[before]}")
+
+    for b in blocks:
+        page, kind, said = b.get("page", 1), b["type"], (b["text"] or "").strip(" ")
+        turned = before is not None and page != before
+        head = []
+        if turned:
+            close()
+        if turned and separator:
+            head.append(separator)
+        if page_numbers and page != before:
+            head.append(page_numbers.replace("{n}", str(page)))
+        if deck and page != before:
+            level = max(1, min(2 + heading_offset, 6))
+            head.append(f"{'#' * level} Slide {page}" + (f": {said}" if kind == "heading" else ""))
+        if deck and page != before and kind == "heading":
+            body = None
+        elif kind == "heading":
+            body = "#" * max(1, min((b["level"] or 1) + heading_offset, 6)) + " " + said
+        elif kind == "list_item":
+            body = "  " * (0 if format == "docx" else b["indent_level"] or 0) + "- " + (_MARKER.sub("", b["text"] or "").lstrip(" ") if strip_markers else said)
+        elif kind == "table":
+            body = (html_rows(b["rows"]) if html else pipe_rows(b["rows"], header)) if b.get("rows") else ""
+        else:
+            body = said
+        tight = item and kind == "list_item" and not turned
+        out.append(("" if before is None else "\n" if tight else "\n\n") + "\n\n".join([*head, *([] if body is None else [body])]))
+        before, item = page, kind == "list_item"
+    close()
+    whole = "".join(out).rstrip()
+    return f"{whole}\n" if whole else ""
+
+
 def pipe_tables(cells: DataFrame, key: list[str], header: bool = True) -> DataFrame:
     """(key, table): cells (key, row, col, text) as pipe tables.
 

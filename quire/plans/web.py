@@ -66,7 +66,7 @@ def html_headings(spark, d):
 
 @query("html_title", r"SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
 def html_title(spark, d):
-    return _pages(spark, d).parsed.select(F.col("doc_id").alias("page_id"), F.col("doc.metadata")["title"].alias("title"))
+    return _pages(spark, d).get("metadata").select(F.col("doc_id").alias("page_id"), F.col("doc.metadata")["title"].alias("title"))
 
 
 LINK = r"""'(?is)<a\s[^>]*?href="?([^" >]+)'"""
@@ -80,7 +80,7 @@ def html_links(spark, d):
 
 @query("html_text")
 def html_text(spark, d):
-    return _pages(spark, d).parsed.select("doc_id", "doc.text")
+    return _pages(spark, d).get("text").select("doc_id", "doc.text")
 
 
 @query("html_blocks")
@@ -90,7 +90,7 @@ def html_blocks(spark, d):
 
 @query("html_markdown")
 def html_markdown(spark, d):
-    return markdown.render(_pages(spark, d).part("blocks"), strip_markers=False)
+    return _pages(spark, d).markdown()
 
 
 @query("html_bookmarks")
@@ -101,18 +101,19 @@ def html_bookmarks(spark, d):
 
 @query("html_rewritten")
 def html_rewritten(spark, d):
-    return convert.html(_pages(spark, d).part("blocks"))
+    docs = _pages(spark, d).stored()
+    return convert.html(docs.blocks, cells=docs.cells)
 
 
 @query("convert_docx_and_back")
 def convert_docx_and_back(spark, d):
-    made = convert.convert(_pages(spark, d).parsed, "docx").select("doc_id", "content")
+    made = convert.convert(_pages(spark, d).get("blocks", "cells", "metadata", "error"), "docx").select("doc_id", "content")
     return reader.open_table(made, "doc_id", "content").part("blocks").select("doc_id", "block_idx", "type", "text", "level")
 
 
 @query("convert_report")
 def convert_report(spark, d):
-    return convert.convert(_pages(spark, d).parsed, "epub").select("doc_id", "blocks", "tables", "error")
+    return convert.convert(_pages(spark, d).get("blocks", "cells", "metadata", "error"), "epub").select("doc_id", "blocks", "tables", "error")
 
 
 # --- logical forms of blocks: an order is a block, a customer a document -----

@@ -5,7 +5,8 @@ import zipfile
 
 import pytest
 
-from quire.operators import convert
+from quire import pipeline
+from quire.operators import convert, markdown
 from quire.sources import archive, detect, htmltree, office, pdf, reader
 
 
@@ -165,7 +166,7 @@ def test_open_files(spark, tmp_path):
     (tmp_path / "d.md").write_bytes(convert.generate(blocks, "markdown"))
     (tmp_path / "bad.pdf").write_bytes(b"junk")
     docs = reader.open_files(spark, str(tmp_path))
-    docs.parsed.persist()
+    docs = docs.stored()
     name = lambda p: p.rpartition(".")[2]
     assert {name(r.doc_id): r.format for r in docs.files.filter("error IS NULL").collect()} == {k: k if k != "md" else "markdown" for k in ("pdf", "docx", "xlsx", "pptx", "epub", "html", "md")}
     assert docs.errors.count() == 1
@@ -176,7 +177,6 @@ def test_open_files(spark, tmp_path):
     cells = {(name(r.doc_id), r.text) for r in docs.cells.collect()}
     assert all((k, "2") in cells for k in ("docx", "xlsx", "epub", "html"))
     assert docs.metadata.filter("field = 'title' AND value = 'Doc'").count() == 6 - 1  # workbooks have none
-    docs.parsed.unpersist()
 
 
 def test_convert_round_trip(spark):
@@ -211,3 +211,77 @@ def test_ciphers():
     assert aes.encrypt(block).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a" and aes.decrypt(aes.encrypt(block)) == block
     for n in (0, 1, 15, 16, 40):
         assert crypt.cbc_decrypt(b"k" * 16, crypt.cbc_encrypt(b"k" * 16, b"d" * n, b"i" * 16)) == b"d" * n
+
+
+def _ruled_page():
+    """A heading, a paragraph, and a ruled table of two rows and two columns."""
+    spans = [{"text": "Big Title", "x": 72, "y": 780, "font_size": 20}, {"text": "some words of the body of this page", "x": 72, "y": 740, "font_size": 11}, {"text": "and more of them below", "x": 72, "y": 726, "font_size": 11}]
+    for r, row in enumerate([["name", "n"], ["a|b", "2"]]):
+        spans += [{"text": t, "x": 80 + 100 * c, "y": 610 - 20 * r, "font_size": 11} for c, t in enumerate(row)]
+    rules = [(72, y, 272, y) for y in (625, 605, 585)] + [(x, 585, x, 625) for x in (72, 172, 272)]
+    return {"width": 595, "height": 842, "spans": spans, "segments": rules}
+
+
+def test_pdf_keeps_headings_and_tables(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(pdf.write([_ruled_page()], {"title": "T"}))
+    docs = reader.open_files(spark, str(tmp_path))
+    said = docs.markdown().first().markdown
+    assert said.startswith("# Big Title\n\nsome words of the body of this page and more of them below\n") and "| name | n   |\n| ---- | --- |\n| a\\|b | 2   |" in said
+    assert docs.stored().markdown().first().markdown == said
+    for target in ("docx", "html", "epub"):
+        again = reader.parse(convert.convert(docs.parsed, target).first().content, target)
+        assert {"heading", "table"} <= {b["type"] for b in again["blocks"]}, target
+        assert [c["text"] for c in again["cells"]] == ["name", "n", "a|b", "2"]
+    p = pipeline.run_file("a.pdf", (tmp_path / "a.pdf").read_bytes(), [pipeline.Step("extract_tables"), pipeline.Step("to_markdown")])
+    assert p["markdown"] == said
+
+
+def test_tables_of_html_stay(spark):
+    page = "<h1>A</h1><p>w</p><table><tr><td>x</td><td>y<5</td></tr><tr><td>1</td></tr></table><p>z</p>"
+    docs = reader.open_table(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html", "html")
+    said = docs.markdown().first().markdown
+    assert said == "# A\n\nw\n\n| x   | y<5 |\n| --- | --- |\n| 1   |\n\nz\n"
+    assert markdown.render(docs.blocks, cells=docs.cells, strip_markers=False).first().markdown == said
+    assert "<th>y&lt;5</th>" in convert.html(docs.blocks, cells=docs.cells).first().html
+    assert "<th>y&lt;5</th>" in docs.markdown(html=True).first().markdown
+
+
+def test_files_are_parsed_once(spark):
+    docs = reader.open_table(spark.createDataFrame([(1, "<p>a</p>")], "id long, html string"), "id", "html", "html")
+    for name in ("files", "errors", "texts", "blocks", "cells", "images", "bookmarks", "pages", "annotations", "links", "metadata"):
+        plan = getattr(docs, name)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, (name, plan)
+    assert docs.markdown()._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_pages_by_folds_and_by_joins(spark):
+    """pagefold has the same blocks and tables as structure.extract and tables.detect."""
+    import random
+
+    from quire.operators import structure, tables
+    from quire.sources import pagefold
+
+    r = random.Random(3)
+    rows, rules = [], []
+    for page in range(1, 9):
+        for i in range(r.randrange(1, 25)):
+            size, bold = r.choice([10.0, 10.0, 10.0, 10.5, 18.0, 14.0]), r.random() < 0.15
+            for j in range(r.choice([1, 1, 2, 3, 3])):
+                rows.append((1, page, len(rows), r.choice(["word", "- item", "2. two", "é x", " "]), 40.0 + 120 * j + r.choice([0, 0, 5, 40]), 780.0 - 15 * i - r.choice([0, 0, 20]), 30.0, size, "X-Bold" if bold else "X"))
+        if page % 2:
+            rules += [(1, page, 30.0, y, 400.0, y) for y in (500.0, 600.0, 701.0)] + [(1, page, x, 500.0, x, 701.0) for x in (30.0, 200.0, 400.0)]
+    s = spark.createDataFrame(rows, "doc_id long, page int, span_idx int, text string, x double, y double, width double, font_size double, font_name string")
+    g = spark.createDataFrame(rules, "doc_id long, page int, ax double, ay double, bx double, by double")
+    grouped = reader.group_spans(s)
+    want = [tuple(x) for x in structure.extract(grouped).orderBy("page", "block_idx").select("page", "type", "text", "level", "indent_level", "x0", "y1").collect()]
+    cells = sorted(tuple(x) for x in tables.detect(g, grouped).select("page", "table_id", "row", "col", "text").collect())
+    got, found = [], []
+    for page in range(1, 9):
+        spans = [dict(zip(s.columns, x)) for x in rows if x[1] == page]
+        _, blocks = pagefold.page_of(spans, [dict(zip(g.columns, x)) for x in rules if x[1] == page])
+        lines = pagefold.lines_of(spans)
+        got += [(page, b["type"], b["text"], b["level"], b["indent_level"], b["box"][0], b["box"][3]) for b in pagefold.text_blocks(lines, spans)]
+        tables_ = pagefold.ruled([x[2:] for x in rules if x[1] == page], lines) or pagefold.aligned(lines)
+        found += [(page, t, i, j, c) for t, x in enumerate(tables_) for i, row in enumerate(x["rows"]) for j, c in enumerate(row)]
+        assert sum(b["type"] == "table" for b in blocks) == len(tables_)
+    assert got == want and sorted(found) == cells
