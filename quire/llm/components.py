@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut
@@ -11,20 +11,19 @@ from quire.llm.common import cut
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node that an edge names, with the smallest node it is linked to.
 
-    Every round moves edges only; no neighbourhood is gathered in one row. Rounds grow with the
-    logarithm of the longest path. Edges from a node to itself and null ends are left out.
+    Every round moves edges only; the least neighbour of a node is combined before the shuffle, so no
+    neighbourhood is gathered in one row or one task. Rounds grow with the logarithm of the longest path. Edges from a node to itself and null ends are left out.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    w = Window.partitionBy("u")
     state = None
     while True:
         # large-star: larger neighbours of u go to the smallest of u and its neighbours
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(w))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        back = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = e.unionByName(back).groupBy("u").agg(F.min("v").alias("m"))
+        large = back.join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # small-star: smaller neighbours of u, and u, go to the smallest of them
-        low = large.filter("u <> v").distinct().withColumn("m", F.min("v").over(w))
-        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = cut(small)
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        e = cut(low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

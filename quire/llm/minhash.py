@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,10 @@ K = 64
 THRESHOLD = 0.5
 #: The estimate that a pair needs to be verified: 1.6 standard errors under the threshold.
 ESTIMATE = 0.4
-#: Shingles in the documents of a component that one task verifies; beyond it, pairs are joined.
-TASK_SHINGLES = 20_000_000
+#: Shingles in the different texts of a component that one task verifies; larger components are verified in rounds.
+TASK_SHINGLES = 2_000_000
+#: Rounds in which the nodes of an inverted list are compared with one of them only.
+ROUNDS = 2
 
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -59,9 +61,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
+def estimate_of(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
+    """The similarity of two sets, from the k least values of both together."""
+    a, b = a[:k], b[:k]
+    u = np.union1d(a, b)[:k]
+    return float(np.isin(np.intersect1d(a, b, assume_unique=True), u).sum()) / len(u) if len(u) else 0.0
+
+
+def texts_of(docs: DataFrame, text: str, doc_id: str | None) -> DataFrame:
+    """(node, check, rid, text): two hashes of the text, of 64 bits each, and one of the document's id."""
+    rid = F.lit(0).cast("bigint") if doc_id is None else F.xxhash64(doc_id)
+    return docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("check"), rid.alias("rid"), F.col(text).alias("text")).filter("text IS NOT NULL")
+
+
 def sketches(texts: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
-    """(node, s, n) for each different node of texts (node, text): its k smallest shingle hashes
-    and the number of its shingles. Texts without words have none."""
+    """(node, check, rid, n, s) for each different node of texts (node, check, rid, text): its k smallest
+    shingle hashes, the number of its shingles, and which of its rows stands for it. Texts without
+    words have none."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = _Hashes()
@@ -73,99 +89,200 @@ def sketches(texts: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
             yield pd.DataFrame(rows, columns=["s", "n"])
 
     udf = F.pandas_udf(run, "s array<bigint>, n int").asNondeterministic()  # the filter below would run it again
-    found = texts.withColumn("f", udf("text")).select("node", F.col("f.s").alias("s"), F.col("f.n").alias("n")).filter("n > 0")
-    return found.groupBy("node").agg(F.first("s").alias("s"), F.first("n").alias("n"))
+    found = texts.withColumn("f", udf("text")).select("node", F.struct("check", "rid", "f.n", "f.s").alias("f")).filter("f.n > 0")
+    return found.groupBy("node").agg(F.min("f").alias("f")).select("node", "f.*")
 
 
-def candidates(sk: DataFrame, estimate: float = ESTIMATE, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b: all pairs of nodes whose sketches may share enough for the estimate.
+def inverted(sk: DataFrame, k: int = K, estimate: float = ESTIMATE) -> DataFrame:
+    """(node, n, v, leads): the inverted lists of the retained values v that can make a pair of nodes.
 
     A pair whose estimate is e shares at least e times the larger sketch of values. So it also
     shares one of the rarest len - ceil(e * len) + 1 values of each of the two: only these are
-    kept in the inverted lists. No list is cut and no pair that can reach the estimate is missed,
-    while what very many documents have (a shared passage) drops out of the lists of all those
-    that have rarer values too.
+    kept. Of two full sketches, m = ceil(e * k) values in common lie among the k least of both
+    together, so their ranks at the mth add up to k + m at most, and one of the two has it among its
+    least (k + m) / 2 values: a pair is found by a value that is among the rarest (k + m) / 2 - m + 1
+    of these (leads), of one of the two. No list is cut and no pair that can reach the estimate is
+    missed, while what very many documents have (a shared passage) drops out of the lists of all those
+    that have rarer values too, and leads in none of which it isn't the larger part.
     """
-    each = sk.select("node", "n", F.size("s").alias("z"), F.explode("s").alias("v"))
-    seen = each.withColumn("f", F.count("*").over(Window.partitionBy("v"))).filter("f > 1")
-    per = seen.groupBy("node", "n", "z").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("l"))
+    m = int(np.ceil(k * estimate - 1e-9))
+    low = (k + m) // 2
+    each = sk.select("node", "n", F.size("s").alias("z"), F.posexplode("s").alias("i", "v"))
+    often = each.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
+    per = each.join(often, "v").groupBy("node", "n", "z").agg(F.array_sort(F.collect_list(F.struct("f", "v", "i"))).alias("l"))
     spare = F.size("l") - F.ceil(F.col("z") * estimate - 1e-9) + 1
-    lists = cut(per.filter(spare > 0).select("node", "n", F.explode(F.slice("l", 1, spare.cast("int"))).alias("e")).select("node", "n", F.col("e.v").alias("v")))
-    right = lists.select(F.col("node").alias("b"), F.col("n").alias("m"), "v")
-    sizes = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
-    return lists.withColumnRenamed("node", "a").join(right, "v").filter((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    first = F.filter("l", lambda x: x["i"] < low)
+    lead = F.when(F.col("z") == k, F.slice(first, 1, F.greatest(F.lit(0), F.size(first) - m + 1))).otherwise(F.slice("l", 1, spare.cast("int")))
+    kept = per.filter(spare > 0).withColumn("lead", F.transform(lead, lambda x: x["v"]))
+    rows = kept.select("node", "n", "lead", F.explode(F.slice("l", 1, spare.cast("int"))).alias("e"))
+    return rows.select("node", "n", F.col("e.v").alias("v"), F.array_contains("lead", F.col("e.v")).alias("leads"))
 
 
-def estimated(pairs: DataFrame, sk: DataFrame, k: int = K, estimate: float = ESTIMATE) -> DataFrame:
-    """(a, b, e): the pairs whose estimate from the sketch of the union is enough."""
-    one = pairs.join(sk.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sk.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    union = two.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
-    e = F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) / F.size("u")
-    return union.select("a", "b", e.alias("e")).filter(F.col("e") >= estimate)
+def _active(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, n, v, leads, comp): the lists that can still link nodes of different components."""
+    lists = lists.select("node", "n", "v", "leads")
+    named = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    open_ = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("leads").alias("some")).filter("lo < hi AND some")
+    return cut(named.join(open_.select("v"), "v").select("node", "n", "v", "leads", "comp"))
 
 
-def groups(docs: DataFrame, text: str = "text", words: int = WORDS, k: int = K, threshold: float = THRESHOLD, estimate: float = ESTIMATE, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """(node, grp) for the texts that have near copies; node is a text's 64-bit hash.
+def _stars(active: DataFrame, nth: int) -> DataFrame:
+    """(a, b): the nodes of each list and class of size, each with one leading node of another component.
 
-    Groups are the components of pairs whose exact Jaccard similarity is at least threshold.
-    Linked pairs of estimates come first; a component of these is verified in one task, where a
-    pair that is already linked through others isn't compared again. Components of more than
-    task_shingles shingles are verified pair by pair in a join instead, with the same result.
+    Classes go by powers of 2, shifted by half of one in every round.
     """
-    texts = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    sk = cut(sketches(texts, words, k))
-    edges = cut(estimated(candidates(sk, estimate, threshold), sk, k, estimate))
-    comp = components(edges, "a", "b").join(sk.select("node", "n"), "node")
-    sized = cut(comp.withColumn("size", F.sum("n").over(Window.partitionBy("component"))))
-    members = texts.join(sized, "node").select(F.col("component").alias("comp"), "node", "text", F.col("size").alias("size"))
-    linked = edges.join(sized.select(F.col("node").alias("a"), "component", "size"), "a")
+    turn = F.lit((0x5851F42D4C957F2D * nth) & ((1 << 63) - 1))  # another order of the nodes in each round
+    sized = active.withColumn("cls", F.floor(F.log2("n") + nth / 2))
+    one = sized.filter("leads").groupBy("v", "cls").agg(F.min(F.struct(F.col("node").bitwiseXOR(turn).alias("x"), F.col("comp").alias("c"))).alias("p"))
+    pairs = sized.join(one, ["v", "cls"]).filter("comp <> p.c").withColumn("a", F.col("p.x").bitwiseXOR(turn))
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def _rest(active: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a list that are of different components, with a leading node."""
+    left = active.filter("leads").select(F.col("node").alias("a"), F.col("comp").alias("ca"), "v")
+    right = active.select(F.col("node").alias("b"), F.col("comp").alias("cb"), "v")
+    return left.join(right, "v").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def verify(key, e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+
+def linked(lists: DataFrame, compare: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame | None:
+    """(node, component) for the nodes that compare() links; None where it links none.
+
+    compare() gives those of its pairs (a, b) that are links. The components are those of all pairs
+    of a list that it would link, but not all pairs are made: first each node of a list is compared
+    with one other of the list, in some rounds with different ones; then all pairs of a list that are still of
+    different components are, but for those compared before. A list of copies costs as many pairs as it has nodes.
+    """
+    labels, before = None, None
+    for nth in range(rounds + 1):
+        lists = _active(lists, labels)
+        if lists.isEmpty():
+            break
+        pairs = cut(_stars(lists, nth) if nth < rounds else _rest(lists))
+        if before is not None:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        before = pairs if before is None else before.unionByName(pairs)
+        found = compare(pairs)
+        labels = cut(components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"))
+    return labels
+
+
+def estimated(pairs: DataFrame, sk: DataFrame, k: int = K, estimate: float = ESTIMATE, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): the pairs whose estimate from the sketch of the union is enough, and whose sizes allow the threshold."""
+    one = pairs.join(sk.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
+    two = one.join(sk.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+    two = two.filter((F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9))
+    union = two.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
+    e = F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) / F.size("u")
+    return union.filter(e >= estimate).select("a", "b")
+
+
+def grouped(sets: list[np.ndarray], k: int = K, threshold: float = THRESHOLD, estimate: float = ESTIMATE) -> np.ndarray:
+    """For each set the least index of its group: groups are linked by pairs of exact similarity threshold
+    and estimate. A set is compared with all those that aren't of its group yet; those of the largest
+    group needn't be."""
+    n = len(sets)
+    label = np.arange(n)
+    if n == 2:
+        if jaccard(*sets) >= threshold and estimate_of(*sets, k) >= estimate:
+            label[1] = 0
+        return label
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    todo = np.ones(n, bool)
+    while True:
+        left = np.flatnonzero(todo & (label != np.bincount(label).argmax()))
+        if not len(left):
+            return label
+        p = left[0]
+        todo[p] = False
+        at = np.minimum(np.searchsorted(sets[p], flat), sizes[p] - 1)
+        both = np.bincount(owner[sets[p][at] == flat], minlength=n)
+        for j in np.flatnonzero((both >= threshold * (sizes + sizes[p] - both)) & (label != label[p])):
+            if label[j] != label[p] and estimate_of(sets[p], sets[j], k) >= estimate:
+                a, b = sorted((label[p], label[j]))
+                label[label == b] = a
+
+
+def groups(docs: DataFrame, text: str = "text", doc_id: str | None = None, words: int = WORDS, k: int = K, threshold: float = THRESHOLD, estimate: float = ESTIMATE, task_shingles: int = TASK_SHINGLES, rounds: int = ROUNDS) -> DataFrame:
+    """(node, check, grp) for the texts that have near copies; node and check are a text's hashes, 128 bits together.
+
+    Groups are the components of pairs whose exact Jaccard similarity is at least threshold, and
+    whose estimate is at least estimate. Components of the estimates come first; a component of these
+    is verified in one task, where one pass over the different texts of it compares a text with all others.
+    Components of more than task_shingles shingles are verified by linked() instead, with the same result.
+    """
+    texts = texts_of(docs, text, doc_id)
+    sk = cut(sketches(texts, words, k))
+    lists = cut(inverted(sk, k, estimate))
+    near = linked(lists, lambda pairs: estimated(pairs, sk, k, estimate, threshold), rounds)
+    if near is None:
+        return docs.sparkSession.createDataFrame([], "node bigint, check bigint, grp bigint")
+    named = near.join(sk.select("node", "check", "rid", "n"), "node")
+    sized = cut(named.join(named.groupBy("component").agg(F.sum(F.col("n").cast("bigint")).alias("size")), "component"))
+    # one row a text: the one of the least check and id, so that copies are spread over the tasks of the join
+    whole = texts.join(sized, ["node", "check", "rid"]).select("component", "node", "check", "rid", "size", "n", "text").dropDuplicates(["node", "check", "rid"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = _Hashes()
-        t = t.drop_duplicates("node")
-        sets = {n: shingles(x, memo, words) for n, x in zip(t.node, t.text)}
-        up: dict = {}
-
-        def top(x):
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
-
-        for a, b in e.sort_values(["e", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-            x, y = top(a), top(b)
-            if x != y and jaccard(sets[a], sets[b]) >= threshold:
-                up[max(x, y)] = min(x, y)
-        tops = {n: top(n) for n in sets}
-        many = pd.Series(tops).value_counts()
-        rows = [(n, g) for n, g in tops.items() if many[g] > 1]
-        return pd.DataFrame(rows, columns=["node", "grp"]).astype("int64")
+        now, held, out = None, [], []
 
-    small = F.expr(f"size <= {task_shingles}")
-    inside = linked.filter(small).groupBy("component").cogroup(members.filter(small).groupBy("comp")).applyInPandas(verify, "node bigint, grp bigint")
-    if sized.filter(~small).isEmpty():
-        return inside
+        def close() -> None:
+            if len(held) > 1:
+                label = grouped([x for _, _, x in held], k, threshold, estimate)
+                many = np.bincount(label, minlength=len(label))
+                out.extend((held[i][0], held[i][1], held[g][0]) for i, g in enumerate(label.tolist()) if many[g] > 1)
+            held.clear()
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Hashes()
         for pdf in batches:
-            ok = [jaccard(shingles(x, memo, words), shingles(y, memo, words)) >= threshold for x, y in zip(pdf.ta, pdf.tb)]
-            yield pdf.loc[ok, ["a", "b"]]
+            for comp, node, check, t in zip(pdf["component"].tolist(), pdf["node"].tolist(), pdf["check"].tolist(), pdf["text"]):
+                if comp != now:
+                    close()
+                    now = comp
+                held.append((node, check, shingles(t, memo, words)))
+            if out:
+                yield pd.DataFrame(out, columns=["node", "check", "grp"])
+                out.clear()
+        close()
+        yield pd.DataFrame(out, columns=["node", "check", "grp"]).astype("int64")
 
-    large = members.filter(~small).dropDuplicates(["node"])
-    pairs = linked.filter(~small).select("a", "b").join(large.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    pairs = pairs.join(large.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").mapInPandas(compare, "a bigint, b bigint")
-    return inside.unionByName(components(pairs, "a", "b").select("node", F.col("component").alias("grp")))
+    small = F.expr(f"size <= {task_shingles}")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    order = whole.filter(small).select("component", "node", "check", "text").repartition(parts, "component").sortWithinPartitions("component", "node")
+    inside = order.mapInPandas(verify, "node bigint, check bigint, grp bigint")
+    if sized.filter(~small).isEmpty():
+        return inside
+    large = cut(whole.filter(~small).select("node", "check", "text"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            memo = _Hashes()
+            for pdf in batches:
+                ok = []
+                for x, y in zip(pdf["ta"], pdf["tb"]):
+                    x, y = shingles(x, memo, words), shingles(y, memo, words)
+                    ok.append(jaccard(x, y) >= threshold and estimate_of(x, y, k) >= estimate)
+                yield pdf.loc[ok, ["a", "b"]]
+
+        both = estimated(pairs, sk, k, estimate, threshold).join(large.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        return both.join(large.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").mapInPandas(run, "a bigint, b bigint")
+
+    rest = linked(lists.join(large.select("node"), "node", "left_semi"), compare, rounds)
+    if rest is None:
+        return inside
+    return inside.unionByName(rest.join(large.select("node", "check"), "node").select("node", "check", F.col("component").alias("grp")))
 
 
 def kept(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """(doc_id, node, keep_id, keep_node): each different pair of id and text, and what is kept of its group."""
-    found = cut(groups(docs, text, **how))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).isNotNull().alias("some")).filter("some").drop("some")
-    rows = rows.join(found, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).over(Window.partitionBy("grp"))
-    return rows.withColumn("f", first).select("doc_id", "node", F.col("f.doc_id").alias("keep_id"), F.col("f.node").alias("keep_node"))
+    """(doc_id, node, check, rows, keep_id, keep_node): each different pair of id and text, how many rows
+    have it, and what is kept of its group."""
+    found = cut(groups(docs, text, doc_id, **how))
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), F.col(text)).alias("check"), F.col(text).isNotNull().alias("some")).filter("some")
+    each = each.groupBy("doc_id", "node", "check").agg(F.count("*").alias("rows"))
+    # a text without near copies is a group of its own, by both hashes
+    named = cut(each.join(found, ["node", "check"], "left").withColumn("own", F.when(F.col("grp").isNull(), F.col("check")).otherwise(0)).withColumn("grp", F.coalesce("grp", "node")))
+    first = named.groupBy("grp", "own").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))).alias("f"))
+    return named.join(first, ["grp", "own"]).select("doc_id", "node", "check", "rows", F.col("f.doc_id").alias("keep_id"), F.col("f.node").alias("keep_node"))
 
 
 def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
@@ -182,9 +299,10 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **ho
     * An empty table gives an empty table. Other columns aren't read.
     """
     rows = kept(docs, text, doc_id, **how)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("keep_node"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
-    return rows.withColumn("i", nth).filter(~stays | (F.col("i") > 1)).select("doc_id", F.col("keep_id").alias("kept_doc_id"))
+    gone = F.col("rows") - stays.cast("int")
+    listed = rows.withColumn("i", gone).filter("i > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("i"))))
+    return listed.select("doc_id", F.col("keep_id").alias("kept_doc_id"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
@@ -193,7 +311,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **ho
     Of rows alike in id and text one stays, the first in the order of the other columns. All
     columns are passed on, whatever their names.
     """
-    key, mark, nth = fresh(docs, "_key", "_mark", "_nth")
+    key, nth = fresh(docs, "_key", "_nth")
     hashed = lambda d, n: F.xxhash64(F.coalesce(d.cast("string"), F.lit("\0")), n)
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("node") == F.col("keep_node"))
     keys = kept(docs, text, doc_id, **how).filter(stays).select(hashed(F.col("doc_id"), F.col("node")).alias(key)).distinct()

@@ -61,10 +61,75 @@ def test_against_brute_force(spark, seed):
     assert len(both) >= 0.97 * len(want)  # pairs at the very threshold may fall below the estimate
 
 
-def test_large_components_give_the_same(spark):
+@pytest.mark.parametrize("how", [{"task_shingles": 1}, {"rounds": 0}, {"rounds": 4}, {"task_shingles": 1, "rounds": 0}])
+def test_other_ways_give_the_same(spark, how):
     rows = corpus(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(minhash.duplicates(docs, task_shingles=1).collect()) == sorted(minhash.duplicates(docs).collect())
+    assert sorted(minhash.duplicates(docs, **how).collect()) == sorted(minhash.duplicates(docs).collect())
+
+
+def test_lists_hold_every_pair_of_enough_estimate(spark):
+    """All pairs by brute force; with leading values only on one side."""
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sk = minhash.sketches(minhash.texts_of(docs, "text", "doc_id"))
+    lists = minhash.inverted(sk).collect()
+    by_value = {}
+    for r in lists:
+        by_value.setdefault(r.v, []).append(r)
+    pairs = {(min(x.node, y.node), max(x.node, y.node)) for l in by_value.values() for x in l if x.leads for y in l if x.node != y.node}
+    s = {r.node: minhash.np.array(sorted(r.s)) for r in sk.collect()}
+    nodes = sorted(s)
+    near = {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if minhash.estimate_of(s[a], s[b]) >= minhash.ESTIMATE}
+    assert near and near <= pairs
+
+
+def test_edges_of_a_cluster_grow_with_its_nodes(spark):
+    """Pages of one template make about as many pairs as pages, and copies of one text reach the verification once."""
+    r = random.Random(5)
+    page = [f"t{i}" for i in range(100)]
+    texts = [" ".join([*page, *(f"u{r.randrange(10**9)}" for _ in range(3))]) for _ in range(1500)]
+    docs = spark.createDataFrame([*enumerate(texts), *((5000 + i, texts[0]) for i in range(5000))], "doc_id long, text string")
+    made = []
+    sk = minhash.sketches(minhash.texts_of(docs, "text", "doc_id"))
+    assert sk.count() == 1500
+
+    def compare(pairs):
+        made.append(pairs.count())
+        return minhash.estimated(pairs, sk)
+
+    minhash.linked(minhash.inverted(sk), compare)
+    assert 1499 <= sum(made) < 10 * 1500
+    assert minhash.duplicates(docs).count() == 6499
+
+
+def test_passages_lead_in_no_list(spark):
+    """Texts of which half is one passage make no pairs, though they share half of their sketches."""
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join([*passage, *(f"u{r.randrange(10**9)}" for _ in range(130))])) for i in range(60)], "doc_id long, text string")
+    lists = minhash.inverted(minhash.sketches(minhash.texts_of(docs, "text", "doc_id")))
+    assert lists.filter("leads").select("node").distinct().count() < 15
+    assert minhash.duplicates(docs).count() == 0
+
+
+def test_groups_of_sets():
+    r = random.Random(8)
+    for _ in range(40):
+        base = [set(r.sample(range(10**6), 40)) for _ in range(4)]
+        sets = []
+        for _ in range(r.choice([2, 3, 9, 30])):
+            b = set(r.choice(base))
+            b -= set(r.sample(sorted(b), r.choice([0, 5, 12])))
+            sets.append(minhash.np.array(sorted(b | set(r.sample(range(10**6), r.choice([0, 4, 10])))), dtype="int64"))
+        label = minhash.grouped(sets)
+        want = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if minhash.jaccard(a, sets[j]) >= minhash.THRESHOLD and minhash.estimate_of(a, sets[j]) >= minhash.ESTIMATE:
+                    x, y = sorted((want[i], want[j]))
+                    want = [x if w == y else w for w in want]
+        assert label.tolist() == want
 
 
 def test_cases(spark):
