@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +108,14 @@ def inverted(sk: DataFrame, k: int = K, estimate: float = ESTIMATE) -> DataFrame
     """
     m = int(np.ceil(k * estimate - 1e-9))
     low = (k + m) // 2
-    each = sk.select("node", "n", F.size("s").alias("z"), F.posexplode("s").alias("i", "v"))
-    often = each.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
-    per = each.join(often, "v").groupBy("node", "n", "z").agg(F.array_sort(F.collect_list(F.struct("f", "v", "i"))).alias("l"))
+    often = sk.select(F.explode("s").alias("v")).groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
+    # n, z and the rank i of a value in one number: these rows are all the values of all the sketches
+    bits, low_bits = k.bit_length(), F.lit((1 << k.bit_length()) - 1)
+    packed = F.shiftleft(F.shiftleft(F.col("n").cast("bigint"), bits) + F.size("s"), bits)
+    each = sk.select("node", packed.alias("nz"), F.posexplode("s").alias("i", "v")).select("node", F.col("nz").bitwiseOR(F.col("i").cast("bigint")).alias("x"), "v")
+    found = each.join(often, "v").select("node", F.shiftright("x", bits).alias("nz"), F.struct("f", "v", F.col("x").cast("int").bitwiseAND(low_bits).alias("i")).alias("e"))
+    per = found.groupBy("node", "nz").agg(F.array_sort(F.collect_list("e")).alias("l"))
+    per = per.select("node", F.shiftright("nz", bits).cast("int").alias("n"), F.col("nz").cast("int").bitwiseAND(low_bits).alias("z"), "l")
     spare = F.size("l") - F.ceil(F.col("z") * estimate - 1e-9) + 1
     first = F.filter("l", lambda x: x["i"] < low)
     lead = F.when(F.col("z") == k, F.slice(first, 1, F.greatest(F.lit(0), F.size(first) - m + 1))).otherwise(F.slice("l", 1, spare.cast("int")))
@@ -215,7 +221,17 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str | None = None, words
     texts = texts_of(docs, text, doc_id)
     sk = cut(sketches(texts, words, k))
     lists = cut(inverted(sk, k, estimate))
-    near = linked(lists, lambda pairs: estimated(pairs, sk, k, estimate, threshold), rounds)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # the sketches that are compared, laid out by node once for all rounds; a part that is lost is made again
+    ready = sk.join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "s").repartition(parts, "node").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _verified(docs, texts, sk, lists, ready, parts, words, k, threshold, estimate, task_shingles, rounds)
+    finally:
+        ready.unpersist()
+
+
+def _verified(docs: DataFrame, texts: DataFrame, sk: DataFrame, lists: DataFrame, ready: DataFrame, parts: int, words: int, k: int, threshold: float, estimate: float, task_shingles: int, rounds: int) -> DataFrame:
+    near = linked(lists, lambda pairs: estimated(pairs, ready, k, estimate, threshold), rounds)
     if near is None:
         return docs.sparkSession.createDataFrame([], "node bigint, check bigint, grp bigint")
     named = near.join(sk.select("node", "check", "rid", "n"), "node")
@@ -247,7 +263,6 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str | None = None, words
         yield pd.DataFrame(out, columns=["node", "check", "grp"]).astype("int64")
 
     small = F.expr(f"size <= {task_shingles}")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     order = whole.filter(small).select("component", "node", "check", "text").repartition(parts, "component").sortWithinPartitions("component", "node")
     inside = order.mapInPandas(verify, "node bigint, check bigint, grp bigint")
     if sized.filter(~small).isEmpty():
@@ -264,7 +279,7 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str | None = None, words
                     ok.append(jaccard(x, y) >= threshold and estimate_of(x, y, k) >= estimate)
                 yield pdf.loc[ok, ["a", "b"]]
 
-        both = estimated(pairs, sk, k, estimate, threshold).join(large.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        both = estimated(pairs, ready, k, estimate, threshold).join(large.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return both.join(large.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").mapInPandas(run, "a bigint, b bigint")
 
     rest = linked(lists.join(large.select("node"), "node", "left_semi"), compare, rounds)
