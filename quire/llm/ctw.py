@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from quire.llm import sharedfile
 from quire.llm.common import cut, fresh, new_folder
 
-#: Bytes of context at most.
-DEPTH = 4
+#: Bytes of context at most; a key of 64 bits has room for DEEPEST.
+DEPTH, DEEPEST = 6, 6
+#: Contexts and bytes in a file of the model.
+FILE = 8_000_000
 
 
 def keys_of(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,17 +60,34 @@ TOP = 2
 GROUP = 200_000
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mixed(kt: np.ndarray, pe: np.ndarray, kids: np.ndarray, deeper: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The probability of a bit at a node: its own estimate and the one from deeper, by the weights of both.
+
+    pe and kids are the logs of the estimated and of the children's probability of all that was counted
+    there; where own is 1 the bit itself is among that, and is taken out first (kt and deeper are without it).
+    """
+    pe, kids = pe - own * np.log(kt), kids - own * np.log(deeper)
+    stop = np.exp(pe - np.logaddexp(pe, kids))
+    return stop * kt + (1 - stop) * deeper
+
+
+def kt_of(n0: np.ndarray, n1: np.ndarray, bit: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The Krichevsky-Trofimov probability of a bit after these counts, of which own are the bit's own."""
+    return (np.where(bit == 1, n1, n0) - own + 0.5) / (n0 + n1 - own + 1.0)
+
+
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int, top: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The trees from depth top down, for the 255 inner nodes of the byte's binary code.
 
     The keys are all those of some contexts of depth top. Gives for each key the weighted
-    probability of its 8 bits from depth top down; and for each node of depth top the number of
-    the node above (its context and code), and the log of the weighted probability of all that
-    was counted there, and both counts.
+    probability of its 8 bits from depth top down (with own, after all that was counted but one
+    occurrence of the key); and for each node of depth top the number of the node above (its context
+    and code), and the log of the weighted probability of all that was counted there, and both counts.
     """
     probs = np.ones((len(keys), 8))
     above, sums = [], []
     byte, ctx = keys & 255, keys >> 8
+    mine = (n > 0).astype(np.float64) if own else np.zeros(len(keys))
     for k in range(8):
         code = (1 << k) | (byte >> (8 - k))
         bit = (byte >> (7 - k)) & 1
@@ -81,14 +100,14 @@ def subtree(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.n
             m = len(uniq)
             n0, n1 = np.bincount(inv, c0, m), np.bincount(inv, c1, m)
             pe = kt_log(n0, n1)
+            path = inv[path]
+            kt = kt_of(n0[path], n1[path], bit, mine)
             if child is None:
-                pw, stop = pe, np.ones(m)
+                pw, q = pe, kt
             else:
-                pw = np.logaddexp(pe, np.bincount(inv, lpw, m)) - log(2)
-                stop = np.exp(pe - log(2) - pw)
-            path = inv[path]
-            kt = (np.where(bit == 1, n1[path], n0[path]) + 0.5) / (n0[path] + n1[path] + 1.0)
-            q = kt if q is None else stop[path] * kt + (1 - stop[path]) * q
+                kids = np.bincount(inv, lpw, m)
+                pw = np.logaddexp(pe, kids) - log(2)
+                q = mixed(kt, pe[path], kids[path], q, mine)
             child, c0, c1, lpw = uniq, n0, n1, pw
         probs[:, k] = q
         above.append(((child >> 16) << 8) | (child & 255))
@@ -96,9 +115,9 @@ def subtree(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.n
     return probs, np.concatenate(above), np.concatenate(sums)
 
 
-def upper(nodes: dict[int, tuple[float, float, float]], top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def upper(nodes: dict[int, tuple[float, float, float]], top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For the depths top - 1 to 0: by context and code (256 x 256 at depth 1, 1 x 256 at depth 0) the
-    counts of both bits, and the weight of the node's own estimate."""
+    counts of both bits, and the logs of the estimated and of the children's probability."""
     out = []
     size = 256 ** (top - 1)
     kids, n0, n1 = (np.zeros((size, 256)) for _ in range(3))
@@ -106,11 +125,11 @@ def upper(nodes: dict[int, tuple[float, float, float]], top: int) -> list[tuple[
         kids[at >> 8, at & 255], n0[at >> 8, at & 255], n1[at >> 8, at & 255] = l, a, b
     while True:
         pe = kt_log(n0, n1)
-        pw = np.logaddexp(pe, kids) - log(2)
-        out.append((n0, n1, np.exp(pe - log(2) - pw)))
+        out.append((n0, n1, pe, kids))
         if size == 1:
             return out
         size //= 256
+        pw = np.logaddexp(pe, kids) - log(2)
         kids, n0, n1 = (x.reshape(size, 256, 256).sum(1) for x in (pw, n0, n1))
 
 
@@ -159,35 +178,43 @@ class Model:
         return np.array([s[0] for s in self.shards], np.int64), [(sharedfile.get(k), sharedfile.get(c)) for _, _, k, c in self.shards]
 
 
-def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text", depth: int = DEPTH) -> Model:
+def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text", depth: int = DEPTH, own: bool = False, group_size: int = GROUP, file_size: int = FILE) -> Model:
     """The context trees of all the texts of corpus.
 
     For each byte and context that corpus has (and scored, whose texts aren't counted but may be
     scored by the model) it holds the code length of the byte: along the byte's 8 binary
     decisions, the Krichevsky-Trofimov estimates of depths 0 to depth, mixed by the weights that
-    the corpus gives them. Counts are added up over the whole corpus; trees are computed in groups
-    of contexts by their latest two bytes, and joined above from 256 x 255 sums. The model goes to the shared folder
-    in shards by range of key; its size is that of the different contexts, not of the corpus.
+    the corpus gives them. With own, these are the estimates and weights of the corpus without one
+    occurrence of the byte there: what a byte of corpus costs after all others. Counts are added up
+    over the whole corpus; trees are computed in groups of contexts by their latest two bytes, and
+    joined above from 256 x 255 sums. The model goes to the shared folder in files by range of key;
+    its size is that of the different contexts, not of the corpus. group_size is the average of keys
+    in a group, file_size the bound of keys in a file, about; neither changes a score.
+
+    Null and empty texts count nothing; an empty corpus gives a model that scores each decision of
+    scored as even. depth is 1 to DEEPEST.
     """
+    if not 1 <= depth <= DEEPEST:
+        raise ValueError(f"depth is from 1 to {DEEPEST}")
     spark = corpus.sparkSession
     found = gather(corpus.select(F.col(text).alias("text")), depth, 1)
     if scored is not None:
         found = found.unionByName(gather(scored.select(F.col(text).alias("text")), depth, 0))
     counts = cut(found.groupBy("key").agg(F.sum("n").alias("n")))
     total, top = counts.count(), min(TOP, depth)
-    group = F.pmod(F.xxhash64(F.shiftright("key", 8 * (depth - top + 1))), F.lit(max(1, -(-total // GROUP))))
+    group = F.pmod(F.xxhash64(F.shiftright("key", 8 * (depth - top + 1))), F.lit(max(1, -(-total // group_size))))
 
     def trees(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
         keys = pdf["key"].to_numpy(np.int64)
-        probs, above, sums = subtree(keys, pdf["n"].to_numpy(np.float64), depth, top)
+        probs, above, sums = subtree(keys, pdf["n"].to_numpy(np.float64), depth, top, own)
         named, inv = np.unique(above, return_inverse=True)
         added = np.zeros((len(named), 8))
         for j in range(3):
             added[:, j] = np.bincount(inv, sums[:, j], len(named))
-        return pd.DataFrame({"key": np.concatenate([keys, -1 - named]), "q": list(np.concatenate([probs, added]))})
+        return pd.DataFrame({"key": np.concatenate([keys, -1 - named]), "own": np.concatenate([(pdf["n"].to_numpy() > 0) & own, np.zeros(len(named), bool)]), "q": list(np.concatenate([probs, added]))})
 
-    fitted = cut(counts.groupBy(group.alias("g")).applyInPandas(trees, "key bigint, q array<double>"))
+    fitted = cut(counts.groupBy(group.alias("g")).applyInPandas(trees, "key bigint, own boolean, q array<double>"))
     added = fitted.filter("key < 0").groupBy("key").agg(*[F.sum(F.col("q")[j]).alias(f"s{j}") for j in range(3)])
     levels = upper({-1 - r.key: (r.s0, r.s1, r.s2) for r in added.collect()}, top)  # 256 x 255 rows at most
     folder = new_folder(spark, "ctw")
@@ -197,15 +224,14 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
         for pdf in batches:
             if len(pdf):
                 keys = pdf["key"].to_numpy(np.int64)
-                q = np.stack(pdf["q"].to_numpy())
+                q, mine = np.stack(pdf["q"].to_numpy()), pdf["own"].to_numpy(np.float64)
                 byte = keys & 255
                 bits = np.zeros(len(keys))
                 for k in range(8):
                     code, bit, p = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1, q[:, k]
-                    for d, (n0, n1, stop) in zip(range(top - 1, -1, -1), levels):
+                    for d, (n0, n1, pe, kids) in zip(range(top - 1, -1, -1), levels):
                         at = (keys >> (8 * (depth - d + 1)), code)
-                        kt = (np.where(bit == 1, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1.0)
-                        p = stop[at] * kt + (1 - stop[at]) * p
+                        p = mixed(kt_of(n0[at], n1[at], bit, mine), pe[at], kids[at], p, mine)
                     bits -= np.log2(p)
                 ks.append(keys)
                 cs.append(bits)
@@ -214,22 +240,25 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
             name = f"{keys[0]:016x}"
             yield pd.DataFrame([(int(keys[0]), len(keys), sharedfile.put(folder, f"k{name}", keys), sharedfile.put(folder, f"c{name}", bits.astype(np.float32)))], columns=["lo", "n", "k", "c"])
 
-    parts = max(1, -(-total // 8_000_000))
+    parts = max(1, -(-total // file_size))
     shards = fitted.filter("key >= 0").repartitionByRange(parts, "key").sortWithinPartitions("key")
     rows = shards.mapInPandas(write, "lo bigint, n bigint, k string, c string").collect()
     return Model([(r.lo, r.n, r.k, r.c) for r in rows], depth)
 
 
-def score(docs: DataFrame, model: Model | None = None, text: str = "text", depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, model: Model | None = None, text: str = "text", depth: int = DEPTH, **how) -> DataFrame:
     """docs with n_bytes, bits and bits_per_byte of each whole text under the model.
 
-    Without a model, the one of docs itself is fitted: all texts are counted, also the one that
-    is scored. A null or empty text has 0 bytes, 0 bits and a null bits_per_byte, and teaches the
-    model nothing. Repeated rows count as often as they are there and get equal scores. An empty
-    table gives an empty table. Where docs has columns of these names, the new ones have
-    underscores before them; no column is lost.
+    Without a model, docs itself is counted, and each byte is scored by all of docs but that one
+    occurrence of it: what only one text has, it can't predict for itself, while what a second copy or
+    the rest of the text has, it can. how: group_size and file_size of fit().
+
+    A null or empty text has 0 bytes, 0 bits and a null bits_per_byte, and teaches the model
+    nothing. Repeated rows count as often as they are there and get equal scores. A text with a byte and
+    context that the model wasn't fitted for (see scored in fit()) is an error. An empty table gives an empty table. Where docs has
+    columns of these names, the new ones have underscores before them; no column is lost.
     """
-    model = fit(docs, text=text, depth=depth) if model is None else model
+    model = fit(docs, text=text, depth=depth, own=True, **how) if model is None else model
     names = fresh(docs, "n_bytes", "bits", "bits_per_byte")
     (f,) = fresh(docs, "_f")
 
@@ -237,15 +266,22 @@ def score(docs: DataFrame, model: Model | None = None, text: str = "text", depth
         los, shards = model.open()
 
         def bits_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            def cost_of(i: int, keys: np.ndarray) -> np.ndarray:
+                there, cost = shards[i]
+                at = np.minimum(np.searchsorted(there, keys), len(there) - 1)
+                if (there[at] != keys).any():
+                    raise ValueError("the model wasn't fitted for the texts that are scored")
+                return cost[at]
+
             keys, starts = keys_of(texts, model.depth)
             if len(shards) == 1:
-                cost = shards[0][1][np.searchsorted(shards[0][0], keys)]
+                cost = cost_of(0, keys)
             else:
                 cost = np.empty(len(keys), np.float32)
-                shard = np.searchsorted(los, keys, side="right") - 1
+                shard = np.maximum(np.searchsorted(los, keys, side="right") - 1, 0)
                 for i in np.unique(shard):
                     at = shard == i
-                    cost[at] = shards[i][1][np.searchsorted(shards[i][0], keys[at])]
+                    cost[at] = cost_of(i, keys[at])
             sizes = np.diff(np.append(starts, len(keys)))
             return sizes, np.add.reduceat(cost.astype(np.float64), starts)
 
@@ -270,4 +306,4 @@ def score(docs: DataFrame, model: Model | None = None, text: str = "text", depth
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(docs).select("doc_id", "n_bytes", F.round("bits", 3).alias("bits"), F.round("bits_per_byte", 6).alias("bits_per_byte"))
+    return score(docs).select("doc_id", "n_bytes", F.round("bits_per_byte", 6).alias("bits_per_byte"))

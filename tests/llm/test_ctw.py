@@ -8,8 +8,9 @@ import pytest
 from quire.llm import ctw
 
 
-def brute_bits(corpus, text, depth):
-    """Bits of text given the trees of corpus: each decision's P(corpus + bit) / P(corpus)."""
+def brute_bits(corpus, text, depth, own=False):
+    """Bits of text given the trees of corpus: each decision's P(corpus + bit) / P(corpus), or with own
+    P(corpus) / P(corpus - bit)."""
     counts = {}
 
     def path(ctx, code):
@@ -43,12 +44,13 @@ def brute_bits(corpus, text, depth):
 
     total = 0.0
     for ctx, code, bit in walk(text):
+        step = -1 if own else 1
         before = pw(code, b"")
         for node in path(ctx, code):
-            counts.setdefault(node, [0, 0])[bit] += 1
-        total -= (pw(code, b"") - before) / log(2)
+            counts.setdefault(node, [0, 0])[bit] += step
+        total -= step * (pw(code, b"") - before) / log(2)
         for node in path(ctx, code):
-            counts[node][bit] -= 1
+            counts[node][bit] -= step
     return total
 
 
@@ -68,8 +70,40 @@ def test_against_brute_force(spark, depth):
     texts = ["abracadabra", "abrac é", "zz", "abra"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.bits for r in ctw.score(docs, depth=depth).collect()}
+    model = ctw.fit(docs, docs, depth=depth)
+    with_own = {r.doc_id: r.bits for r in ctw.score(docs, model).collect()}
     for i, t in enumerate(texts):
-        assert got[i] == pytest.approx(brute_bits(texts, t, depth), rel=1e-5)
+        assert got[i] == pytest.approx(brute_bits(texts, t, depth, own=True), rel=1e-5)
+        assert with_own[i] == pytest.approx(brute_bits(texts, t, depth), rel=1e-5)
+
+
+def test_groups_and_files_change_no_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: r.bits for r in ctw.score(docs, depth=3).collect()}
+    many = {r.doc_id: r.bits for r in ctw.score(docs, depth=3, group_size=500, file_size=3000).collect()}
+    assert one == pytest.approx(many, rel=1e-6)
+
+
+def test_copies_are_told_apart(spark):
+    """Of texts of random letters, those that are there twice are cheap, and those that are there once aren't."""
+    import random
+
+    r = random.Random(1)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400)) for _ in range(20)]
+    prose = [r_.text for r_ in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate([*junk, *junk[:10], *prose])), "doc_id long, text string")
+    got = {x.doc_id: x.bits_per_byte for x in ctw.score(docs).collect()}
+    assert max(got[i] for i in range(10)) + 1 < min(got[i] for i in range(10, 20))
+    assert [got[i] for i in range(10)] == pytest.approx([got[20 + i] for i in range(10)])
+
+
+def test_depths(spark):
+    docs = spark.createDataFrame([("abc",)], "text string")
+    for depth in (0, 7):
+        with pytest.raises(ValueError):
+            ctw.fit(docs, depth=depth)
+    model = ctw.fit(docs.limit(0), docs, depth=2)
+    assert ctw.score(docs, model).first().bits == pytest.approx(24)
 
 
 def test_held_out(spark):
@@ -81,6 +115,12 @@ def test_held_out(spark):
     assert low * 7 == pytest.approx(brute_bits(["the cat sat on the mat " * 20], "the mat", 3), rel=1e-4)
 
 
+def test_texts_that_the_model_does_not_know(spark):
+    model = ctw.fit(spark.createDataFrame([("abc",)], "text string"))
+    with pytest.raises(Exception, match="wasn't fitted"):
+        ctw.score(spark.createDataFrame([("abd",)], "text string"), model).collect()
+
+
 def test_cases(spark):
     rows = [(1, None, "x"), (None, "", "y"), (2, "aa", "z"), (2, "aa", "z"), (3, "b" * 300_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bits string")
