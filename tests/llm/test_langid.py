@@ -89,3 +89,65 @@ def test_sample_takes_texts_not_rows(spark):
     got = langid.sample_of(few.union(none).union(many)).collect()
     assert len({(r.lang, r.text) for r in got}) == len(got)
     assert Counter(r.lang for r in got) == {"a": 5, "b": 3, "c": langid.SAMPLE}
+
+
+def brute_identify(counts, text, max_n=langid.MAX_N, min_count=langid.MIN_COUNT):
+    """(language, margin, accepted) of a text by the counts of words (language -> Counter), from first principles."""
+    from math import log
+
+    langs = sorted(counts)
+    vocabulary = {w for c in counts.values() for w in c}
+    known = {w for w in vocabulary if sum(c[w] for c in counts.values()) >= min_count}
+    grams = {g: Counter() for g in langs}
+    for g in langs:
+        for w, n in counts[g].items():
+            marked = f"\x02{w}\x03"
+            for k in range(1, max_n + 1):
+                for i in range(len(marked) - k + 1):
+                    grams[g][marked[i : i + k]] += n
+    every = {m for g in langs for m in grams[g]}
+    kinds = Counter(len(m) for m in every)
+
+    def of_word(w, g):
+        if w in known:
+            return log((counts[g][w] + 0.5) / (sum(counts[g].values()) + 0.5 * len(known)))
+        marked, total = f"\x02{w}\x03", 0.0
+        while marked:
+            fits = [k for k in range(min(max_n, len(marked)), 0, -1) if sum(grams[h][marked[:k]] for h in langs) >= min_count]
+            if fits:
+                k = fits[0]
+                n = sum(v for m, v in grams[g].items() if len(m) == k)
+                total += log((grams[g][marked[:k]] + 0.5) / (n + 0.5 * kinds[k]))
+            marked = marked[fits[0] if fits else 1 :]
+        return total
+
+    words = [w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+    if not words:
+        return langid.UNKNOWN, 0.0, False
+    per = {w: {g: of_word(w, g) for g in langs} for w in set(words)}
+    total = {g: sum(per[w][g] for w in words) for g in langs}
+    best = max(langs, key=lambda g: (total[g], [-ord(c) for c in g]))
+    margin = (total[best] - max(total[g] for g in langs if g != best)) / len(words)
+    return best, margin, margin >= langid.MIN_MARGIN and sum(map(len, words)) / len("".join(text.split())) >= langid.MIN_LETTERS
+
+
+def test_identify_against_brute_force(spark):
+    """Few counts, so that most words fall back to n-grams of all lengths."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    rows = docs.collect()
+    counts = {}
+    for r in rows[::7]:
+        counts.setdefault(r.lang, Counter()).update(langid.words_of(" ".join(r.text.split()[:12])))
+    model = langid.Backoff(counts)
+    some = spark.createDataFrame([(r.doc_id, r.text[:600]) for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(some, model).collect()}
+    for r in some.collect():
+        lang, margin, ok = brute_identify(counts, r.text)
+        x = got[r.doc_id]
+        assert (x.language, x.accepted) == (lang, ok) and x.margin == pytest.approx(margin, abs=1e-9)
+
+
+def test_ties_go_to_the_first_by_name(spark):
+    same = Counter({"a": 3, "b": 2})
+    out = langid.identify(spark.createDataFrame([("a b",)], "text string"), langid.Backoff({"y": same, "x": same, "z": same})).first()
+    assert (out.language, out.margin, out.accepted) == ("x", 0.0, False)
