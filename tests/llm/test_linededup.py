@@ -2,24 +2,30 @@
 
 import re
 
+import pytest
+
 from quire.llm import linededup
 
 
-def brute(texts, most):
+def brute(rows, most, count="documents"):
+    """The texts of rows (doc_id, text)."""
     norm = lambda x: re.sub(r"[ \t\r\f]+", " ", x).strip(" ").lower()
     have = {}
-    for t in {t for t in texts if t is not None}:
+    for _, t in {(i if count == "documents" else 0, t) for i, t in rows if t is not None}:
         for x in {norm(x) for x in t.split("\n")} - {""}:
             have[x] = have.get(x, 0) + 1
-    return [None if t is None else "\n".join(x for x in t.split("\n") if have.get(norm(x), 0) <= most) for t in texts]
+    return [None if t is None else "\n".join(x for x in t.split("\n") if have.get(norm(x), 0) <= most) for _, t in rows]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("count", ["documents", "texts"])
+def test_against_brute_force(spark, count):
     texts = [f"own {i}\nShared  LINE\n\n" + ("rare\n" if i < 3 else "") + "shared line\nend" for i in range(12)] + ["same\nrare"] * 30 + [None, ""]
-    rows = list(enumerate(texts))
-    got = {r.doc_id: r.text for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), max_docs=4).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts, 4)
-    assert got[12] == "same\nrare"  # copies of one document count once
+    rows = [*enumerate(texts), *[(77, "twice")] * 9, *[(None, "none")] * 9]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), max_docs=4, count=count).collect()
+    assert sorted(got, key=str) == sorted(zip((i for i, _ in rows), brute(rows, 4, count)), key=str)
+    same = {r.text for r in got if r.doc_id in range(12, 42)}
+    assert same == ({""} if count == "documents" else {"same\nrare"})  # copies count, or count once
+    assert {r.text for r in got if r.doc_id in (77, None)} == {"twice", "none"}  # repeated rows are one document
 
 
 def test_cases(spark):

@@ -41,7 +41,7 @@ def brute(docs, model):
         letters = sum(map(len, words)) / len("".join(t.split()))
         if margin >= langid.MIN_MARGIN and letters >= langid.MIN_LETTERS and (lang is None or lang not in model.langs or lang == model.langs[order[0]] or margin < langid.REFUTES):
             kept.append((i, t, s))
-    texts = test_linededup.brute([t for _, t, _ in kept], MAX_DOCS)
+    texts = test_linededup.brute([(i, t) for i, t, _ in kept], MAX_DOCS, "texts")
     kept = [(i, t, s) for (i, _, s), t in zip(kept, texts)]
     gone = {i for i, _ in test_minhash.brute([(i, t) for i, t, _ in kept])}
     kept = [r for r in kept if r[0] not in gone]
