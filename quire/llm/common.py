@@ -3,36 +3,15 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.storage import cut, new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors reach, as the session's spark.checkpoint.dir names it.
-
-    Only where that setting is absent (tests, a laptop) a new folder is made for the session.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-shared-")
-        sc.setCheckpointDir(at)
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """The URI of a folder, not yet made, in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and free of their lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "fresh", "n_tokens", "new_folder", "shared", "shared_dir"]
 
 
 def shared(spark: SparkSession, value) -> Callable[[], object]:

@@ -13,8 +13,8 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 DEFAULT_WEIGHT = 1.0
 #: The total budget, as a share of the tokens there are.
 BUDGET_SHARE = 0.5
-#: Ranges that a prefix sum is split into; a range of the largest source holds 1/RANGES of it.
-RANGES = 4096
+#: Rows in a range that one task adds up, on average; there are as many ranges as that takes.
+RANGE = 100_000
 
 
 def weight_of(source: Column, weights: dict[str, float], default: float) -> Column:
@@ -49,11 +49,12 @@ def fair_queue(
     budget_share: float = BUDGET_SHARE,
     budget: int | None = None,
     seed: str = SEED,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """(doc_id, source, th, n_tokens, finish, total) for the documents that the mix takes.
 
-    See mix() for the cases. total counts the tokens taken up to and with this document.
+    See mix() for the cases. ranges, which prefix sums are split into, follow from the number of rows
+    and change no result. total counts the tokens taken up to and with this document.
     """
     weights = WEIGHTS if weights is None else weights
     narrow = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("th"), n_tokens(F.col("text")).alias("n_tokens"))
@@ -63,9 +64,10 @@ def fair_queue(
         .withColumn("src", F.coalesce("source", F.lit("")))
         .withColumn("null_src", F.col("source").isNull())
         .withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("th"))))
-        .withColumn("b", F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(float(1 << 32)))
-        .withColumn("b", F.floor("b").cast("int"))
     )
+    queue = cut(queue)  # all that needs the texts
+    ranges = max(1, -(-queue.count() // RANGE)) if ranges is None else ranges
+    queue = queue.withColumn("b", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(float(1 << 32))).cast("int"))
     queue = _prefix(queue, ["src", "null_src"], "b", ["key"], "n_tokens", "cum")
     queue = cut(queue.withColumn("finish", F.col("cum") / weight_of(F.col("source"), weights, default)).drop("b", "cum"))
     top, tokens = queue.agg(F.max("finish"), F.sum("n_tokens")).first()
