@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import n_tokens
+from quire.llm.common import cut, n_tokens
 
 #: Tokens in a sequence.
 LENGTH = 2048
-#: Pieces that are packed together, on average; shards only bound a task's memory.
+#: Pieces (documents, or parts of long ones) that are packed together, on average; shards only bound a task's memory.
 SHARD = 20_000
 
 SCHEMA = "bin_id bigint, pos int, doc_id bigint, piece int, start bigint, n_tokens bigint"
@@ -85,7 +85,8 @@ def pack(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame
         .select("doc_id", "no_id", "n", F.posexplode(F.sequence(F.lit(0), ((F.col("n") - 1) / length).cast("int"))).alias("piece", "_p"))
         .select("doc_id", "no_id", "piece", (F.col("piece").cast("bigint") * length).alias("start"), F.least(F.lit(length), F.col("n") - F.col("piece").cast("bigint") * length).alias("n_tokens"))
     )
-    shards = max(1, -(-docs.count() // shard))
+    pieces = cut(pieces)  # all that needs the texts
+    shards = max(1, -(-pieces.count() // shard))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,7 +100,8 @@ def pack(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame
         out["doc_id"] = out["doc_id"].astype("Int64").mask(out["no_id"])
         return out[["bin_id", "pos", "doc_id", "piece", "start", "n_tokens"]]
 
-    return pieces.groupBy("shard").applyInPandas(run, SCHEMA)
+    # rows are small and the work on them isn't: without a number of its own, a few tasks would get all shards
+    return pieces.repartition(shards, "shard").groupBy("shard").applyInPandas(run, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -67,3 +67,24 @@ def test_cases(spark):
     out = packing.pack(docs).collect()
     assert sorted((str(r.doc_id), r.piece, r.n_tokens) for r in out) == [("3", 0, 2), ("3", 0, 2), ("None", 0, 2048), ("None", 1, 2048), ("None", 2, 904)]
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_many_shards(spark):
+    """Each shard is packed on its own by the rule; together they hold all pieces once."""
+    r = random.Random(9)
+    rows = [(i if i % 11 else None, "w " * r.choice([1, 5, 30, 63, 64, 65, 200])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.pack(docs, length=64, shard=40).collect()
+    shards = {}
+    for x in out:
+        shards.setdefault(x.bin_id >> 32, []).append(x)
+    assert 8 < len(shards) < 30
+    for own in shards.values():
+        pieces = sorted(own, key=lambda x: (x.doc_id is not None, x.doc_id or 0, x.piece, x.n_tokens))
+        want = packing.best_two_fit([x.n_tokens for x in pieces], 64)
+        bins = {}
+        for x in sorted(own, key=lambda x: x.pos):
+            bins.setdefault(x.bin_id, []).append(x.n_tokens)
+        assert sorted(bins.values()) == sorted([pieces[i].n_tokens for i in b] for b in want)
+    whole = sorted((str(x.doc_id), x.n_tokens) for x in out)
+    assert whole == sorted((str(i), min(64, len(t.split()) - p)) for i, t in rows for p in range(0, len(t.split()), 64))
