@@ -14,7 +14,7 @@ from quire.llm import sharedfile
 from quire.llm.common import cut, fresh, new_folder
 
 #: Bytes of context at most; a key of 64 bits has room for DEEPEST.
-DEPTH, DEEPEST = 6, 6
+DEPTH, DEEPEST = 5, 6
 #: Contexts and bytes in a file of the model.
 FILE = 8_000_000
 
@@ -151,14 +151,14 @@ def gather(texts: DataFrame, depth: int, weight: int) -> DataFrame:
                 if t:
                     texts.append(t)
                     size += len(t)
-                if texts and (t is None or size > 4_000_000):
+                if texts and (t is None or size > 2_000_000):
                     held.append(np.unique(keys_of(texts, depth)[0], return_counts=True))
                     rows += len(held[-1][0])
                     texts, size = [], 0
-            if rows > 3_000_000:
+            if rows > 2_000_000:
                 held = [merged()]
                 rows = len(held[0][0])
-                if rows > 2_000_000:
+                if rows > 1_000_000:
                     yield pd.DataFrame({"key": held[0][0], "n": held[0][1] * weight})
                     held, rows = [], 0
         if held:
@@ -212,10 +212,11 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
         added = np.zeros((len(named), 8))
         for j in range(3):
             added[:, j] = np.bincount(inv, sums[:, j], len(named))
-        return pd.DataFrame({"key": np.concatenate([keys, -1 - named]), "own": np.concatenate([(pdf["n"].to_numpy() > 0) & own, np.zeros(len(named), bool)]), "q": list(np.concatenate([probs, added]))})
+        q = np.concatenate([probs, added])
+        return pd.DataFrame({"key": np.concatenate([keys, -1 - named]), "own": np.concatenate([(pdf["n"].to_numpy() > 0) & own, np.zeros(len(named), bool)])} | {f"q{k}": q[:, k] for k in range(8)})
 
-    fitted = cut(counts.groupBy(group.alias("g")).applyInPandas(trees, "key bigint, own boolean, q array<double>"))
-    added = fitted.filter("key < 0").groupBy("key").agg(*[F.sum(F.col("q")[j]).alias(f"s{j}") for j in range(3)])
+    fitted = cut(counts.groupBy(group.alias("g")).applyInPandas(trees, "key bigint, own boolean, " + ", ".join(f"q{k} double" for k in range(8))))
+    added = fitted.filter("key < 0").groupBy("key").agg(*[F.sum(f"q{j}").alias(f"s{j}") for j in range(3)])
     levels = upper({-1 - r.key: (r.s0, r.s1, r.s2) for r in added.collect()}, top)  # 256 x 255 rows at most
     folder = new_folder(spark, "ctw")
 
@@ -224,11 +225,11 @@ def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text",
         for pdf in batches:
             if len(pdf):
                 keys = pdf["key"].to_numpy(np.int64)
-                q, mine = np.stack(pdf["q"].to_numpy()), pdf["own"].to_numpy(np.float64)
+                mine = pdf["own"].to_numpy(np.float64)
                 byte = keys & 255
                 bits = np.zeros(len(keys))
                 for k in range(8):
-                    code, bit, p = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1, q[:, k]
+                    code, bit, p = (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1, pdf[f"q{k}"].to_numpy()
                     for d, (n0, n1, pe, kids) in zip(range(top - 1, -1, -1), levels):
                         at = (keys >> (8 * (depth - d + 1)), code)
                         p = mixed(kt_of(n0[at], n1[at], bit, mine), pe[at], kids[at], p, mine)
