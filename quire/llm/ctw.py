@@ -16,7 +16,7 @@ from quire.llm.common import cut, fresh, new_folder
 #: Bytes of context at most; a key of 64 bits has room for DEEPEST.
 DEPTH, DEEPEST = 5, 6
 #: Contexts and bytes in a file of the model.
-FILE = 8_000_000
+FILE = 2_000_000
 
 
 def keys_of(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,15 @@ class Model:
         self.shards, self.depth = sorted(shards), depth
 
     def open(self):
-        return np.array([s[0] for s in self.shards], np.int64), [(sharedfile.get(k), sharedfile.get(c)) for _, _, k, c in self.shards]
+        """The least key of each file, and a function that opens one, once it is needed."""
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def shard(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in held:
+                held[i] = tuple(map(sharedfile.get, self.shards[i][2:]))
+            return held[i]
+
+        return np.array([s[0] for s in self.shards], np.int64), shard
 
 
 def fit(corpus: DataFrame, scored: DataFrame | None = None, text: str = "text", depth: int = DEPTH, own: bool = False, group_size: int = GROUP, file_size: int = FILE) -> Model:
@@ -267,24 +275,21 @@ def score(docs: DataFrame, model: Model | None = None, text: str = "text", depth
         los, shards = model.open()
 
         def bits_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            def cost_of(i: int, keys: np.ndarray) -> np.ndarray:
-                there, cost = shards[i]
-                at = np.minimum(np.searchsorted(there, keys), len(there) - 1)
-                if (there[at] != keys).any():
-                    raise ValueError("the model wasn't fitted for the texts that are scored")
-                return cost[at]
-
             keys, starts = keys_of(texts, model.depth)
-            if len(shards) == 1:
-                cost = cost_of(0, keys)
-            else:
-                cost = np.empty(len(keys), np.float32)
-                shard = np.maximum(np.searchsorted(los, keys, side="right") - 1, 0)
-                for i in np.unique(shard):
-                    at = shard == i
-                    cost[at] = cost_of(i, keys[at])
+            each, back = np.unique(keys, return_inverse=True)  # in order, so that look-ups go through the files once
+            cost = np.empty(len(each), np.float64)
+            ends = np.append(np.searchsorted(each, los[1:]), len(each))
+            lo = 0
+            for i, hi in enumerate(ends.tolist()):
+                if hi > lo:
+                    there, bits = shards(i)
+                    at = np.minimum(np.searchsorted(there, each[lo:hi]), len(there) - 1)
+                    if (there[at] != each[lo:hi]).any():
+                        raise ValueError("the model wasn't fitted for the texts that are scored")
+                    cost[lo:hi] = bits[at]
+                lo = hi
             sizes = np.diff(np.append(starts, len(keys)))
-            return sizes, np.add.reduceat(cost.astype(np.float64), starts)
+            return sizes, np.add.reduceat(cost[back], starts)
 
         for batch in batches:
             n, bits = np.zeros(len(batch), np.int64), np.zeros(len(batch))
