@@ -106,13 +106,15 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
     * Turns are in the order of turn (null first), then role, then text (null first). Rows alike
       in all four columns count once.
-    * Rows with a null conv_id form one conversation, with the null id.
+    * Nothing tells which rows with a null conv_id belong together: each different one is a conversation
+      of its own, with the null id. So no task has to hold all of them.
     * A null, unknown or blank role is one that must be relabelled, cheaply; a null text is empty.
     * Very long texts are rendered whole. Other columns aren't read.
     * An empty table gives an empty table.
     """
     each = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    convs = turns.select(F.col(conv_id).alias("conv_id"), each.alias("t")).groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("t"))
+    alone = F.when(F.col(conv_id).isNull(), F.md5(F.to_json(each)))
+    convs = turns.select(F.col(conv_id).alias("conv_id"), alone.alias("alone"), each.alias("t")).groupBy("conv_id", "alone").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("t"))
 
     def run(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = [format_turns(list(r), list(t)) for r, t in zip(roles, texts)]

@@ -67,6 +67,12 @@ def test_cases(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 0, "user", "a"), (None, None, None, None), (1, 0, "user", "a")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((str(r.conv_id), r.n_turns, r.n_out) for r in out) == [("1", 1, 1), ("None", 1, 1), ("None", 1, 1), ("None", 1, 1)]
+
+
 def test_query_keeps_every_conversation(spark):
     sf = "/root/testdata/sf0.001"
     convs = spark.read.parquet(f"{sf}/conversations.parquet")
