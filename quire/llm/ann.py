@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import exp, lgamma, log
 
 import numpy as np
@@ -15,8 +16,8 @@ from quire.llm import sharedfile
 from quire.llm.common import new_folder, shared
 from quire.llm.vectors import points
 
-#: Neighbours of each row.
-K = 10
+#: Neighbours of each row; the query's rows are those whose id is divisible by EVERY, against all rows.
+K, EVERY = 10, 20
 #: Dimensions of the projection.
 PROJECTED = 8
 #: A search stops when each neighbour not yet seen would, with this probability, have been seen.
@@ -171,8 +172,8 @@ def _gap(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(index: Index, shard: int, leaf: int, k: int, confidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the points of a leaf: their ids, and (n, k) squared distances and ids of neighbours.
+def search(index: Index, shard: int, leaf: int, k: int, confidence: float, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the points of a leaf whose id is divisible by every: their ids, and (n, k) squared distances and ids of neighbours.
 
     Leaves are seen in the order of their projected distance from the nearest of the points. For
     a point q whose kth neighbour so far is at distance d, what lies in the projection beyond
@@ -181,7 +182,10 @@ def search(index: Index, shard: int, leaf: int, k: int, confidence: float) -> tu
     """
     stop = chi2_quantile(confidence, index.m)
     x, ids, starts, *_ = index.shard(shard)
-    me = slice(int(starts[leaf]), int(starts[leaf + 1]))
+    own = np.arange(int(starts[leaf]), int(starts[leaf + 1]))
+    me = own[ids[own] % every == 0]
+    if not len(me):
+        return ids[me], np.empty((0, k)), np.empty((0, k), np.int64)
     q = np.array(x[me])
     q64, n2 = q.astype(np.float64), (q**2).sum(1)
     p = q @ projection(index.dim, index.m, index.seed)
@@ -208,7 +212,7 @@ def search(index: Index, shard: int, leaf: int, k: int, confidence: float) -> tu
         m2 = (y**2).sum(1)
         d = n2[rows, None] + m2[None, :] - 2 * (q[rows] @ y.T)
         if (s, f) == (shard, leaf):
-            d[np.arange(len(rows)), rows] = np.inf
+            d[np.arange(len(rows)), me[rows] - own[0]] = np.inf
         slack = 1e-5 * (n2[rows] + m2.max())
         limit = dist[rows, -1]
         if len(y) > k and np.isinf(limit).any():  # what can't be among the k nearest isn't measured
@@ -232,24 +236,26 @@ def search(index: Index, shard: int, leaf: int, k: int, confidence: float) -> tu
     return ids[me], dist, found
 
 
-def neighbours(vecs: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", m: int = PROJECTED, confidence: float = CONFIDENCE, shard: int = SHARD, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
+def neighbours(vecs: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", m: int = PROJECTED, confidence: float = CONFIDENCE, shard: int = SHARD, leaf: int = LEAF, seed: int = SEED, every: int = 1) -> DataFrame:
     """The k nearest other rows of each row by Euclidean distance, as SCHEMA names the columns.
 
     A point that belongs to the k nearest is missed with a chance under 1 - confidence. Every row
-    is a query; distances are exact.
+    is an answer, and a query if its id is divisible by every; distances are exact.
 
-    * Rows with a null id, or a vector that is null, empty, of another length than most, or holds
-      a null, NaN or infinite number are neither queries nor answers.
+    * Rows with a null id, or a vector that is null, empty, or holds a null, NaN or infinite number are
+      neither queries nor answers. Vectors of each length have neighbours of that length.
     * Rows alike in id and vector are one point; different vectors of one id are points of their
       own, each of which may have the other as its neighbour.
     * Equal distances are ranked by id. Copies are neighbours at distance 0.
     * With fewer than k other points, all are listed. An empty table gives an empty table.
     * Other columns aren't read.
     """
-    spark = vecs.sparkSession
-    pts, dim = points(vecs, vec_id, embedding)
-    if not dim:
-        return spark.createDataFrame([], SCHEMA)
+    out = [_neighbours(pts, dim, k, m, confidence, shard, leaf, seed, every) for pts, dim in points(vecs, vec_id, embedding)]
+    return reduce(DataFrame.unionByName, out) if out else vecs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _neighbours(pts: DataFrame, dim: int, k: int, m: int, confidence: float, shard: int, leaf: int, seed: int, every: int) -> DataFrame:
+    spark = pts.sparkSession
     index = build(pts, dim, m, shard, leaf, seed)
     share = shared(spark, index)  # boxes and file names: some 300 bytes for each shard of points
     units = sum(index.leaves)
@@ -260,7 +266,7 @@ def neighbours(vecs: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
         index = share()
         for pdf in batches:
             for s, f in zip(pdf["shard"], pdf["leaf"]):
-                ids, dist, found = search(index, int(s), int(f), k, confidence)
+                ids, dist, found = search(index, int(s), int(f), k, confidence, every)
                 there = np.isfinite(dist)
                 yield pd.DataFrame({"vec_id": np.repeat(ids, there.sum(1)), "rank": np.nonzero(there)[1] + 1, "neighbour_id": found[there], "distance": np.sqrt(dist[there])})
 
@@ -268,5 +274,5 @@ def neighbours(vecs: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: s
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    out = neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)
     return out.withColumn("distance", F.round("distance", 6))

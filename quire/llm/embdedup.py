@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ SHARD, BRANCH, ROUNDS = 4096, 16, 3
 POOL, DEGREE, ALPHA = 64, 24, 1.2
 #: Width of the greedy search, and queries that search together.
 BEAM, TOGETHER = 8, 64
-#: Queries whose true partners are counted over all rows, and the share of them to be found.
-AUDIT, RECALL, WIDEST = 512, 0.95, 128
+#: Points whose true partners are counted over all rows, and the share of them to be found, as an average of the points.
+AUDIT, RECALL = 512, 0.95
 #: Points in a file of vectors.
 BLOCK = 65_536
 
@@ -251,8 +252,12 @@ class Graph:
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 
-def build(spark, placed: DataFrame, starts: list[int], vectors: list[str], pool: int, degree: int, alpha: float) -> Graph:
-    """The graph of placed (g, c1, c2, v), its numbers g in blocks that begin at starts."""
+def build(spark, placed: DataFrame, starts: list[int], vectors: list[str], pool: int, degree: int, alpha: float, shard: int = SHARD) -> Graph:
+    """The graph of placed (g, c1, c2, h, v), its numbers g in blocks that begin at starts.
+
+    A cluster's shard holds the points nearest to it and those second nearest to it; where the latter
+    are more than shard, they are spread over several shards, each with all of the former.
+    """
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("g", ignore_index=True)
@@ -260,8 +265,11 @@ def build(spark, placed: DataFrame, starts: list[int], vectors: list[str], pool:
         near, medoid = pruned(unit(stack(pdf["v"])), pool, degree, alpha)
         return pd.DataFrame({"g": g, "near": [g[i] for i in near], "medoid_of": pd.Series([int(pdf["c"].iloc[0]) if i == medoid else None for i in range(len(g))], dtype="Int64")})
 
-    shards = placed.select("g", "v", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c"))
-    edges = cut(shards.groupBy("c").applyInPandas(lists, "g bigint, near array<bigint>, medoid_of bigint"))
+    seconds = placed.filter("c1 <> c2").select("g", "v", "h", F.col("c2").alias("c"))
+    split = seconds.groupBy("c").agg(F.ceil(F.count("*") / shard).cast("int").alias("p")).filter("p > 1")
+    firsts = placed.select("g", "v", F.col("c1").alias("c")).join(split, "c", "left").select("g", "v", "c", F.explode(F.sequence(F.lit(0), F.coalesce("p", F.lit(1)) - 1)).alias("part"))
+    seconds = seconds.join(split, "c", "left").select("g", "v", "c", F.pmod("h", F.coalesce("p", F.lit(1))).cast("int").alias("part"))
+    edges = cut(firsts.unionByName(seconds).groupBy("c", "part").applyInPandas(lists, "g bigint, near array<bigint>, medoid_of bigint"))
     medoids = {r.medoid_of: r.g for r in edges.filter("medoid_of IS NOT NULL").select("g", "medoid_of").collect()}  # one a shard
     folder = new_folder(spark, "graph")
     bounds = np.array(starts, np.int64)
@@ -372,26 +380,32 @@ def edges_of(spark, placed: DataFrame, graph: Graph, threshold: float, beam: int
     return placed.select("g", "c1", "c2").mapInPandas(run, "a bigint, b bigint")
 
 
-def audit(placed: DataFrame, group: DataFrame, threshold: float = THRESHOLD, audited: int = AUDIT) -> tuple[int, int]:
-    """(near pairs, those in one group): of the audited points of the smallest hashes, against all points by brute force."""
+def audit(placed: DataFrame, group: DataFrame, threshold: float = THRESHOLD, audited: int = AUDIT) -> tuple[int, float]:
+    """(points that have near copies, the share of these that is in the point's group, on average), by brute
+    force of the audited points of the smallest hashes against all points. Each point counts the same,
+    however many copies it has."""
     spark = placed.sparkSession
     named = placed.join(group.withColumnRenamed("node", "g"), "g", "left").select("g", "h", "v", F.coalesce("component", "g").alias("c"))
     some = named.orderBy("h", "g").limit(audited).collect()
+    if not some:
+        return 0, 1.0
     q, qc, qg = np.array([r.v for r in some], np.float32), np.array([r.c for r in some]), np.array([r.g for r in some])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = hit = 0
+        n, hit = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         for pdf in batches:
             if len(pdf):
                 x = stack(pdf["v"])
                 i, j = np.nonzero(unit(q) @ unit(x).T >= threshold - 1e-4)
                 ok = (qg[i] != pdf["g"].to_numpy()[j]) & close(q[i], x[j], threshold)
-                n += int(ok.sum())
-                hit += int((qc[i[ok]] == pdf["c"].to_numpy()[j[ok]]).sum())
-        yield pd.DataFrame({"n": [n], "hit": [hit]})
+                n += np.bincount(i[ok], minlength=len(q))
+                hit += np.bincount(i[ok][qc[i[ok]] == pdf["c"].to_numpy()[j[ok]]], minlength=len(q))
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"i": at, "n": n[at], "hit": hit[at]})
 
-    r = named.mapInPandas(run, "n bigint, hit bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hit"), F.lit(0))).first()
-    return int(r[0]), int(r[1])
+    each = named.mapInPandas(run, "i bigint, n bigint, hit bigint").groupBy("i").agg((F.sum("hit") / F.sum("n")).alias("share"))
+    r = each.agg(F.count("*"), F.coalesce(F.avg("share"), F.lit(1.0))).first()
+    return int(r[0]), float(r[1])
 
 
 def duplicates(
@@ -414,21 +428,24 @@ def duplicates(
 
     Near copies have a cosine similarity of threshold or more, verified in double precision; groups
     are linked transitively and keep the smallest id. Every row is searched for. The recall is
-    audited by brute force for audited points over all rows; where less than recall of their pairs
-    is found, all searches are made again with twice the beam, up to WIDEST.
+    audited by brute force for audited points over all rows; where less than recall of their
+    partners is found, all searches are made again with twice the beam, until it is. When even a
+    beam as wide as the table doesn't reach it, that is an error.
 
-    * Rows with a null id, or a vector that is null, empty, of another length than most, or holds
-      a null, NaN or infinite number are copies of nothing.
+    * Rows with a null id, or a vector that is null, empty, or holds a null, NaN or infinite number are
+      copies of nothing. Vectors of each length are compared among themselves.
     * Equal vectors are always copies; a zero vector is a copy of other zero vectors only.
     * Repeated rows alike in id and vector count once and aren't listed for it. Of one id with
       different vectors, a row is listed when its group keeps a smaller id.
     * An empty table gives an empty table. Other columns aren't read.
     """
-    spark = vecs.sparkSession
-    schema = "vec_id bigint, kept_vec_id bigint"
-    pts, dim = points(vecs, vec_id, embedding)
-    if not dim:
-        return spark.createDataFrame([], schema)
+    how = (threshold, shard, branch, pool, degree, alpha, beam, together, block, audited, recall)
+    out = [_duplicates(pts, *how) for pts, _ in points(vecs, vec_id, embedding)]
+    return reduce(DataFrame.unionByName, out) if out else vecs.sparkSession.createDataFrame([], "vec_id bigint, kept_vec_id bigint")
+
+
+def _duplicates(pts: DataFrame, threshold: float, shard: int, branch: int, pool: int, degree: int, alpha: float, beam: int, together: int, block: int, audited: int, recall: float) -> DataFrame:
+    spark = pts.sparkSession
     rows = pts.select("id", F.transform("v", lambda x: x + F.lit(0).cast("float")).alias("v")).withColumn("h", F.xxhash64("v"))  # -0 is 0
     uniq = cut(rows.groupBy("v", "h").agg(F.min("id").alias("id")))
     tree = cluster(uniq, shard, branch)
@@ -461,14 +478,17 @@ def duplicates(
             yield pdf
 
     placed = cut(ordered.mapInPandas(number, "g bigint, id bigint, v array<float>, h bigint, c1 bigint, c2 bigint"))
-    graph = build(spark, placed, starts, [b.x for b in blocks], pool, degree, alpha)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(b.n for b in blocks) // 20_000))
+    graph = build(spark, placed, starts, [b.x for b in blocks], pool, degree, alpha, shard)
+    n = sum(b.n for b in blocks)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 20_000))
     queries = placed.select("g", "c1", "c2").repartitionByRange(tasks, "g").sortWithinPartitions("g")
     while True:
         group = components(edges_of(spark, queries, graph, threshold, beam, together), "a", "b")
-        there, hit = audit(placed, group, threshold, audited)
-        if hit >= recall * there or beam >= WIDEST:
+        there, share = audit(placed, group, threshold, audited)
+        if share >= recall:
             break
+        if beam >= n:
+            raise RuntimeError(f"only {share:.3f} of the near copies of {there} audited points are found")
         beam *= 2
     comp = placed.join(group.withColumnRenamed("node", "g"), "g", "left").select("h", "id", "v", F.coalesce("component", "g").alias("c"))
     kept = comp.groupBy("c").agg(F.min("id").alias("kept_vec_id"))

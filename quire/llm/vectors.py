@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut
 
 
-def points(vecs: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
-    """((id, v) for each different usable row, the number of dimensions).
+def points(vecs: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> list[tuple[DataFrame, int]]:
+    """For each length of vector that there is, ((id, v) for each different usable row, the length).
 
-    Usable is a row with an id and a vector of the usual length (the most frequent one; of equally
-    frequent ones the least) whose numbers are all there and finite.
+    Usable is a row with an id and a vector that isn't empty and whose numbers are all there and
+    finite. Vectors of different lengths aren't comparable; each length is a space of its own.
     """
     named = vecs.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<float>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    named = named.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fine)
-    lengths = named.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim = int(lengths.d) if lengths else 0
-    return cut(named.filter(F.size("v") == dim).distinct()), dim
+    named = cut(named.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(fine).distinct())
+    lengths = [r.d for r in named.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    return [(named.filter(F.size("v") == d) if len(lengths) > 1 else named, d) for d in lengths]

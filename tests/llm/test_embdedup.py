@@ -1,6 +1,7 @@
 """Embedding near-dedup against all pairs."""
 
 import numpy as np
+import pytest
 
 from quire.llm import embdedup
 
@@ -38,6 +39,35 @@ def test_against_brute_force(spark):
     assert len(got) >= 0.95 * len(want)
 
 
+def test_shards_are_bounded_and_recall_is_reached(spark, monkeypatch):
+    """Points second nearest to one cluster are spread; an audit that can't be met is an error."""
+    x = data(1200)
+    x[300:800] = x[300] + 0.6 * np.random.RandomState(2).standard_normal((500, x.shape[1]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    sizes, real = [], embdedup.build
+
+    def build(spark, placed, starts, vectors, pool, degree, alpha, shard):
+        first = {r.c1: r["count"] for r in placed.groupBy("c1").count().collect()}
+        second = {r.c2: r["count"] for r in placed.filter("c1 <> c2").groupBy("c2").count().collect()}
+        sizes.extend((first[c], second.get(c, 0)) for c in first)
+        return real(spark, placed, starts, vectors, pool, degree, alpha, shard)
+
+    monkeypatch.setattr(embdedup, "build", build)
+    got = set(map(tuple, embdedup.duplicates(df, shard=60, block=500).collect()))
+    want = brute(x, np.arange(len(x)))
+    assert not got - want and len(got) >= 0.95 * len(want)
+    assert max(b for _, b in sizes) > 60
+    monkeypatch.setattr(embdedup, "audit", lambda *a: (1, 0.5))
+    with pytest.raises(RuntimeError):
+        embdedup.duplicates(df.limit(20))
+
+
+def test_every_length_is_searched(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 5.0, 0.0]), (4, [0.0, 1.0, 0.01]), (5, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, embdedup.duplicates(df).collect())) == [(2, 1), (4, 3)]
+
+
 def test_pruning_keeps_the_nearest():
     x = embdedup.unit(data()[:300])
     lists, medoid = embdedup.pruned(x)
