@@ -110,7 +110,7 @@ def merge_changes(ops: DataFrame, key: list[str]) -> DataFrame:
     return out.withColumns({"kind": F.when(F.col("m"), "changed").otherwise(F.col("kind")), "text_b": F.when(F.col("m"), F.col("y")).otherwise(F.col("text_b"))}).drop("y", "k2", "m", "eaten")
 
 
-def changed_pixels(a: Column, b: Column, threshold: float = 10.0) -> Column:
+def changed_pixels(a: Column, b: Column, threshold: float | Column = 10.0) -> Column:
     """How many values of two arrays of the same length differ by more than threshold."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda v: v > threshold))
 

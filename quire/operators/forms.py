@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import storage
+
 READ_ONLY, REQUIRED, RADIO, PUSH, COMBO = 1 << 0, 1 << 1, 1 << 15, 1 << 16, 1 << 17
 
 
@@ -19,23 +21,31 @@ def field_type(ft: Column, flags: Column) -> Column:
     return F.when(ft == "Tx", "text").when(ft == "Btn", button).when(ft == "Ch", choice).when(ft == "Sig", "signature").otherwise("unknown")
 
 
-def qualified(nodes: DataFrame, depth: int = 16) -> DataFrame:
+def qualified(nodes: DataFrame) -> DataFrame:
     """(doc_id, id, name, ft, ff) of the fields of a form tree (doc_id, id, parent, t, ft, ff).
 
     A field's name is those from the root down, joined by points; type and flags come from the
-    nearest node that has them. Each round goes up one level for all fields still under way; trees
-    deeper than depth are cut there.
+    nearest node that has them. Each round goes up one level for all fields still under way, until
+    there are none; a field that never comes to a root (its parents are a ring, or not there) has no name
+    and isn't listed.
     """
     up = nodes.select("doc_id", F.col("id").alias("parent"), F.col("parent").alias("_p"), F.col("t").alias("_t"), F.col("ft").alias("_ft"), F.col("ff").alias("_ff"))
     leaves = nodes.join(nodes.select("doc_id", F.col("parent").alias("id")).distinct(), ["doc_id", "id"], "left_anti")
     now = leaves.select("doc_id", "id", "parent", F.col("t").alias("name"), "ft", "ff")
     done = now.filter("parent IS NULL")
-    for _ in range(depth):
+    most, rounds = None, 0
+    while True:
         now = now.filter("parent IS NOT NULL").join(up, ["doc_id", "parent"]).select("doc_id", "id", F.col("_p").alias("parent"), F.concat_ws(".", "_t", "name").alias("name"), F.coalesce("ft", "_ft").alias("ft"), F.coalesce("ff", "_ff").alias("ff"))
+        rounds += 1
+        if rounds % 4 == 0:
+            now = storage.cut(now)
         done = done.unionByName(now.filter("parent IS NULL"))
         if now.filter("parent IS NOT NULL").isEmpty():
-            break
-    return done.drop("parent")
+            return done.drop("parent")
+        if rounds == 16:  # beyond this depth, rings are told by the number of nodes
+            most = nodes.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+        if most is not None and rounds > most:
+            return done.drop("parent")
 
 
 def described(fields: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import cos, radians, sin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +20,32 @@ def set_metadata(docs: DataFrame, updates: DataFrame, fields: list[str], key: st
 def parents(items: DataFrame, key: list[str], order: str, level: str = "level") -> DataFrame:
     """items with parent: the order of the last item before with a lower level, or null.
 
-    An aggregation over what came before keeps, for each level, the last place it was seen; no
-    item is joined with another.
+    Levels are any numbers; items without a level have no parent and are none. One pass over the
+    items of a key in their order keeps those that can still be parents.
     """
-    w = Window.partitionBy(*key).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    places = [F.max(F.when(F.col(level) == n, F.col(order))).over(before).alias(f"_l{n}") for n in range(1, 10)]
-    out = items.select("*", *places)
-    lower = F.greatest(F.lit(None).cast("long"), *[F.when(F.col(level) > n, F.col(f"_l{n}").cast("long")) for n in range(1, 10)])
-    return out.withColumn("parent", lower).drop(*[f"_l{n}" for n in range(1, 10)])
+
+    def fold(places: pd.Series, levels: pd.Series) -> pd.Series:
+        out = []
+        for at, ls in zip(places, levels):
+            held: list[tuple[int, int]] = []
+            rows = []
+            for o, n in zip(at, ls):
+                if n is None or n != n:
+                    rows.append(None)
+                    continue
+                while held and held[-1][1] >= n:
+                    held.pop()
+                rows.append(int(held[-1][0]) if held else None)
+                held.append((o, n))
+            out.append(rows)
+        return pd.Series(out)
+
+    by_place = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    rest = [c for c in items.columns if c not in key]
+    packed = items.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(level).alias("l"), F.struct(*rest).alias("r"))), by_place).alias("_s"))
+    found = packed.withColumn("_p", F.pandas_udf(fold, "array<bigint>")("_s.o", "_s.l"))
+    each = found.select(*key, F.explode(F.arrays_zip(F.col("_s.r").alias("r"), F.col("_p").alias("p"))).alias("_z"))
+    return each.select(*[F.col(c) if c in key else F.col("_z.r")[c].alias(c) for c in items.columns], F.col("_z.p").alias("parent"))
 
 
 def toc(blocks: DataFrame, key: list[str], order: str, depth: int = 6) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import storage
+
 
 def _renumbered(pages: DataFrame, key: list[str], order: list) -> DataFrame:
     return pages.withColumn("page", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
@@ -81,6 +83,10 @@ def rotate(pages: DataFrame, turns: list[tuple[int, int]]) -> DataFrame:
     return pages.join(F.broadcast(new), "page", "left").withColumn("rotation", F.coalesce("_turn", "rotation")).select(*pages.columns)
 
 
+#: Things drawn on an overlay page, at most.
+MOST_DRAWN = 10_000
+
+
 def stamp(pages: DataFrame, overlay: DataFrame, on: list[int] | None = None, x: float = 0.0, y: float = 0.0, scale: float = 1.0, opacity: float = 1.0, over: bool = True) -> DataFrame:
     """The things drawn on pages (doc_id, page, z, ...) and those of an overlay page on each target.
 
@@ -92,7 +98,12 @@ def stamp(pages: DataFrame, overlay: DataFrame, on: list[int] | None = None, x:
     top = pages.groupBy("doc_id", "page").agg(F.max("z").alias("_top"), F.min("z").alias("_low"))
     placed = overlay.withColumns({"x": F.col("x") * scale + x, "y": F.col("y") * scale + y, "width": F.col("width") * scale, "height": F.col("height") * scale, "opacity": F.lit(float(opacity))})
     n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("z"))
-    added = targets.join(top, ["doc_id", "page"]).crossJoin(placed.drop("doc_id", "page"))
+    drawn = [c for c in placed.columns if c not in ("doc_id", "page")]
+    whole = placed.limit(MOST_DRAWN + 1).agg(F.collect_list(F.struct(*drawn)).alias("_o")).first()["_o"]
+    if len(whole) > MOST_DRAWN:
+        raise ValueError(f"an overlay has {MOST_DRAWN} things drawn at most")
+    one = overlay.sparkSession.createDataFrame([(whole,)], placed.agg(F.collect_list(F.struct(*drawn)).alias("_o")).schema)
+    added = targets.join(top, ["doc_id", "page"]).join(F.broadcast(one)).select("*", F.inline("_o")).drop("_o")  # one row, bounded
     added = added.withColumn("z", F.col("_top") + n if over else F.col("_low") - 1 - n).drop("_top", "_low")
     return pages.unionByName(added, allowMissingColumns=True)
 
@@ -100,16 +111,11 @@ def stamp(pages: DataFrame, overlay: DataFrame, on: list[int] | None = None, x:
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id): all that roots (id) lead to along edges (src, dst), themselves included.
 
-    Rounds of a join on the frontier, each cut in the session's checkpoint folder where there is one.
+    Rounds of a join on the frontier, each cut in the shared folder.
     """
-    seen = roots.select("id").distinct()
-    front = seen
-    cut = edges.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or edges.sparkSession.sparkContext.getCheckpointDir()
+    seen = front = storage.cut(roots.select("id").distinct())
     while True:
-        front = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        if cut:
-            edges.sparkSession.sparkContext.getCheckpointDir() or edges.sparkSession.sparkContext.setCheckpointDir(cut)
-            front = front.checkpoint()
+        front = storage.cut(front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)

@@ -83,7 +83,9 @@ def strip_marker(spark, d):
     return _lines(spark, d).select("doc_id", "line_idx", T.strip_marker(F.col("text")).alias("text"))
 
 
-@query("wrap_text")
+@query("wrap_text", r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM conversations WHERE text IS NOT NULL
+), l AS (SELECT conv_id, turn, string_split(CASE WHEN len(words) = 0 THEN '' ELSE list_reduce(words, lambda acc, x: acc || CASE WHEN strlen(regexp_extract(acc, '[^\n]*$')) + 1 + strlen(x) <= 80 THEN ' ' ELSE chr(10) END || x) END, chr(10)) AS lines FROM w)
+SELECT conv_id, turn, (generate_subscripts(lines, 1) - 1)::INTEGER AS line_idx, unnest(lines) AS line FROM l""")
 def wrap_text(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.wrap(F.col("text"))).alias("line_idx", "line"))
 
@@ -231,7 +233,7 @@ SELECT vec_id, changed::INTEGER AS changed, round(1.0::DOUBLE - changed / total,
 def visual_similarity(spark, d):
     v = read(spark, d, "embeddings")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))  # ids follow each other
-    changed = F.size(F.filter(F.zip_with("embedding", "b", lambda x, y: F.abs(x - y)), lambda x: x > F.lit(0.1).cast("float")))
+    changed = compare.changed_pixels(F.col("embedding"), F.col("b"), F.lit(0.1).cast("float"))
     both = v.join(nxt, "vec_id").select("vec_id", changed.alias("changed"), F.size("embedding").alias("total"))
     return both.select("vec_id", "changed", F.round(compare.similarity(F.col("changed"), F.col("total")), 6).alias("similarity"))
 

@@ -5,6 +5,9 @@ Where the tables hold no such parts, rows of orders, parts and line items stand
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,8 +15,9 @@ from pyspark.sql import functions as F
 from quire.functions import geometry, names, text as T
 from quire.operators import compare, convert, forms, markdown, metrics, mutate, pageset, render, search, security, structure, tables, validate
 from quire.operators.lines import PAGE, joined, lines_of
+from quire import pipeline
 from quire.plans import mapped
-from quire.sources import office
+from quire.sources import htmltree, office, pdf, reader
 
 QUERIES = []
 
@@ -40,37 +44,50 @@ def _cells(spark, d):
     return n.select(F.concat(F.lit("R"), F.col("n_regionkey")).alias("sheet"), F.col("n_nationkey").alias("row"), F.posexplode(cells).alias("col", "text"))
 
 
+def _workbook(spark, d):
+    """The same as an XLSX file, read again."""
+
+    def make(found: pd.Series) -> pd.Series:
+        out = []
+        for rows in found:
+            sheets: dict[str, list] = {}
+            for r in rows:
+                sheets.setdefault(f"R{r['n_regionkey']}", []).append([str(r["n_nationkey"]), r["n_name"], str(r["n_regionkey"])])
+            out.append(convert.xlsx_bytes(list(sheets.items()), {}))
+        return pd.Series(out)
+
+    rows = F.array_sort(F.collect_list(F.struct("n_regionkey", "n_nationkey", "n_name")))
+    one = read(spark, d, "nation").agg(rows.alias("r")).select(F.lit(1).alias("id"), F.pandas_udf(make, "binary")("r").alias("content"))
+    return reader.open_table(one, "id", "content", "xlsx")
+
+
 @query("xlsx_text", r"SELECT string_agg(t, chr(10) ORDER BY s) AS text FROM (SELECT 'R' || n_regionkey AS s, '=== Sheet: R' || n_regionkey || ' ===' || chr(10) || string_agg(n_nationkey || chr(9) || n_name || chr(9) || n_regionkey || chr(10), '' ORDER BY n_nationkey) AS t FROM nation GROUP BY n_regionkey)")
 def xlsx_text(spark, d):
-    rows = _cells(spark, d).groupBy("sheet", "row").agg(F.concat(joined(F.col("text"), ["col"], "\t"), F.lit("\n")).alias("line"))
-    sheets = rows.groupBy("sheet").agg(F.concat(F.lit("=== Sheet: "), F.col("sheet"), F.lit(" ===\n"), joined(F.col("line"), ["row"], "")).alias("t"))
-    return sheets.agg(joined(F.col("t"), ["sheet"], "\n").alias("text"))
+    return _workbook(spark, d).texts.select("text")
 
 
 @query("xlsx_lines", "SELECT 'R' || n_regionkey AS sheet, (dense_rank() OVER (ORDER BY n_regionkey) - 1) * 10000 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS y, n_nationkey || chr(9) || n_name || chr(9) || n_regionkey AS text FROM nation")
 def xlsx_lines(spark, d):
-    rows = _cells(spark, d).groupBy("sheet", "row").agg(joined(F.col("text"), ["col"], "\t").alias("text"))
-    sheets = rows.select("sheet").distinct().groupBy().agg(F.sort_array(F.collect_list("sheet")).alias("names"))  # sheets of one workbook
-    at = F.row_number().over(Window.partitionBy("sheet").orderBy("row")) - 1
-    placed = rows.withColumn("at", at).crossJoin(F.broadcast(sheets))
-    return placed.select("sheet", ((F.array_position("names", F.col("sheet")) - 1) * 10000 + F.col("at")).cast("bigint").alias("y"), "text")
+    book = _workbook(spark, d).stored()
+    rows = book.cells.groupBy("doc_id", "page", "row").agg(joined(F.col("text"), ["col"], "\t").alias("text"))
+    names_ = book.blocks.filter("type = 'heading'").select("doc_id", "page", F.col("text").alias("sheet"))
+    return rows.join(names_, ["doc_id", "page"]).select("sheet", ((F.col("page") - 1) * 10000 + F.col("row")).cast("bigint").alias("y"), "text")
 
 
-@query("xlsx_structure", "SELECT 'R' || r_regionkey AS text, 'heading' AS type, 1 AS level FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 'R' || n_regionkey, 'table', NULL FROM nation GROUP BY n_regionkey")
+@query("xlsx_structure", "SELECT (row_number() OVER (ORDER BY n_regionkey))::INTEGER AS page, 'R' || n_regionkey AS text, 'heading' AS type, 1 AS level FROM nation GROUP BY n_regionkey UNION ALL SELECT (row_number() OVER (ORDER BY n_regionkey))::INTEGER, '', 'table', NULL FROM nation GROUP BY n_regionkey")
 def xlsx_structure(spark, d):
-    sheets = _cells(spark, d).select("sheet").distinct()
-    heads = sheets.select(F.col("sheet").alias("text"), F.lit("heading").alias("type"), F.lit(1).alias("level"))
-    return heads.unionByName(sheets.select(F.col("sheet").alias("text"), F.lit("table").alias("type"), F.lit(None).cast("int").alias("level")))
+    return _workbook(spark, d).blocks.select("page", "text", "type", "level")
 
 
 @query("xlsx_cell", "SELECT o_orderkey, CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS text FROM (SELECT o_orderkey, (o_orderkey % 8) / 4.0::DOUBLE AS v FROM orders)")
 def xlsx_cell(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", T.xlsx_cell(F.col("o_orderkey") % 8 / 4.0).alias("text"))
+    shown = F.pandas_udf(lambda raw: raw.map(lambda x: office.cell_text(None, x, [])), "string")
+    return read(spark, d, "orders").select("o_orderkey", shown((F.col("o_orderkey") % 8 / 4.0).cast("string")).alias("text"))
 
 
 @query("sheet_names", "SELECT DISTINCT 'R' || n_regionkey AS sheet FROM nation")
 def sheet_names(spark, d):
-    return _cells(spark, d).select("sheet").distinct()
+    return _workbook(spark, d).blocks.filter("type = 'heading'").select(F.col("text").alias("sheet"))
 
 
 @query("table_rows", "SELECT n_regionkey AS t, count(*) AS rows, 3 AS cols, max(n_name) FILTER (WHERE rn = 1) AS cell FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation) GROUP BY n_regionkey")
@@ -83,18 +100,43 @@ def table_rows(spark, d):
 @query("pptx_text", """WITH s AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS slide, o_orderpriority AS title, o_orderstatus AS body, CASE WHEN o_orderkey % 3 = 0 THEN 'n' || o_orderkey END AS notes FROM orders)
 SELECT doc_id, string_agg('--- Slide ' || slide || ' ---' || chr(10) || title || chr(10) || body || chr(10) || CASE WHEN notes IS NULL THEN '' ELSE chr(10) || 'Notes:' || chr(10) || notes || chr(10) END, chr(10) || chr(10) ORDER BY slide) AS text FROM s GROUP BY doc_id""")
 def pptx_text(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    s = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.row_number().over(w).alias("slide"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("body"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("n"), F.col("o_orderkey"))).alias("notes"))
-    notes = F.when(F.col("notes").isNotNull(), F.concat(F.lit("\nNotes:\n"), F.col("notes"), F.lit("\n"))).otherwise("")
-    one = F.concat(F.lit("--- Slide "), F.col("slide"), F.lit(" ---\n"), F.col("title"), F.lit("\n"), F.col("body"), F.lit("\n"), notes)
-    return s.groupBy("doc_id").agg(joined(one, ["slide"], "\n\n").alias("text"))
+    return _decks(spark, d).texts
+
+
+def _decks(spark, d):
+    """A deck for each customer, a slide for each order; every third order has notes."""
+
+    def make(found: pd.Series) -> pd.Series:
+        out = []
+        for slides in found:
+            buf = io.BytesIO(convert.pptx_bytes([(s["title"], [s["body"]]) for s in slides], {}))
+            with zipfile.ZipFile(buf, "a") as z:
+                for i, s in enumerate(slides, 1):
+                    if s["o"] % 3 == 0:
+                        z.writestr(f"ppt/notesSlides/notesSlide{i}.xml", f'<p:notes xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>n{s["o"]}</a:t></a:r></a:p></p:notes>')
+            out.append(buf.getvalue())
+        return pd.Series(out)
+
+    each = F.struct(F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("body"))
+    decks = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(each)).alias("s")).select("o_custkey", F.pandas_udf(make, "binary")("s").alias("content"))
+    return reader.open_table(decks, "o_custkey", "content", "pptx")
+
+
+@query("pptx_structure", "SELECT o_custkey AS doc_id, (row_number() OVER w)::INTEGER AS page, x.type, x.level, CASE WHEN x.type = 'heading' THEN o_orderpriority ELSE o_orderstatus END AS text FROM orders CROSS JOIN (VALUES ('heading', 1), ('paragraph', NULL)) AS x(type, level) WINDOW w AS (PARTITION BY o_custkey, x.type ORDER BY o_orderkey)")
+def pptx_structure(spark, d):
+    return _decks(spark, d).blocks.select("doc_id", "page", "type", "level", "text")
+
+
+@query("pptx_markdown", """WITH s AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS slide, o_orderpriority AS title, o_orderstatus AS body, CASE WHEN o_orderkey % 3 = 0 THEN 'n' || o_orderkey END AS notes FROM orders)
+SELECT doc_id, string_agg('## Slide ' || slide || ': ' || title || chr(10) || chr(10) || body || CASE WHEN notes IS NULL THEN '' ELSE chr(10) || chr(10) || '> **Notes:** ' || notes END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY slide) || chr(10) AS markdown FROM s GROUP BY doc_id""")
+def pptx_markdown(spark, d):
+    return _decks(spark, d).markdown()
 
 
 @query("heading_style", "SELECT p_partkey, CASE WHEN regexp_matches(s, '^heading[1-9]$') THEN right(s, 1)::INTEGER END AS level FROM (SELECT p_partkey, lower(replace('Heading ' || (p_size % 12), ' ', '')) AS s FROM part)")
 def heading_style(spark, d):
-    style = F.lower(F.replace(F.concat(F.lit("Heading "), F.col("p_size") % 12), F.lit(" "), F.lit("")))
-    level = F.regexp_extract(style, "^heading([1-9])$", 1)
-    return read(spark, d, "part").select("p_partkey", F.when(level != "", level.cast("int")).alias("level"))
+    level = F.pandas_udf(lambda style: pd.Series([office.heading_style(x) for x in style], dtype="Int32"), "int")
+    return read(spark, d, "part").select("p_partkey", level(F.concat(F.lit("Heading "), F.col("p_size") % 12)).alias("level"))
 
 
 # --- HTML parts ---------------------------------------------------------------
@@ -102,8 +144,6 @@ def heading_style(spark, d):
 
 @query("html_metadata", "SELECT p_partkey AS doc_id, CASE WHEN p_size % 2 = 0 THEN 'author' ELSE 'keywords' END AS field, p_name AS value FROM part")
 def html_metadata(spark, d):
-    from quire.sources import reader
-
     p = read(spark, d, "part")
     name = F.when(F.col("p_size") % 2 == 0, "Author").otherwise("keywords")
     html = F.concat(F.lit('<html><meta name="'), name, F.lit('" content=" '), F.col("p_name"), F.lit(' "><p>x</html>'))
@@ -112,8 +152,6 @@ def html_metadata(spark, d):
 
 @query("html_images", "SELECT p_partkey AS doc_id, p_size AS width, CASE WHEN p_size % 2 = 0 THEN 'RGB' END AS color_space, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS data FROM part")
 def html_images(spark, d):
-    from quire.sources import reader
-
     p = read(spark, d, "part")
     src = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("p_name").cast("binary")))).otherwise("far.png")
     html = F.concat(F.lit('<p><img width="'), F.col("p_size"), F.lit('" src="'), src, F.lit('">'))
@@ -123,8 +161,6 @@ def html_images(spark, d):
 
 @query("html_tables", "SELECT p_partkey AS doc_id, r.row, r.col, CASE r.k WHEN 0 THEN p_name WHEN 1 THEN p_brand ELSE p_type END AS text, CASE r.k WHEN 0 THEN 2 ELSE 1 END AS col_span FROM part CROSS JOIN (VALUES (0, 0, 0), (1, 0, 1), (1, 1, 2)) AS r(row, col, k)")
 def html_tables(spark, d):
-    from quire.sources import reader
-
     p = read(spark, d, "part")
     html = F.concat(F.lit("<table><tr><th colspan=2>"), F.col("p_name"), F.lit("<tr><td>"), F.col("p_brand"), F.lit("<td>"), F.col("p_type"), F.lit("</table>"))
     return reader.open_table(p.withColumn("html", html), "p_partkey", "html", "html").part("cells").select("doc_id", "row", "col", "text", "col_span")
@@ -133,16 +169,18 @@ def html_tables(spark, d):
 @query("data_uri", "SELECT p_partkey, p_name AS data FROM part")
 def data_uri(spark, d):
     uri = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.col("p_name").cast("binary")))
-    return read(spark, d, "part").select("p_partkey", F.unbase64(F.regexp_extract(uri, "^data:[^;]*;base64,(.*)$", 1)).cast("string").alias("data"))
+    decoded = F.pandas_udf(lambda src: src.map(lambda x: htmltree.data_uri(x)[1].decode()), "string")
+    return read(spark, d, "part").select("p_partkey", decoded(uri).alias("data"))
 
 
 # --- geometry -----------------------------------------------------------------
 
 
-@query("page_info", "SELECT DISTINCT (o_orderkey // 120)::BIGINT AS doc_id, ((o_orderkey % 120) // 40 + 1)::INTEGER AS page, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height FROM orders")
+@query("page_info", "SELECT s_suppkey AS doc_id, i::INTEGER AS page, 600.0::DOUBLE + s_nationkey AS width, 800.0::DOUBLE + i AS height, 0 AS rotation FROM supplier, generate_series(1, s_suppkey % 3 + 1) AS g(i)")
 def page_info(spark, d):
-    o = F.col("o_orderkey")
-    return read(spark, d, "orders").select(F.floor(o / 120).alias("doc_id"), (F.floor(o % 120 / 40) + 1).cast("int").alias("page"), F.lit(mapped.WIDTH).alias("width"), F.lit(mapped.HEIGHT).alias("height")).distinct()
+    make = F.pandas_udf(lambda keys, nations: pd.Series([pdf.write([{"width": 600 + n, "height": 800 + i} for i in range(1, k % 3 + 2)]) for k, n in zip(keys, nations)]), "binary")
+    made = read(spark, d, "supplier").select("s_suppkey", make("s_suppkey", "s_nationkey").alias("content"))
+    return reader.open_table(made, "s_suppkey", "content", "pdf").pages
 
 
 @query("rectangle_segments", f"WITH {mapped.RECTS} SELECT doc_id, page, x AS ax, y AS ay, x + w AS bx, y AS by FROM rects UNION ALL SELECT doc_id, page, x + w, y, x + w, y + h FROM rects UNION ALL SELECT doc_id, page, x + w, y + h, x, y + h FROM rects UNION ALL SELECT doc_id, page, x, y + h, x, y FROM rects")
@@ -408,9 +446,9 @@ def byte_lengths(spark, d):
 
 @query("file_names", "SELECT page_id, 'p' || page_id || '.tar.gz' AS filename, 'p' || page_id || '.tar' AS stem, 'gz' AS ext FROM pages")
 def file_names(spark, d):
-    path = F.concat(F.lit("in/dir/p"), F.col("page_id"), F.lit(".tar.gz"))
-    name = F.regexp_extract(path, "([^/]*)$", 1)
-    return read(spark, d, "pages").select("page_id", name.alias("filename"), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1).alias("stem"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("ext"))
+    told = F.pandas_udf(lambda paths: pd.DataFrame([pipeline.names(p) for p in paths], columns=["filename", "stem", "ext"]), "filename string, stem string, ext string")
+    found = told(F.concat(F.lit("in/dir/p"), F.col("page_id"), F.lit(".tar.gz")))
+    return read(spark, d, "pages").select("page_id", found.alias("n")).select("page_id", "n.*")
 
 
 @query("document_score", """WITH s AS (SELECT l_orderkey AS t, l_linenumber / 8.0::DOUBLE AS p FROM lineitem) SELECT round(avg(p), 6) AS precision, round(avg(p), 6) AS recall, round(avg(p), 6) AS f1 FROM s""")

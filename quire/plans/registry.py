@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["geometry", "documents", "web", "parts"]
+MODULES: list[str] = ["geometry", "documents", "web", "parts", "files"]
 
 
 def _all():

@@ -57,11 +57,7 @@ HEADS = r"heads AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6
 
 @query("html_headings", rf"WITH {HEADS} SELECT page_id, ord::INTEGER AS ord, regexp_extract(tag, '(?i)<h([1-6])', 1)::INTEGER AS level, trim(replace(replace(replace(regexp_replace(tag, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM heads")
 def html_headings(spark, d):
-    heads = read(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?is)(<h[1-6][^>]*>.*?</h[1-6]>)"))).alias("ord", "tag"))
-    title = F.regexp_replace("tag", "<[^>]*>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        title = F.replace(title, F.lit(a), F.lit(b))
-    return heads.select("page_id", "ord", F.regexp_extract("tag", "(?i)<h([1-6])", 1).cast("int").alias("level"), F.trim(title).alias("title"))
+    return _pages(spark, d).bookmarks.select(F.col("doc_id").alias("page_id"), "ord", "level", "title")
 
 
 @query("html_title", r"SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM pages")
@@ -74,44 +70,53 @@ LINK = r"""'(?is)<a\s[^>]*?href="?([^" >]+)'"""
 
 @query("html_links", f"SELECT page_id, i - 1 AS ord, uri FROM (SELECT page_id, unnest(regexp_extract_all(html, {LINK}, 1)) AS uri, generate_subscripts(regexp_extract_all(html, {LINK}, 1), 1) AS i FROM pages)")
 def html_links(spark, d):
-    links = F.regexp_extract_all("html", F.lit('(?is)<a\\s[^>]*?href="?([^" >]+)'), F.lit(1))
-    return read(spark, d, "pages").select("page_id", F.posexplode(links).alias("ord", "uri")).withColumn("ord", F.col("ord").cast("bigint"))
+    return _pages(spark, d).links.select(F.col("doc_id").alias("page_id"), F.col("annot_idx").cast("bigint").alias("ord"), "uri")
 
 
-@query("html_text")
+#: The elements of a page that hold text, in order, with their text. A paragraph ends where the next begins.
+ELEMENTS = r"""found AS (SELECT page_id, regexp_extract_all(replace(replace(html, '<p>', '</p><p>'), '</article>', '</p></article>'), '(?s)<title>.*?</title>|<li>.*?</li>|<div class="ad">.*?</div>|<h1>.*?</h1>|<p>.*?</p>|<footer>.*?</footer>') AS x FROM pages
+), tags AS (SELECT page_id, unnest(x) AS tag, generate_subscripts(x, 1) AS i FROM found
+), elements AS (SELECT page_id AS doc_id, i, regexp_extract(tag, '^<([a-z0-9]+)', 1) AS kind, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(tag, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), ' ' || chr(10)) AS text FROM tags
+), blocks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS block_idx, CASE kind WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS type, text, CASE WHEN kind = 'h1' THEN 1 END AS level, CASE WHEN kind = 'li' THEN 0 END AS indent_level FROM elements WHERE kind IN ('h1', 'li', 'p') AND text <> '')"""
+
+
+@query("html_text", f"WITH {ELEMENTS} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM elements WHERE text <> '' GROUP BY doc_id")
 def html_text(spark, d):
     return _pages(spark, d).get("text").select("doc_id", "doc.text")
 
 
-@query("html_blocks")
+@query("html_blocks", f"WITH {ELEMENTS} SELECT doc_id, 1 AS page, block_idx, type, text, level, indent_level, NULL::INTEGER AS table_id FROM blocks")
 def html_blocks(spark, d):
     return _pages(spark, d).part("blocks")
 
 
-@query("html_markdown")
+@query("html_markdown", f"""WITH {ELEMENTS}, p AS (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY block_idx) AS b FROM blocks)
+SELECT doc_id, string_agg(CASE WHEN b IS NULL THEN '' WHEN b = 'list_item' AND type = 'list_item' THEN chr(10) ELSE chr(10) || chr(10) END || CASE type WHEN 'heading' THEN '# ' WHEN 'list_item' THEN '- ' ELSE '' END || text, '' ORDER BY block_idx) || chr(10) AS markdown FROM p GROUP BY doc_id""")
 def html_markdown(spark, d):
     return _pages(spark, d).markdown()
 
 
-@query("html_bookmarks")
+@query("html_bookmarks", f"WITH {ELEMENTS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) - 1)::INTEGER AS ord, text AS title, 1 AS page, level, NULL::BIGINT AS parent FROM blocks WHERE type = 'heading'")
 def html_bookmarks(spark, d):
     marks = _pages(spark, d).bookmarks
     return mutate.parents(marks, ["doc_id"], "ord")
 
 
-@query("html_rewritten")
+@query("html_rewritten", f"""WITH {ELEMENTS}, p AS (SELECT doc_id, block_idx, type, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t, lag(type) OVER w AS b, lead(type) OVER w AS a FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)
+), x AS (SELECT doc_id, block_idx, CASE WHEN type = 'list_item' AND coalesce(b, '') <> type THEN '  <ul>' || chr(10) ELSE '' END || CASE WHEN b = 'list_item' AND type <> b THEN '  </ul>' || chr(10) ELSE '' END || CASE type WHEN 'heading' THEN '  <h1>' || t || '</h1>' WHEN 'list_item' THEN '    <li>' || t || '</li>' ELSE '  <p>' || t || '</p>' END || chr(10) || CASE WHEN type = 'list_item' AND a IS NULL THEN '  </ul>' || chr(10) ELSE '' END AS x FROM p)
+SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head>' || chr(10) || '  <meta charset="utf-8">' || chr(10) || '  <title>Document</title>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || string_agg(x, '' ORDER BY block_idx) || '</body>' || chr(10) || '</html>' || chr(10) AS html FROM x GROUP BY doc_id""")
 def html_rewritten(spark, d):
     docs = _pages(spark, d).stored()
     return convert.html(docs.blocks, cells=docs.cells)
 
 
-@query("convert_docx_and_back")
+@query("convert_docx_and_back", f"WITH {ELEMENTS} SELECT doc_id, block_idx, CASE WHEN type = 'heading' THEN type ELSE 'paragraph' END AS type, CASE WHEN type = 'list_item' THEN '• ' || text ELSE text END AS text, level FROM blocks")
 def convert_docx_and_back(spark, d):
     made = convert.convert(_pages(spark, d).get("blocks", "cells", "metadata", "error"), "docx").select("doc_id", "content")
     return reader.open_table(made, "doc_id", "content").part("blocks").select("doc_id", "block_idx", "type", "text", "level")
 
 
-@query("convert_report")
+@query("convert_report", f"WITH {ELEMENTS} SELECT page_id AS doc_id, (SELECT count(*) FROM blocks WHERE doc_id = page_id)::INTEGER AS blocks, 0 AS tables, NULL::VARCHAR AS error FROM pages")
 def convert_report(spark, d):
     return convert.convert(_pages(spark, d).get("blocks", "cells", "metadata", "error"), "epub").select("doc_id", "blocks", "tables", "error")
 
@@ -153,7 +158,8 @@ def blocks_html(spark, d):
     return convert.html(_blocks(spark, d))
 
 
-@query("pdf_paginate")
+@query("pdf_paginate", f"""WITH {BLOCKS}, l AS (SELECT doc_id, n, block_idx * 2 + k AS line, CASE k WHEN 1 THEN '' WHEN 0 THEN CASE WHEN n = 3 THEN repeat('  ', indent) || '• ' || text ELSE text END END AS text FROM blocks, generate_series(0, 1) AS g(k))
+SELECT doc_id, line::INTEGER AS line, (line // 50 + 1)::INTEGER AS page, CASE WHEN text = '' THEN '' ELSE trim(text) END AS text, CASE n WHEN 1 THEN 20.0::DOUBLE WHEN 2 THEN 16.0::DOUBLE ELSE 12.0::DOUBLE END AS font_size, n <= 2 AS bold FROM l""")
 def pdf_paginate(spark, d):
     return convert.print_lines(_blocks(spark, d))
 
@@ -186,7 +192,7 @@ def pipeline_fail_fast(spark, d):
     return pipeline.stopped(rows, "fail_fast")
 
 
-@query("pipeline_run")
+@query("pipeline_run", f"WITH {ELEMENTS} SELECT doc_id || '.html' AS path, 'success' AS status, NULL::INTEGER AS step, NULL::VARCHAR AS error, string_agg(CASE WHEN type = 'list_item' THEN '• ' || text ELSE text END, chr(10) || chr(10) ORDER BY block_idx) AS text FROM blocks GROUP BY doc_id")
 def pipeline_run(spark, d):
     p = pipeline.Builder("pages", "unused").on_error("collect_errors").extract_structure().to_markdown().convert("docx").extract_text().build()
     files = read(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
@@ -195,8 +201,8 @@ def pipeline_run(spark, d):
 
 @query("save_names", "SELECT page_id, 'out/p' || page_id || '.txt' AS path FROM pages")
 def save_names(spark, d):
-    template = F.lit("out/{stem}.txt")
-    return read(spark, d, "pages").select("page_id", F.replace(template, F.lit("{stem}"), F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("path"))
+    fill = F.pandas_udf(lambda paths: paths.map(lambda p: pipeline.fill_names("out/{stem}.txt", p)), "string")
+    return read(spark, d, "pages").select("page_id", fill(F.concat(F.lit("in/p"), F.col("page_id"), F.lit(".html"))).alias("path"))
 
 
 @query("events_sessions", """WITH g AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 3600000000, false)::INTEGER AS n FROM events

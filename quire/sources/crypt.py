@@ -1,7 +1,11 @@
-"""The standard security handler of PDF, revisions 2 to 4: RC4 and AES-128, in plain Python."""
+"""The standard security handler of PDF, revisions 2 to 6: RC4, AES-128 and AES-256.
+
+AES runs in the library that Python's own hashes are linked with, where it has it, else in plain Python.
+"""
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 
@@ -61,22 +65,28 @@ _SHIFT = [(i + 4 * (i % 4)) % 16 for i in range(16)]  # where each byte comes fr
 _UNSHIFT = [(i - 4 * (i % 4)) % 16 for i in range(16)]
 
 
-class Aes128:
+class Aes:
+    """AES with a key of 16 or 32 bytes, block by block."""
+
     def __init__(self, key: bytes):
-        w, rcon = [list(key[i : i + 4]) for i in range(0, 16, 4)], 1
-        for i in range(4, 44):
+        n = len(key) // 4
+        self.last = n + 6
+        w, rcon = [list(key[i : i + 4]) for i in range(0, len(key), 4)], 1
+        for i in range(n, 4 * (self.last + 1)):
             t = w[-1]
-            if i % 4 == 0:
+            if i % n == 0:
                 t = [SBOX[t[1]] ^ rcon, SBOX[t[2]], SBOX[t[3]], SBOX[t[0]]]
                 rcon = _times(rcon, 2)
-            w.append([a ^ b for a, b in zip(w[i - 4], t)])
-        self.rounds = [bytes(sum(w[4 * r : 4 * r + 4], [])) for r in range(11)]
+            elif n > 6 and i % n == 4:
+                t = [SBOX[x] for x in t]
+            w.append([a ^ b for a, b in zip(w[i - n], t)])
+        self.rounds = [bytes(sum(w[4 * r : 4 * r + 4], [])) for r in range(self.last + 1)]
 
     def encrypt(self, block: bytes) -> bytes:
         s = [a ^ b for a, b in zip(block, self.rounds[0])]
-        for r in range(1, 11):
+        for r in range(1, self.last + 1):
             s = [SBOX[s[i]] for i in _SHIFT]
-            if r < 10:
+            if r < self.last:
                 out = []
                 for c in range(0, 16, 4):
                     a, b, d, e = s[c : c + 4]
@@ -86,8 +96,8 @@ class Aes128:
         return bytes(s)
 
     def decrypt(self, block: bytes) -> bytes:
-        s = [a ^ b for a, b in zip(block, self.rounds[10])]
-        for r in range(9, -1, -1):
+        s = [a ^ b for a, b in zip(block, self.rounds[self.last])]
+        for r in range(self.last - 1, -1, -1):
             s = [BACK[s[i]] for i in _UNSHIFT]
             s = [a ^ b for a, b in zip(s, self.rounds[r])]
             if r:
@@ -99,25 +109,99 @@ class Aes128:
         return bytes(s)
 
 
+def _library():
+    """The functions of the linked library that AES needs; None where there are none."""
+    try:
+        import _hashlib
+
+        lib = ctypes.CDLL(_hashlib.__file__)
+        for name in ("EVP_CIPHER_CTX_new", "EVP_aes_128_cbc", "EVP_aes_256_cbc"):
+            getattr(lib, name).restype = ctypes.c_void_p
+        lib.EVP_CipherInit_ex.argtypes = [ctypes.c_void_p] * 3 + [ctypes.c_char_p] * 2 + [ctypes.c_int]
+        lib.EVP_CIPHER_CTX_set_padding.argtypes = [ctypes.c_void_p, ctypes.c_int]
+        lib.EVP_CipherUpdate.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.POINTER(ctypes.c_int), ctypes.c_char_p, ctypes.c_int]
+        lib.EVP_CIPHER_CTX_free.argtypes = [ctypes.c_void_p]
+        return lib
+    except (ImportError, OSError, AttributeError):
+        return None
+
+
+def cbc(key: bytes, data: bytes, iv: bytes, encrypt: bool, plain: bool = False) -> bytes:
+    """Whole blocks in cipher block chaining, without padding; with plain, in plain Python."""
+    if not plain and (library := _library()) is not None:
+        ctx = library.EVP_CIPHER_CTX_new()
+        try:
+            kind = library.EVP_aes_256_cbc() if len(key) == 32 else library.EVP_aes_128_cbc()
+            out, n = ctypes.create_string_buffer(len(data) + 32), ctypes.c_int(0)
+            if library.EVP_CipherInit_ex(ctx, kind, None, key, iv, int(encrypt)) and library.EVP_CIPHER_CTX_set_padding(ctx, 0) and library.EVP_CipherUpdate(ctx, out, ctypes.byref(n), data, len(data)) and n.value == len(data):
+                return out.raw[: n.value]
+        finally:
+            library.EVP_CIPHER_CTX_free(ctx)
+    cipher, last, blocks = Aes(key), iv, []
+    for i in range(0, len(data), 16):
+        block = data[i : i + 16]
+        if encrypt:
+            last = cipher.encrypt(bytes(a ^ b for a, b in zip(block, last)))
+            blocks.append(last)
+        else:
+            blocks.append(bytes(a ^ b for a, b in zip(cipher.decrypt(block), last)))
+            last = block
+    return b"".join(blocks)
+
+
 def cbc_encrypt(key: bytes, data: bytes, iv: bytes) -> bytes:
     n = 16 - len(data) % 16
-    data, cipher, out, last = data + bytes([n]) * n, Aes128(key), [iv], iv
-    for i in range(0, len(data), 16):
-        last = cipher.encrypt(bytes(a ^ b for a, b in zip(data[i : i + 16], last)))
-        out.append(last)
-    return b"".join(out)
+    return iv + cbc(key, data + bytes([n]) * n, iv, True)
 
 
 def cbc_decrypt(key: bytes, data: bytes) -> bytes:
-    cipher, last, out = Aes128(key), data[:16], []
-    for i in range(16, len(data) - 15, 16):
-        block = data[i : i + 16]
-        out.append(bytes(a ^ b for a, b in zip(cipher.decrypt(block), last)))
-        last = block
-    raw = b"".join(out)
+    whole = data[16 : len(data) - len(data) % 16]
+    raw = cbc(key, whole, data[:16], False) if whole else b""
     return raw[: -raw[-1]] if raw and 1 <= raw[-1] <= 16 else raw
 
 
+# --- AES-256: revisions 5 and 6 ------------------------------------------------
+
+
+def hash_256(password: bytes, salt: bytes, user: bytes, revision: int) -> bytes:
+    """The hash of a password of revision 5 (one SHA-256) or 6 (at least 64 rounds)."""
+    k = hashlib.sha256(password + salt + user).digest()
+    i = 0
+    while revision >= 6:
+        e = cbc(k[:16], (password + k + user) * 64, k[16:32], True)
+        k = (hashlib.sha256, hashlib.sha384, hashlib.sha512)[sum(e[:16]) % 3](e).digest()
+        i += 1
+        if i >= 64 and e[-1] <= i - 32:
+            break
+    return k[:32]
+
+
+def entries_256(user: bytes, owner: bytes, p: int) -> tuple[bytes, dict[str, bytes]]:
+    """(a new file key, the entries U, UE, O, OE and Perms that seal it) of revision 6."""
+    key, none = os.urandom(32), bytes(16)
+    salts = [os.urandom(8) for _ in range(4)]
+    u = hash_256(user[:127], salts[0], b"", 6) + salts[0] + salts[1]
+    o = hash_256(owner[:127], salts[2], u, 6) + salts[2] + salts[3]
+    perms = (p & 0xFFFFFFFF).to_bytes(4, "little") + b"\xff\xff\xff\xffTadb" + os.urandom(4)
+    return key, {
+        "U": u, "UE": cbc(hash_256(user[:127], salts[1], b"", 6), key, none, True),
+        "O": o, "OE": cbc(hash_256(owner[:127], salts[3], u, 6), key, none, True), "Perms": cbc(key, perms, none, True),
+    }
+
+
+def unlock_256(password: bytes, o: bytes, u: bytes, oe: bytes, ue: bytes, revision: int) -> bytes | None:
+    """The file's key, for the user's or the owner's password; None for a wrong one."""
+    password, o, u = password[:127], o[:48], u[:48]
+    if hash_256(password, u[32:40], b"", revision) == u[:32]:
+        return cbc(hash_256(password, u[40:48], b"", revision), ue[:32], bytes(16), False)
+    if hash_256(password, o[32:40], u, revision) == o[:32]:
+        return cbc(hash_256(password, o[40:48], u, revision), oe[:32], bytes(16), False)
+    return None
+
+
+# --- RC4 and AES-128 -------------------------------------------------------------
+
+
 def file_key(password: bytes, o: bytes, p: int, file_id: bytes, revision: int, length: int, open_meta: bool = True) -> bytes:
     h = hashlib.md5((password + PAD)[:32] + o + (p & 0xFFFFFFFF).to_bytes(4, "little") + file_id + (b"" if revision < 4 or open_meta else b"\xff" * 4)).digest()
     n = 5 if revision == 2 else length
@@ -168,6 +252,8 @@ def unlock(password: bytes, o: bytes, u: bytes, p: int, file_id: bytes, revision
 
 
 def object_key(key: bytes, num: int, gen: int, aes: bool) -> bytes:
+    if len(key) == 32:  # AES-256 has one key for all objects
+        return key
     salt = num.to_bytes(3, "little") + gen.to_bytes(2, "little") + (b"sAlT" if aes else b"")
     return hashlib.md5(key + salt).digest()[: min(len(key) + 5, 16)]
 

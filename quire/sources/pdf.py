@@ -231,16 +231,19 @@ class Pdf:
             return
         r, v = self.get(e, "R"), self.get(e, "V")
         method = self.get(self.get(self.get(e, "CF") or {}, str(self.get(e, "StmF") or "StdCF")) or {}, "CFM")
-        if self.get(e, "Filter") != "Standard" or v not in (1, 2, 4) or r not in (2, 3, 4) or (v == 4 and method not in ("V2", "AESV2")):
+        if self.get(e, "Filter") != "Standard" or v not in (1, 2, 4, 5) or r not in (2, 3, 4, 5, 6) or (v == 4 and method not in ("V2", "AESV2")) or (v == 5 and method != "AESV3"):
             raise PdfError("unsupported_encryption")
         ids = self.get(self.trailer, "ID") or [b""]
         length = 16 if v == 4 else int(self.get(e, "Length") or 40) // 8
-        key = crypt.unlock((password or "").encode("cp1252", "replace"), self.get(e, "O"), self.get(e, "U"), int(self.get(e, "P")), self.resolve(ids[0]), r, length, self.get(e, "EncryptMetadata") is not False)
+        if v == 5:
+            key = crypt.unlock_256((password or "").encode(), *(self.get(e, k) for k in ("O", "U", "OE", "UE")), r)
+        else:
+            key = crypt.unlock((password or "").encode("cp1252", "replace"), self.get(e, "O"), self.get(e, "U"), int(self.get(e, "P")), self.resolve(ids[0]), r, length, self.get(e, "EncryptMetadata") is not False)
         if key is None:
             raise PdfError("password_required" if password is None else "wrong_password")
         own = self.trailer.get("Encrypt")
         self.cache.clear()
-        self.key, self.aes, self.plain = key, method == "AESV2", own[0] if isinstance(own, Ref) else None
+        self.key, self.aes, self.plain = key, method in ("AESV2", "AESV3"), own[0] if isinstance(own, Ref) else None
 
     def _reveal(self, v, num: int):
         """A value with its strings decrypted."""
@@ -343,9 +346,9 @@ class Pdf:
         return [float(x) for x in b[:4]]
 
 
-def operations(content: bytes) -> list[tuple[str, list]]:
-    """(operator, operands) of a content stream; inline images are passed over."""
-    lex, args, out = Lexer(content), [], []
+def operations(content: bytes, images: bool = False) -> list[tuple[str, list]]:
+    """(operator, operands) of a content stream. Inline images are passed over, or with images come as BI with their source."""
+    lex, args, out, begin = Lexer(content), [], [], 0
     while (v := lex.next()) is not None:
         if not isinstance(v, Op):
             args.append(v)
@@ -355,7 +358,10 @@ def operations(content: bytes) -> list[tuple[str, list]]:
             m = re.compile(rb"\sEI(?=\s|$)").search(content, lex.at)
             lex.at = m.end() if m else len(content)
             args = []
+            if images:
+                out[-1] = ("BI", [content[begin : lex.at]])
         else:
+            begin = lex.at - 2 if v == "BI" else begin
             out.append((str(v), args))
             args = []
     return out
@@ -455,11 +461,16 @@ def _mul(m, n):
 
 
 def spans_and_lines(pdf: Pdf, page: dict) -> tuple[list[dict], list[tuple[float, float, float, float]]]:
-    """The spans of text of a page with their places, and the segments of painted paths (in their own space)."""
+    """The spans of text of a page with their places, and the segments of painted paths (in their own space).
+
+    A span is as wide as its glyphs, scaled (Tz); the next one begins after the space between
+    characters (Tc) and words (Tw) too.
+    """
     res = pdf.inherited(page, "Resources") or {}
     fonts = {k: Font(pdf, f) for k, v in (pdf.get(res, "Font") or {}).items() if isinstance(f := pdf.resolve(v), dict)}
     unit = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
     ctm, stack, tm, tlm, size, font, leading = unit, [], unit, unit, 0.0, None, 0.0
+    between, after_blank, wide = 0.0, 0.0, 1.0
     spans: list[dict] = []
     segments, path, now, begin = [], [], (0.0, 0.0), (0.0, 0.0)
 
@@ -471,8 +482,13 @@ def spans_and_lines(pdf: Pdf, page: dict) -> tuple[list[dict], list[tuple[float,
         m = _mul(tm, ctm)
         scale = (m[2] ** 2 + m[3] ** 2) ** 0.5 or 1.0
         if text:
-            spans.append({"text": text, "x": m[4], "y": m[5], "width": width * size * ((m[0] ** 2 + m[1] ** 2) ** 0.5 or 1.0), "font_size": size * scale, "font_name": font.name if font else ""})
-        tm = _mul((1, 0, 0, 1, width * size, 0), tm)
+            spans.append({"text": text, "x": m[4], "y": m[5], "width": width * size * wide * ((m[0] ** 2 + m[1] ** 2) ** 0.5 or 1.0), "font_size": size * scale, "font_name": font.name if font else ""})
+        codes = len(raw) // 2 if font and font.wide else len(raw)
+        blanks = 0 if font and font.wide else raw.count(b" ")
+        step = width * size + between * codes + after_blank * blanks
+        if text:
+            spans[-1]["step"] = step / size if size else 0.0
+        tm = _mul((1, 0, 0, 1, step * wide, 0), tm)
 
     def newline(x: float, y: float) -> None:
         nonlocal tm, tlm
@@ -481,15 +497,21 @@ def spans_and_lines(pdf: Pdf, page: dict) -> tuple[list[dict], list[tuple[float,
     for op, a in operations(pdf.content(page)):
         try:
             if op == "q":
-                stack.append((ctm, font, size, leading))
+                stack.append((ctm, font, size, leading, between, after_blank, wide))
             elif op == "Q" and stack:
-                ctm, font, size, leading = stack.pop()
+                ctm, font, size, leading, between, after_blank, wide = stack.pop()
             elif op == "cm":
                 ctm = _mul(tuple(map(float, a[-6:])), ctm)
             elif op == "BT":
                 tm = tlm = unit
             elif op == "Tf":
                 font, size = fonts.get(a[-2]), float(a[-1])
+            elif op == "Tc":
+                between = float(a[-1])
+            elif op == "Tw":
+                after_blank = float(a[-1])
+            elif op == "Tz":
+                wide = float(a[-1]) / 100
             elif op == "TL":
                 leading = float(a[-1])
             elif op == "Td":
@@ -504,6 +526,8 @@ def spans_and_lines(pdf: Pdf, page: dict) -> tuple[list[dict], list[tuple[float,
             elif op == "Tj":
                 show(a[-1])
             elif op in ("'", '"'):
+                if op == '"':
+                    after_blank, between = float(a[-3]), float(a[-2])
                 newline(0, -leading)
                 show(a[-1])
             elif op == "TJ":
@@ -511,7 +535,7 @@ def spans_and_lines(pdf: Pdf, page: dict) -> tuple[list[dict], list[tuple[float,
                     if isinstance(x, bytes):
                         show(x)
                     elif isinstance(x, (int, float)):
-                        tm = _mul((1, 0, 0, 1, -x / 1000 * size, 0), tm)
+                        tm = _mul((1, 0, 0, 1, -x / 1000 * size * wide, 0), tm)
             elif op == "m":
                 now = begin = (float(a[-2]), float(a[-1]))
             elif op == "l":
@@ -635,18 +659,25 @@ def _string(s: str) -> bytes:
 def write(pages: list[dict], metadata: dict[str, str] | None = None, compress: bool = True, encrypt: dict | None = None) -> bytes:
     """A file of pages {width, height, spans [{text, x, y, font_size, bold}], segments [(ax, ay, bx, by)]}.
 
-    encrypt: {user, owner, algorithm (rc4 or aes128), permissions (the signed number)}.
+    encrypt: {user, owner, algorithm (rc4, aes128 or aes256), permissions (the signed number)}.
     """
     objects: list[tuple[bytes, bytes | None]] = [(b"<< /Type /Catalog /Pages 2 0 R >>", None), (b"", None), (b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>", None), (b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica-Bold /Encoding /WinAnsiEncoding >>", None)]
     key, aes, trailer = None, False, b""
     if encrypt is not None:
-        aes = encrypt.get("algorithm", "aes128") == "aes128"
+        how = encrypt.get("algorithm", "aes128")
+        aes = how != "rc4"
         file_id, p = hashlib.md5(repr((metadata, len(pages))).encode()).digest(), int(encrypt.get("permissions", -4))
-        user, owner = (str(encrypt.get(k) or "").encode("cp1252", "replace") for k in ("user", "owner"))
-        revision = 4 if aes else 3
-        o = crypt.owner_entry(owner, user, revision, 16)
-        key = crypt.file_key(user, o, p, file_id, revision, 16)
-        u = crypt.user_entry(key, file_id, revision)
+        user, owner = (str(encrypt.get(k) or "") for k in ("user", "owner"))
+        if how == "aes256":
+            key, sealed = crypt.entries_256(user.encode(), (owner or user).encode(), p)
+            kind = b"/V 5 /R 6 /Length 256 /CF << /StdCF << /CFM /AESV3 /AuthEvent /DocOpen /Length 32 >> >> /StmF /StdCF /StrF /StdCF"
+        else:
+            user, owner = (x.encode("cp1252", "replace") for x in (user, owner))
+            revision = 4 if aes else 3
+            o = crypt.owner_entry(owner, user, revision, 16)
+            key = crypt.file_key(user, o, p, file_id, revision, 16)
+            sealed = {"O": o, "U": crypt.user_entry(key, file_id, revision)}
+            kind = b"/V 4 /R 4 /Length 128 /CF << /StdCF << /CFM /AESV2 /AuthEvent /DocOpen /Length 16 >> >> /StmF /StdCF /StrF /StdCF" if aes else b"/V 2 /R 3 /Length 128"
     kids = []
     for p_ in pages:
         body = [b"%g %g m %g %g l S" % s for s in p_.get("segments", [])]
@@ -664,8 +695,7 @@ def write(pages: list[dict], metadata: dict[str, str] | None = None, compress: b
     said = lambda v: _string(v) if key is None else b"<%s>" % crypt.seal(key, info, v.encode("cp1252", "replace"), aes).hex().encode()
     objects.append((b"<< " + b" ".join(b"/%s %s" % (known[f].encode(), said(v)) for f, v in (metadata or {}).items() if f in known and v) + b" >>", None))
     if key is not None:
-        kind = b"/V 4 /R 4 /Length 128 /CF << /StdCF << /CFM /AESV2 /AuthEvent /DocOpen /Length 16 >> >> /StmF /StdCF /StrF /StdCF" if aes else b"/V 2 /R 3 /Length 128"
-        objects.append((b"<< /Filter /Standard %s /O <%s> /U <%s> /P %d >>" % (kind, o.hex().encode(), u.hex().encode(), p), None))
+        objects.append((b"<< /Filter /Standard %s %s /P %d >>" % (kind, b" ".join(b"/%s <%s>" % (k.encode(), v.hex().encode()) for k, v in sealed.items()), p), None))
         trailer = b" /Encrypt %d 0 R /ID [<%s> <%s>]" % (len(objects), file_id.hex().encode(), file_id.hex().encode())
     out, places = bytearray(b"%PDF-1.7\n"), []
     for i, (head, raw) in enumerate(objects, 1):

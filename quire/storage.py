@@ -63,3 +63,9 @@ def get(uri: str) -> bytes:
     where, path = _place(uri)
     with where.open_input_stream(path) as f:
         return f.read()
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder, on any file system that Spark knows; one that isn't there is fine."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -196,3 +196,31 @@ def test_session_stream(spark, tmp_path):
     assert {(1, 2), (1, 1)} <= got
     batch = sessions.sessions(events)
     assert {(r.user_id, r.events) for r in batch.collect()} == {(1, 2), (1, 1), (2, 1)}
+
+
+def test_deep_forms_and_rings(spark):
+    deep = [(1, i, i - 1 if i else None, f"n{i}", "Tx" if i == 0 else None, None) for i in range(20)]
+    ring = [(2, 0, 1, "a", "Tx", 0), (2, 1, 0, "b", "Tx", 0), (2, 2, 0, "leaf", "Tx", 0), (2, 3, 77, "orphan", "Tx", 0)]
+    nodes = spark.createDataFrame(deep + ring, "doc_id long, id int, parent int, t string, ft string, ff int")
+    assert [(r.doc_id, r.name, r.ft) for r in forms.qualified(nodes).collect()] == [(1, ".".join(f"n{i}" for i in range(20)), "Tx")]
+    assert forms.qualified(nodes.limit(0)).count() == 0
+
+
+def test_parents_of_any_level(spark):
+    rows = [(1, i, n) for i, n in enumerate([9, 10, 11, 12, 10, None, 40, 3])]
+    got = mutate.parents(spark.createDataFrame(rows, "doc_id long, ord int, level int"), ["doc_id"], "ord").orderBy("ord").collect()
+    assert [r.parent for r in got] == [None, 0, 1, 2, 0, None, 4, None]
+    assert got[0].asDict().keys() == {"doc_id", "ord", "level", "parent"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quire import storage
+
+    conf = SimpleNamespace(get=lambda k: None)
+    on = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master=master, setCheckpointDir=lambda at: None))
+    for master in ("spark://x:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            storage.shared_dir(on(master))
+    storage.shared_dir(on("local[2]"))

@@ -187,7 +187,7 @@ def test_convert_round_trip(spark):
     assert [b["text"] for b in office.docx(bytes(rows[1].content))["blocks"]][:2] == ["Head", "one"]
 
 
-@pytest.mark.parametrize("algorithm", ["rc4", "aes128"])
+@pytest.mark.parametrize("algorithm", ["rc4", "aes128", "aes256"])
 def test_encrypted_pdf(algorithm):
     made = pdf.write([{"spans": [{"text": "hidden (text)", "x": 9, "y": 9}]}], {"title": "Secret title"}, encrypt={"user": "u", "owner": "o", "algorithm": algorithm})
     assert b"Secret" not in made
@@ -206,9 +206,12 @@ def test_ciphers():
     from quire.sources import crypt
 
     assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
-    aes = crypt.Aes128(bytes.fromhex("000102030405060708090a0b0c0d0e0f"))
     block = bytes.fromhex("00112233445566778899aabbccddeeff")
-    assert aes.encrypt(block).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a" and aes.decrypt(aes.encrypt(block)) == block
+    for n, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        aes = crypt.Aes(bytes(range(n)))
+        assert aes.encrypt(block).hex() == want and aes.decrypt(aes.encrypt(block)) == block
+        for encrypt in (True, False):
+            assert crypt.cbc(bytes(range(n)), block * 3, block, encrypt) == crypt.cbc(bytes(range(n)), block * 3, block, encrypt, plain=True)
     for n in (0, 1, 15, 16, 40):
         assert crypt.cbc_decrypt(b"k" * 16, crypt.cbc_encrypt(b"k" * 16, b"d" * n, b"i" * 16)) == b"d" * n
 
