@@ -22,21 +22,27 @@ def lcs_ops(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | Non
     start = 0
     while start < min(n, m) and a[start] == b[start]:
         start += 1
-    a, b = a[start:], b[start:]
+    end = 0
+    while end < min(n, m) - start and a[n - 1 - end] == b[m - 1 - end]:
+        end += 1
+    a, b = a[start : n - end], b[start : m - end]
     n, m = len(a), len(b)
     codes: dict[str, int] = {}
     ca = np.array([codes.setdefault(x, len(codes)) for x in a], np.int64)
     cb = np.array([codes.setdefault(x, len(codes)) for x in b], np.int64)
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(1, n + 1):
-        hit = best[i - 1, :-1] + (cb == ca[i - 1])
-        best[i, 1:] = np.maximum.accumulate(np.maximum(best[i - 1, 1:], hit))
+    # of the table of lengths, only one row is held, and of each place one bit: whether to go on to the left
+    before, left = np.zeros(m + 1, np.int32), []
+    for i in range(n):
+        now = np.zeros(m + 1, np.int32)
+        now[1:] = np.maximum.accumulate(np.maximum(before[1:], before[:-1] + (cb == ca[i])))
+        left.append(np.packbits(now[:-1] >= before[1:]))
+        before = now
     out = []
     i, j = n, m
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
-        elif j and (not i or best[i, j - 1] >= best[i - 1, j]):
+        elif j and (not i or left[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1):
             j -= 1
             out.append(("added", None, b[j], None, start + j))
         else:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from quire.functions import geometry
 from quire.operators.lines import PAGE, joined
@@ -110,14 +113,6 @@ def fill(cells: DataFrame, spans: DataFrame) -> DataFrame:
     return cells.join(found, [*PAGE, "table_id", "row", "col"], "left").withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
 
 
-def lattice(segments: DataFrame, spans: DataFrame, snap: float = SNAP, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS) -> DataFrame:
-    """The cells of ruled tables of at least min_rows x min_cols."""
-    cells = fill(grid(clusters(intersections(segments, snap), snap), snap), spans)
-    w = Window.partitionBy(*PAGE, "table_id")
-    big = cells.withColumns({"_r": F.max("row").over(w), "_c": F.max("col").over(w)})
-    return big.filter((F.col("_r") + 1 >= min_rows) & (F.col("_c") + 1 >= min_cols)).drop("_r", "_c")
-
-
 # --- stream ----------------------------------------------------------------
 
 
@@ -175,24 +170,57 @@ def stream_cells(found: DataFrame, bounds: DataFrame, placed: DataFrame) -> Data
     return every.join(texts, [*PAGE, "table_id", "row", "col"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def stream(spans: DataFrame, min_gap: float = MIN_GAP, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS) -> DataFrame:
+# --- whole pages -------------------------------------------------------------
+
+CELL = "table_id int, row int, col int, text string, strategy string, x0 double, y0 double, x1 double, y1 double"
+
+
+def detect(segments: DataFrame | None, spans: DataFrame, strategy: str = "auto", snap: float = SNAP, min_gap: float = MIN_GAP, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS) -> DataFrame:
+    """(page, CELL) of the tables of pages: lattice by rule lines, stream by how words are aligned. auto: ruled
+    tables, and stream tables of the pages that have none ruled. Cells of stream tables have no box.
+
+    All that a page has is brought together once and folded; the functions above have the same steps as joins.
+    """
+    if strategy not in ("auto", "lattice", "stream"):
+        raise ValueError(f"not a strategy: {strategy}")
+    pages = spans.groupBy(*PAGE).agg(F.collect_list(F.struct("line_idx", "span_idx", "text", "x", "y", "width", "font_size")).alias("_s"))
+    if segments is None:
+        pages = pages.withColumn("_g", F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>"))
+    else:
+        pages = pages.join(segments.groupBy(*PAGE).agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_g")), PAGE, "full")
+    schema = ArrayType(StructType.fromDDL(CELL))
+    arrow = to_arrow_type(schema)
+
+    def fold(spans_: pa.Array, segments_: pa.Array) -> pa.Array:
+        from quire.sources import pagefold
+
+        out = []
+        for s, g in zip(spans_.to_pylist(), segments_.to_pylist()):
+            lines = pagefold.given_lines(s or [])
+            found = [(t, "lattice") for t in pagefold.ruled([(x["ax"], x["ay"], x["bx"], x["by"]) for x in g or []], lines, snap, min_rows, min_cols)] if strategy != "stream" else []
+            if strategy == "stream" or strategy == "auto" and not found:
+                found = [(t, "stream") for t in pagefold.aligned(lines, min_gap, min_rows, min_cols)]
+            cells = []
+            for i, (t, how) in enumerate(found):
+                for r, row in enumerate(t["rows"]):
+                    for c, text in enumerate(row):
+                        box = (t["xs"][c], t["ys"][-2 - r], t["xs"][c + 1], t["ys"][-1 - r]) if how == "lattice" else (None,) * 4
+                        cells.append(dict(zip(("table_id", "row", "col", "text", "strategy", *geometry.BOX), (i, r, c, text, how, *box))))
+            out.append(cells)
+        return pa.array(out, type=arrow)
+
+    udf = F.arrow_udf(fold, schema).asNondeterministic()
+    return pages.select(*PAGE, F.explode(udf("_s", "_g")).alias("_c")).select(*PAGE, "_c.*")
+
+
+def lattice(segments: DataFrame, spans: DataFrame, **how) -> DataFrame:
+    """The cells of ruled tables of at least min_rows x min_cols, with their boxes."""
+    return detect(segments, spans, "lattice", **how).drop("strategy")
+
+
+def stream(spans: DataFrame, **how) -> DataFrame:
     """The cells of tables without rules, from how words are aligned."""
-    found = words(spans, min_gap)
-    modal = modal_columns(found).filter(F.col("cols") >= min_cols)
-    bounds = boundaries(found, modal)
-    return stream_cells(found, bounds, stream_lines(found.join(modal.select(*PAGE), PAGE), bounds, min_rows, min_cols))
-
-
-def detect(segments: DataFrame, spans: DataFrame, strategy: str = "auto", **how) -> DataFrame:
-    """Cells with strategy. auto: ruled tables, and stream tables of the pages that have none ruled."""
-    shared = [*PAGE, "table_id", "row", "col", "text"]
-    ruled = lattice(segments, spans, **how).select(*shared, F.lit("lattice").alias("strategy"))
-    if strategy == "lattice":
-        return ruled
-    loose = stream(spans, **how).select(*shared, F.lit("stream").alias("strategy"))
-    if strategy == "stream":
-        return loose
-    return ruled.unionByName(loose.join(ruled.select(*PAGE).distinct(), PAGE, "left_anti"))
+    return detect(None, spans, "stream", **how).select(*PAGE, "table_id", "row", "col", "text")
 
 
 def to_rows(cells: DataFrame, key: list[str]) -> DataFrame:

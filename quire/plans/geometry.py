@@ -319,4 +319,4 @@ def stream_tables(spark, d):
 
 @query("table_strategy")
 def table_strategy(spark, d):
-    return tables.detect(tables.rectangle_segments(mapped.rects(spark, d)), mapped.spans(spark, d))
+    return tables.detect(tables.rectangle_segments(mapped.rects(spark, d)), mapped.spans(spark, d)).select(*PAGE, "table_id", "row", "col", "text", "strategy")

@@ -38,6 +38,15 @@ def lines_of(spans: list[dict]) -> list[dict]:
     return out
 
 
+def given_lines(spans: list[dict]) -> list[dict]:
+    """The same of spans that have their line_idx and span_idx, as far as tables need it."""
+    lines: dict[int, list[dict]] = {}
+    for s in sorted(spans, key=lambda s: (s["line_idx"], s["span_idx"])):
+        lines.setdefault(s["line_idx"], []).append(s)
+    box = lambda own: (min(s["x"] for s in own), min(s["y"] for s in own), max(s["x"] + s["width"] for s in own), max(s["y"] + s["font_size"] for s in own))
+    return [{"line_idx": i, "spans": own, "box": box(own)} for i, own in lines.items()]
+
+
 def sizes_of(spans: list[dict], ratio: float) -> tuple[float, list[int]]:
     """The body's font size, and the buckets of the sizes of headings, largest first."""
     per: dict[int, list] = {}
@@ -89,7 +98,7 @@ def _axis(values: set[float], snap: float) -> list[float]:
 
 
 def ruled(segments: list[tuple[float, float, float, float]], lines: list[dict], snap: float = SNAP, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS) -> list[dict]:
-    """Tables (rows of texts, box) between rule lines, as tables.lattice() finds them."""
+    """Tables (rows of texts, box) between rule lines, as tables.detect() finds them."""
     flat = {((ay + by) / 2, min(ax, bx) - snap, max(ax, bx) + snap) for ax, ay, bx, by in segments if abs(ay - by) < snap}
     up = {((ax + bx) / 2, min(ay, by) - snap, max(ay, by) + snap) for ax, ay, bx, by in segments if abs(ax - bx) < snap}
     points = sorted({(half_up(vx / snap) * snap, half_up(hy / snap) * snap) for hy, h0, h1 in flat for vx, v0, v1 in up if h0 <= vx <= h1 and v0 <= hy <= v1})
@@ -105,12 +114,12 @@ def ruled(segments: list[tuple[float, float, float, float]], lines: list[dict],
         rows = []
         for lo, hi in reversed(list(zip(ys, ys[1:]))):
             rows.append([" ".join(t for x, y, t in spans if a <= x <= b and lo <= y <= hi and t is not None).strip(" ") for a, b in zip(xs, xs[1:])])
-        out.append({"rows": rows, "box": (xs[0], ys[0], xs[-1], ys[-1])})
+        out.append({"rows": rows, "box": (xs[0], ys[0], xs[-1], ys[-1]), "xs": xs, "ys": ys})
     return out
 
 
 def aligned(lines: list[dict], min_gap: float = MIN_GAP, min_rows: int = MIN_ROWS, min_cols: int = MIN_COLS) -> list[dict]:
-    """Tables without rules, as tables.stream() finds them."""
+    """Tables without rules, as tables.detect() finds them."""
     found: list[list[tuple[float, float, str]]] = []
     for x in lines:
         words: list[list] = []

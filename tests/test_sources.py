@@ -261,6 +261,8 @@ def test_pages_by_folds_and_by_joins(spark):
     """pagefold has the same blocks and tables as structure.extract and tables.detect."""
     import random
 
+    from pyspark.sql import functions as F
+
     from quire.operators import structure, tables
     from quire.sources import pagefold
 
@@ -277,7 +279,16 @@ def test_pages_by_folds_and_by_joins(spark):
     g = spark.createDataFrame(rules, "doc_id long, page int, ax double, ay double, bx double, by double")
     grouped = reader.group_spans(s)
     want = [tuple(x) for x in structure.extract(grouped).orderBy("page", "block_idx").select("page", "type", "text", "level", "indent_level", "x0", "y1").collect()]
-    cells = sorted(tuple(x) for x in tables.detect(g, grouped).select("page", "table_id", "row", "col", "text").collect())
+    key = ["doc_id", "page"]
+    lattice = tables.fill(tables.grid(tables.clusters(tables.intersections(g))), grouped)
+    big = lattice.groupBy(*key, "table_id").agg(F.max("row").alias("r"), F.max("col").alias("c")).filter("r >= 1 AND c >= 1").select(*key, "table_id")
+    lattice = lattice.join(big, [*key, "table_id"]).select("page", "table_id", "row", "col", "text")
+    words = tables.words(grouped)
+    modal = tables.modal_columns(words).filter("cols >= 2")
+    bounds = tables.boundaries(words, modal)
+    loose = tables.stream_cells(words, bounds, tables.stream_lines(words.join(modal.select(*key), key), bounds)).select("page", "table_id", "row", "col", "text")
+    cells = sorted(tuple(x) for x in lattice.unionByName(loose.join(lattice.select("page").distinct(), "page", "left_anti")).collect())
+    assert cells == sorted(tuple(x) for x in tables.detect(g, grouped).select("page", "table_id", "row", "col", "text").collect())
     got, found = [], []
     for page in range(1, 9):
         spans = [dict(zip(s.columns, x)) for x in rows if x[1] == page]
