@@ -74,18 +74,18 @@ def lines(spark, sf_dir: str) -> DataFrame:
 
 
 def rects(spark, sf_dir: str) -> DataFrame:
-    """Rectangles of a page's grid: one for each order whose status is F, 3 x 4 places."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'")
-    o = F.col("o_orderkey")
+    """Rectangles of a page: one for each order, at 3 x 4 places; those of orders whose status is F fill a place of the grid."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o, full = F.col("o_orderkey"), F.col("o_orderstatus") == "F"
     return orders.select(
         F.floor(o / 120).cast("bigint").alias("doc_id"), (F.floor((o % 120) / 40) + 1).cast("int").alias("page"),
-        (40.0 + (o % 4) * 130.0).cast("double").alias("x"), (100.0 + (F.floor(o / 4) % 3) * 200.0).cast("double").alias("y"), F.lit(130.0).alias("w"), F.lit(200.0).alias("h"),
+        (40.0 + (o % 4) * 130.0).cast("double").alias("x"), (100.0 + (F.floor(o / 4) % 3) * 200.0).cast("double").alias("y"), F.when(full, 130.0).otherwise(20.0).alias("w"), F.when(full, 200.0).otherwise(12.0).alias("h"),
     ).distinct()
 
 
 RECTS = """
 rects AS (
   SELECT DISTINCT CAST(o_orderkey // 120 AS BIGINT) AS doc_id, CAST((o_orderkey % 120) // 40 + 1 AS INTEGER) AS page, (40.0 + (o_orderkey % 4) * 130.0)::DOUBLE AS x,
-         (100.0 + ((o_orderkey // 4) % 3) * 200.0)::DOUBLE AS y, 130.0::DOUBLE AS w, 200.0::DOUBLE AS h
-  FROM orders WHERE o_orderstatus = 'F'
+         (100.0 + ((o_orderkey // 4) % 3) * 200.0)::DOUBLE AS y, CASE WHEN o_orderstatus = 'F' THEN 130.0::DOUBLE ELSE 20.0::DOUBLE END AS w, CASE WHEN o_orderstatus = 'F' THEN 200.0::DOUBLE ELSE 12.0::DOUBLE END AS h
+  FROM orders
 )"""

@@ -198,16 +198,16 @@ HIT = "r.doc_id = s.doc_id AND r.page = s.page AND s.x < r.x + r.w AND r.x < s.x
 
 def _regions(spark, d):
     spans = mapped.spans(spark, d).withColumns({"x0": F.col("x"), "y0": F.col("y"), "x1": F.col("x") + F.col("width"), "y1": F.col("y") + F.col("font_size")})
-    r = mapped.rects(spark, d).filter("x > 200").select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    r = mapped.rects(spark, d).select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
     return spans, r
 
 
-@query("redact_overlap", f"WITH {mapped.SPANS}, {mapped.RECTS} SELECT doc_id, page, line_idx, span_idx, text FROM spans s WHERE EXISTS (SELECT 1 FROM rects r WHERE r.x > 200 AND {HIT})")
+@query("redact_overlap", f"WITH {mapped.SPANS}, {mapped.RECTS} SELECT doc_id, page, line_idx, span_idx, text FROM spans s WHERE EXISTS (SELECT 1 FROM rects r WHERE {HIT})")
 def redact_overlap(spark, d):
     return security.redact_regions(*_regions(spark, d))[1].select(*PAGE, "line_idx", "span_idx", "text")
 
 
-@query("redact_survivors", f"WITH {mapped.SPANS}, {mapped.RECTS} SELECT doc_id, page, count(*) AS n FROM spans s WHERE NOT EXISTS (SELECT 1 FROM rects r WHERE r.x > 200 AND {HIT}) GROUP BY doc_id, page")
+@query("redact_survivors", f"WITH {mapped.SPANS}, {mapped.RECTS} SELECT doc_id, page, count(*) AS n FROM spans s WHERE NOT EXISTS (SELECT 1 FROM rects r WHERE {HIT}) GROUP BY doc_id, page")
 def redact_survivors(spark, d):
     return security.redact_regions(*_regions(spark, d))[0].groupBy(*PAGE).agg(F.count("*").alias("n"))
 

@@ -47,9 +47,10 @@ def detect_html(spark, d):
     return read(spark, d, "pages").select("page_id", detect.looks_like_html(F.col("html")).alias("is_html"))
 
 
-@query("format_facts", "SELECT * FROM (VALUES ('pdf', 'pdf', 'application/pdf'), ('html', 'html', 'text/html'), ('epub', 'epub', 'application/epub+zip'), ('markdown', 'md', 'text/markdown'), ('unknown', '', 'application/octet-stream')) AS f(format, extension, mime)")
+@query("format_facts", """SELECT * FROM (VALUES ('pdf', 'pdf', 'application/pdf', 'PDF'), ('docx', 'docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'Word document'), ('xlsx', 'xlsx', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 'Excel workbook'),
+  ('pptx', 'pptx', 'application/vnd.openxmlformats-officedocument.presentationml.presentation', 'PowerPoint presentation'), ('html', 'html', 'text/html', 'HTML'), ('epub', 'epub', 'application/epub+zip', 'EPUB'), ('markdown', 'md', 'text/markdown', 'Markdown'), ('unknown', '', 'application/octet-stream', 'unknown')) AS f(format, extension, mime, name)""")
 def format_facts(spark, d):
-    return detect.facts(spark).filter(F.col("format").isin("pdf", "html", "epub", "markdown", "unknown")).drop("name")
+    return detect.facts(spark)
 
 
 HEADS = r"heads AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) AS tag, generate_subscripts(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'), 1) - 1 AS ord FROM pages)"

@@ -111,9 +111,12 @@ def fold_pages(doc: dict) -> None:
 
 def parse(content: bytes | None, fmt: str | None, password: str | None = None, want: set[str] | None = None) -> dict:
     """One document as a dict of FIELDS, or those of want; what goes wrong is in error, with its code and
-    the first MESSAGE characters of its message."""
+    the first MESSAGE characters of its message. fmt is the format; with ? before it, only where the content
+    doesn't tell."""
     want = set(FIELDS) if want is None else want
+    named = fmt.removeprefix("?") if fmt else None
     fmt = fmt if fmt in READERS else detect.of_bytes(content)
+    fmt = named if fmt not in READERS and named in READERS and content else fmt
     out: dict = {k: None for k in ("page_count", "text", "metadata", "error")} | {"format": fmt} | {p: [] for p in PARTS}
     try:
         if not content:
@@ -284,10 +287,10 @@ class Documents:
 
 
 def open_files(spark: SparkSession, path: str, fmt: str | None = None, password: str | None = None) -> Documents:
-    """The files that a path or glob names; no match is an error of Spark. Content tells the format before the name does."""
+    """The files that a path or glob names; no match is an error of Spark. Content tells the format before the name does, but for Markdown."""
     files = spark.read.format("binaryFile").load(path)
     by_name = detect.by_extension(F.col("path"))
-    hint = F.lit(fmt) if fmt else F.when(by_name.isin("markdown"), by_name)
+    hint = F.lit(fmt) if fmt else F.when(by_name == "markdown", by_name).otherwise(F.concat(F.lit("?"), by_name))
     return Documents(files.select(F.col("path").alias("doc_id"), "content", hint.alias("_fmt")), password)
 
 
