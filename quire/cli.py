@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import pipeline, storage
-from quire.operators import compare, convert, forms, mutate, pdfsets, search, validate
-from quire.sources import pdfedit, pdffacts, reader
+from quire.operators import compare, convert, forms, mutate, pdfsets, search, security, validate
+from quire.sources import pdfedit, pdffacts, reader, sign
 
 TABLES = {"info": "files", "text": "texts", "structure": "blocks", "tables": "cells", "images": "images", "bookmarks": "bookmarks", "annotations": "annotations", "links": "links", "metadata": "metadata", "pages": "pages", "spans": "spans"}
 
@@ -35,6 +35,7 @@ EDITS: dict[str, tuple[str, list]] = {
     "sanitize": ("without scripts, actions, embedded files and links", [(("--keep-links",), {"action": "store_true"})]),
     "optimize": ("without what is unused or repeated", [(("--strip-metadata",), {"action": "store_true"})]),
     "encrypt": ("with a password", [(("password",), {}), (("--owner",), {}), (("--algorithm",), {"choices": ["rc4", "aes128", "aes256"], "default": "aes128"})]),
+    "sign": ("signed by a key and a certificate (DER files)", [(("key",), {}), (("certificate",), {}), (("--reason",), {}), (("--name",), {})]),
     "archive": ("as an archive file", [(("--level",), {"choices": ["1a", "1b", "2b"], "default": "1b"})]),
     "fill": ("form fields set", [(("values",), {"nargs": "+", "help": "name=value"})]),
 }
@@ -69,7 +70,7 @@ def edit(spark: SparkSession, a: argparse.Namespace) -> int:
             "watermark": lambda: (pdfedit.watermark, {"text": a.text, "size": a.size, "angle": a.angle, "opacity": a.opacity, "position": a.position, "on": on}),
             "redact": lambda: (pdfedit.redact, {"pattern": a.pattern, "regex": a.regex, "case_sensitive": a.case_sensitive}), "sanitize": lambda: (pdfedit.sanitize, {"links": not a.keep_links}),
             "optimize": lambda: (pdfedit.optimize, {"strip_metadata": a.strip_metadata}), "encrypt": lambda: (pdfedit.encrypt, {"user": a.password, "owner": a.owner, "algorithm": a.algorithm}),
-            "archive": lambda: (pdffacts.to_pdf_a, {"level": a.level}), "fill": lambda: (pdfedit.fill_form, {"values": dict(v.split("=", 1) for v in a.values)}),
+            "sign": lambda: (sign.sign, {"key": storage.get(a.key), "cert": storage.get(a.certificate), "reason": a.reason, "name": a.name}), "archive": lambda: (pdffacts.to_pdf_a, {"level": a.level}), "fill": lambda: (pdfedit.fill_form, {"values": dict(v.split("=", 1) for v in a.values)}),
         }
         fn, options = edits[a.command]()
         made = pdfsets.edited(files, fn, **options)
@@ -111,6 +112,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--standard", choices=["headings", "pdf_a", "pdf_ua"], default="headings")
     s.add_argument("--level", choices=["1a", "1b", "2b"], default="1b")
     sub.add_parser("form").add_argument("path")
+    sub.add_parser("verify", help="the signatures of files").add_argument("path")
     sub.add_parser("toc").add_argument("path")
     for name, (help_, options) in EDITS.items():
         s = sub.add_parser(name, help=help_)
@@ -190,6 +192,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(forms.qualified(docs.part("fields")).join(docs.part("fields").select("doc_id", "id", "value"), ["doc_id", "id"]), a.json)
     elif a.command == "toc":
         show(mutate.toc(docs.blocks.withColumn("o", F.col("page") * 1_000_000 + F.col("block_idx")), ["doc_id"], "o"), a.json)
+    elif a.command == "verify":
+        files = spark.read.format("binaryFile").load(a.path).select(F.col("path").alias("doc_id"), "content")
+        return 0 if show(security.certificate_status(pdfsets.signatures(files).drop("self_signed")), a.json) else 1
     elif a.command == "validate" and a.standard != "headings":
         files = spark.read.format("binaryFile").load(a.path).select(F.col("path").alias("doc_id"), "content")
         show(pdfsets.issues(files, a.standard, a.level), a.json)

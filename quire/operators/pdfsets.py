@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.sources import pdfedit, pdffacts
+from quire.sources import pdfedit, pdffacts, sign
 
 ISSUES = "array<struct<severity:string,rule:string,message:string,page:int>>"
 
@@ -82,3 +83,26 @@ def issues(files: DataFrame, standard: str = "pdf_a", level: str = "1b", key: st
         return pd.Series(out)
 
     return files.select(key, F.explode(F.pandas_udf(run, ISSUES)(content)).alias("i")).select(key, "i.*")
+
+
+SIGNATURE = (
+    "array<struct<field:string,name:string,reason:string,location:string,date:string,covers_whole_file:boolean,integrity_ok:boolean,has_timestamp:boolean,has_crl:boolean,has_ocsp:boolean,"
+    "subject:string,issuer:string,serial:bigint,not_before:double,not_after:double,self_signed:boolean>>"
+)
+
+
+def signatures(files: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, SIGNATURE's fields) of the signatures of files; a file that can't be read has none. security.certificate_status()
+    and security.long_term() judge them further."""
+
+    def run(found: pd.Series) -> pd.Series:
+        out = []
+        for c in found:
+            try:
+                out.append([{k: v.timestamp() if isinstance(v, datetime) else v for k, v in s.items()} for s in sign.signatures(bytes(c))])
+            except Exception:
+                out.append([])
+        return pd.Series(out)
+
+    found = files.select(key, F.explode(F.pandas_udf(run, SIGNATURE)(content)).alias("s")).select(key, "s.*")
+    return found.withColumns({c: F.timestamp_seconds(c) for c in ("not_before", "not_after")})

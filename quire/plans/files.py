@@ -9,8 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire import pipeline, storage
-from quire.operators import convert, pdfsets
-from quire.sources import pdf, pdfedit, pdffacts, reader
+from quire.operators import convert, pdfsets, security
+from quire.sources import pdf, pdfedit, pdffacts, reader, sign
 
 QUERIES = []
 
@@ -520,3 +520,20 @@ def pdf_forms_filled(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", F.pandas_udf(make, "binary")("p_partkey").alias("content"))
     made = pdfsets.edited(p, pdfedit.fill_form, values=F.struct(F.col("p_name").alias("top.name"), F.lit("no").alias("top.locked")))
     return reader.open_table(made, "doc_id", "content", "pdf").part("fields").select("doc_id", "t", "value")
+
+
+@query("pdf_signatures", "SELECT s_suppkey AS doc_id, s_name AS name, s_suppkey % 2 = 0 AS integrity_ok, true AS covers_whole_file, 'CN=signer' AS subject, s_suppkey AS serial, true AS self_signed, s_suppkey % 3 > 0 AS date_valid FROM supplier")
+def pdf_signatures(spark, d):
+    """Signed files, every second of which was changed afterwards; every third certificate isn't valid yet."""
+
+    def make(found: pd.DataFrame) -> pd.Series:
+        out = []
+        for k, n, c in zip(found["doc_id"], found["name"], found["content"]):
+            made = sign.sign(bytes(c), *sign.identity("signer", begins=-3600 if k % 3 else 864_000, serial=int(k)), name=n)
+            out.append(made if k % 2 == 0 else made.replace(b"/Count", b"/Cuont"))
+        return pd.Series(out)
+
+    names = read(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("name"))
+    files = _pdfs(spark, d).join(names, "doc_id").select("doc_id", F.pandas_udf(make, "binary")(F.struct("doc_id", "name", "content")).alias("content"))
+    found = security.certificate_status(pdfsets.signatures(files).drop("self_signed")).select("doc_id", "name", "integrity_ok", "covers_whole_file", "subject", "serial", "self_signed", "date_valid")
+    return found

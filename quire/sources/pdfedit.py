@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import cos, radians, sin
 
@@ -177,9 +178,10 @@ def pages_of(pdf: Pdf) -> list[Page]:
     return [Page(pdf, i) for i in range(1, len(page_refs(pdf)) + 1)]
 
 
-def assemble(pages: list[Page], out: Out | None = None, meta: dict[str, str] | None = None, catalog: dict | None = None, outline: list[dict] | None = None, encrypt: dict | None = None, keep: bool = True) -> bytes:
+def assemble(pages: list[Page], out: Out | None = None, meta: dict[str, str] | None = None, catalog: dict | Callable[[], dict] | None = None, outline: list[dict] | None = None, encrypt: dict | None = None, keep: bool = True) -> bytes:
     """A file of the pages. The first file's catalog entries come along if keep, with the fields of all
-    files' forms; catalog replaces entries (None takes one off), meta the information, outline the
+    files' forms; catalog replaces entries (None takes one off; a function is called once pages have their
+    places), meta the information, outline the
     bookmarks. Links to pages that aren't in the new file lead nowhere."""
     out = out or Out()
     if not pages:
@@ -208,7 +210,7 @@ def assemble(pages: list[Page], out: Out | None = None, meta: dict[str, str] | N
         forms = [(f, x) for f, x in forms if isinstance(x, dict)]
         if forms and len(files) > 1:
             top["AcroForm"] = out.copy(forms[0][0], {k: v for k, v in forms[0][1].items() if k != "Fields"}) | {"Fields": [out.copy(f, x) for f, form in forms for x in f.get(form, "Fields") or []]}
-    top |= catalog or {}
+    top |= (catalog() if callable(catalog) else catalog) or {}
     if outline:
         top["Outlines"] = _outline(out, outline, kids)
     out.objects[root[0] - 1] = {"Type": Name("Catalog"), "Pages": tree} | {k: v for k, v in top.items() if v is not None}

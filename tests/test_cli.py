@@ -46,6 +46,14 @@ def test_pdf_commands(spark, tmp_path, capsys):
     assert run("sanitize", a, to) == 0 and run("optimize", a, to, "--strip-metadata") == 0 and run("archive", a, to) == 0
     assert run("fill", a, to, "x=new") == 0 and pdf.read((tmp_path / "out" / "a.pdf").read_bytes())["fields"][0]["value"] == "new"
     assert run("encrypt", a, to, "pw", "--algorithm", "aes256") == 0 and len(texts((tmp_path / "out" / "a.pdf").read_bytes(), password="pw")) == 3
+    from quire.sources import sign
+
+    key, cert = sign.identity("me")
+    (tmp_path / "k").write_bytes(key)
+    (tmp_path / "c").write_bytes(cert)
+    assert run("verify", a) == 1 and run("sign", a, to, tmp_path / "k", tmp_path / "c") == 0
+    capsys.readouterr()
+    assert run("--json", "verify", tmp_path / "out" / "a.pdf") == 0 and '"integrity_ok": true' in capsys.readouterr().out
     assert run("reorder", a, to, "9") == 2 and run("delete", a, to, "x") == 1
     capsys.readouterr()
     assert run("validate", a, "--standard", "pdf_ua") == 0 and "ua.tab_order" in capsys.readouterr().out

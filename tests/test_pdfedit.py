@@ -104,3 +104,24 @@ def test_bookmarks_annotations_forms():
     filled, left = pdfedit.fill_form(form, {"top.x": "new", "top.locked": "no", "none": "z"})
     assert {f["t"]: f["value"] for f in pdf.read(filled)["fields"]} == {"top": None, "x": "new", "locked": None} and left == ["none", "top.locked"]
     assert len(pdf.read(pdfedit.merge([filled, filled]))["fields"]) == 6
+
+
+def test_signatures():
+    from quire.sources import sign
+
+    key, cert = sign.identity("Ann Ö", serial=7)
+    told = sign.certificate(cert)
+    assert told["subject"] == "CN=Ann Ö" and told["self_signed"] and told["serial"] == 7 and (told["not_after"] - told["not_before"]).days == 365
+    made = sign.sign(book("a"), key, cert, name="Ann", reason="because", at=0)
+    (s,) = sign.signatures(made)
+    assert (s["name"], s["reason"], s["date"], s["covers_whole_file"], s["integrity_ok"], s["subject"], s["has_timestamp"]) == ("Ann", "because", "D:19700101000000Z", True, True, "CN=Ann Ö", False)
+    assert texts(made) == texts(book("a"))
+    (changed,) = sign.signatures(made.replace(b"page 2", b"page 9"))
+    assert not changed["integrity_ok"] and changed["covers_whole_file"]
+    (longer,) = sign.signatures(made + b"% more")
+    assert longer["integrity_ok"] and not longer["covers_whole_file"]
+    form = book("a", catalog=b"/AcroForm << /Fields [11 0 R] >>", more=[b"<< /T (x) /FT /Tx /V (old) >>"])
+    assert {f["t"] for f in pdf.read(sign.sign(form, key, cert))["fields"]} == {"x", "Signature1"}
+    assert sign.signatures(book("a")) == [] and sign.checked(b"x", b"not a signature") == (False, None)
+    with pytest.raises(pdf.PdfError):
+        sign.detached(b"x", b"no key", cert)
