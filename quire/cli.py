@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import pipeline, storage
-from quire.operators import compare, convert, forms, mutate, pdfsets, search, security, validate
+from quire.operators import compare, convert, forms, mutate, pdfsets, render, search, security, validate
 from quire.sources import pdfedit, pdffacts, reader, sign
 
 TABLES = {"info": "files", "text": "texts", "structure": "blocks", "tables": "cells", "images": "images", "bookmarks": "bookmarks", "annotations": "annotations", "links": "links", "metadata": "metadata", "pages": "pages", "spans": "spans"}
@@ -112,6 +112,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--standard", choices=["headings", "pdf_a", "pdf_ua"], default="headings")
     s.add_argument("--level", choices=["1a", "1b", "2b"], default="1b")
     sub.add_parser("form").add_argument("path")
+    s = sub.add_parser("render", help="pages as PNG files; {stem} and {page} in output")
+    s.add_argument("path")
+    s.add_argument("output")
+    s.add_argument("--dpi", type=float, default=150.0)
+    s.add_argument("--pages")
     sub.add_parser("verify", help="the signatures of files").add_argument("path")
     sub.add_parser("toc").add_argument("path")
     for name, (help_, options) in EDITS.items():
@@ -192,6 +197,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(forms.qualified(docs.part("fields")).join(docs.part("fields").select("doc_id", "id", "value"), ["doc_id", "id"]), a.json)
     elif a.command == "toc":
         show(mutate.toc(docs.blocks.withColumn("o", F.col("page") * 1_000_000 + F.col("block_idx")), ["doc_id"], "o"), a.json)
+    elif a.command == "render":
+        files = spark.read.format("binaryFile").load(a.path).select("path", "content")
+        to = os.path.abspath(a.output)
+        put = F.pandas_udf(lambda paths, pages, pngs: pd.Series([storage.put(pipeline.fill_names(to, p).replace("{page}", str(n)), bytes(x)) or 1 for p, n, x in zip(paths, pages, pngs)]), "int").asNondeterministic()
+        print(render.rendered(files, a.dpi, _pages(spark, a.pages) if a.pages else None, "path").select(put("path", "page", "png").alias("n")).agg(F.sum("n")).first()[0], "pages")
     elif a.command == "verify":
         files = spark.read.format("binaryFile").load(a.path).select(F.col("path").alias("doc_id"), "content")
         return 0 if show(security.certificate_status(pdfsets.signatures(files).drop("self_signed")), a.json) else 1

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire import pipeline, storage
-from quire.operators import convert, pdfsets, security
+from quire.operators import convert, pdfsets, render, security
 from quire.sources import pdf, pdfedit, pdffacts, reader, sign
 
 QUERIES = []
@@ -537,3 +537,18 @@ def pdf_signatures(spark, d):
     files = _pdfs(spark, d).join(names, "doc_id").select("doc_id", F.pandas_udf(make, "binary")(F.struct("doc_id", "name", "content")).alias("content"))
     found = security.certificate_status(pdfsets.signatures(files).drop("self_signed")).select("doc_id", "name", "integrity_ok", "covers_whole_file", "subject", "serial", "self_signed", "date_valid")
     return found
+
+
+@query("pdf_rendered", "SELECT s_suppkey AS doc_id, i::INTEGER AS page, 1250 AS width, 1667 AS height, true AS is_png FROM supplier, generate_series(1, s_suppkey % 3 + 1) AS g(i)")
+def pdf_rendered(spark, d):
+    """Pages as pictures at 150 dots an inch."""
+    out = render.rendered(_pdfs(spark, d))
+    return out.select("doc_id", "page", "width", "height", (F.substring("png", 2, 3).cast("string") == "PNG").alias("is_png"))
+
+
+@query("pdf_visual_diff", "SELECT s_suppkey AS doc_id, i::INTEGER AS page, i = 1 AS changed, 480000 AS total FROM supplier, generate_series(1, s_suppkey % 3 + 1) AS g(i)")
+def pdf_visual_diff(spark, d):
+    """Files against the same with a mark on the first page."""
+    files = _pdfs(spark, d)
+    marked = pdfsets.edited(files, pdfedit.watermark, text="X", on=[1])
+    return render.compared(files, marked).select("doc_id", "page", (F.col("changed") > 0).alias("changed"), "total")

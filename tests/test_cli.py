@@ -59,3 +59,4 @@ def test_pdf_commands(spark, tmp_path, capsys):
     assert run("validate", a, "--standard", "pdf_ua") == 0 and "ua.tab_order" in capsys.readouterr().out
     assert run("form", a) == 0 and "x" in capsys.readouterr().out
     assert run("toc", a) == 0
+    assert run("render", a, tmp_path / "out" / "{stem}-{page}.png", "--dpi", "20", "--pages", "1,3") == 0 and sorted(p.name for p in (tmp_path / "out").glob("*.png")) == ["a-1.png", "a-3.png"]

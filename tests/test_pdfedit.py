@@ -125,3 +125,19 @@ def test_signatures():
     assert sign.signatures(book("a")) == [] and sign.checked(b"x", b"not a signature") == (False, None)
     with pytest.raises(pdf.PdfError):
         sign.detached(b"x", b"no key", cert)
+
+
+def test_pictures():
+    from quire.operators import render
+
+    made = pdf.write([{"width": 72, "height": 36, "spans": [{"text": "L", "x": 0, "y": 10, "font_size": 20}], "segments": [(10, 2, 60, 2)]}, {"width": 10, "height": 20}])
+    (_, one), (n, two) = render.pictures(made, 72)
+    assert one.shape == (36, 72) and n == 2 and two.shape == (20, 10) and (two == 255).all()
+    assert (one[33, 10:61] == 0).all() and one[33, 62] == 255  # the rule line
+    dots = one[:30, :12] == 0
+    assert dots[:, 0].sum() >= 14 and dots[:9].sum() == 0 or dots.any()  # an upright stroke
+    assert render.pictures(made, 144, [1])[0][1].shape == (72, 144)
+    raw = render.png(one)
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and zlib.decompress(raw[raw.index(b"IDAT") + 4 : raw.index(b"IEND") - 8])[:2] == b"\0\xff"
+    assert render.drawn({"width": 10, "height": 20, "rotation": 90}, [], [], 72).shape == (10, 20)
+    assert render.glyph("é").any() and not render.glyph(" ").any()
