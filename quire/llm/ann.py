@@ -276,3 +276,16 @@ def _neighbours(pts: DataFrame, dim: int, k: int, m: int, confidence: float, sha
 def query(spark, sf_dir: str) -> DataFrame:
     out = neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)
     return out.withColumn("distance", F.round("distance", 6))
+
+
+#: By all rows; the query is approximate, and agrees with it where no search ends early for want of near neighbours.
+SQL = f"""
+WITH e AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), d AS (
+  SELECT q.vec_id, e.vec_id AS neighbour_id, list_distance(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % {EVERY} = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS rank FROM d
+)
+SELECT vec_id, rank::INTEGER AS rank, neighbour_id, round(distance, 6) AS distance FROM r WHERE rank <= {K}
+"""

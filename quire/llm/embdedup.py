@@ -499,3 +499,18 @@ def _duplicates(pts: DataFrame, threshold: float, shard: int, branch: int, pool:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: By all pairs.
+SQL = f"""
+WITH RECURSIVE e AS (
+  SELECT DISTINCT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
+), pairs AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}
+), links AS (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), reach AS (
+  SELECT a AS id, b AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT id AS vec_id, min(other) AS kept_vec_id FROM reach GROUP BY id HAVING min(other) < id
+"""

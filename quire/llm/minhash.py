@@ -340,3 +340,27 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **ho
 
 def query(spark, sf_dir: str) -> DataFrame:
     return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: By all texts that share a shingle; without the estimate that pairs need before they are verified.
+SQL = rf"""
+WITH RECURSIVE texts AS (
+  SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text
+), words AS (
+  SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM texts
+), shingles AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + {WORDS - 1}], ' ') FOR i IN range(1, len(w) - {WORDS - 2})] END) AS s FROM words WHERE len(w) > 0
+), sizes AS (
+  SELECT id, count(*) AS n FROM shingles GROUP BY id
+), pairs AS (
+  SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.id < y.id GROUP BY x.id, y.id) p
+  JOIN sizes sa ON sa.id = a JOIN sizes sb ON sb.id = b WHERE p.n >= {THRESHOLD} * (sa.n + sb.n - p.n)
+), links AS (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), reach AS (
+  SELECT a AS id, b AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+), kept AS (
+  SELECT t.text, least(t.id, (SELECT min(other) FROM reach WHERE reach.id = t.id)) AS keep FROM texts t
+)
+SELECT doc_id, keep AS kept_doc_id FROM documents JOIN kept USING (text) WHERE doc_id <> keep
+"""

@@ -22,7 +22,10 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_minhash": minhash.SQL,
         "op3_mixing": mixing.SQL,
         "op4_linededup": linededup.SQL,
         "op5_urlfilter": urlfilter.SQL,
+        "op9_ann": ann.SQL,
+        "op10_embdedup": embdedup.SQL,
     }
