@@ -27,8 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """The URI of a folder, not yet made, in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """The URI of a folder, not yet made, in the shared folder. It is of this session: all of them go when its
+    driver ends."""
+    sc = spark.sparkContext
+    home = getattr(sc, "quire_home", None)
+    if home is None:
+        home = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(home)
+        where = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        where.mkdirs(path)
+        where.deleteOnExit(path)
+        sc.quire_home = home
+    return f"{home}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -299,3 +299,20 @@ def test_pages_by_folds_and_by_joins(spark):
         found += [(page, t, i, j, c) for t, x in enumerate(tables_) for i, row in enumerate(x["rows"]) for j, c in enumerate(row)]
         assert sum(b["type"] == "table" for b in blocks) == len(tables_)
     assert got == want and sorted(found) == cells
+
+
+def test_folders_go_with_the_driver(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+from quire import storage
+s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()
+print('ROWS', storage.stored(s.range(3), 'x').count(), sum(len(f) for _, _, f in __import__('os').walk('{tmp_path}')) > 0)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=120)
+    assert "ROWS 3 True" in out.stdout, out.stderr
+    assert not [n for n in os.listdir(tmp_path) if n.startswith("quire-")]
