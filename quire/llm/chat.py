@@ -126,3 +126,51 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _sql() -> str:
+    """The same in SQL: a recursion from the end for the least costs from each state, one from the start for the choices."""
+    states = list(NEXT)
+    at = {s: i for i, s in enumerate(states, 1)}
+    roles = [*ROLES, None]
+    flat = [(s, r, *c) for s in states for r in roles for c in CHOICES[s, r]]
+    number = {(s, r, i): k for k, (s, r, i) in enumerate(((s, r, i) for s in states for r in roles for i in range(len(CHOICES[s, r]))), 1)}
+    said = lambda r: "'?'" if r is None else f"'{r}'"
+    mark = lambda r: f"'{OPEN}{r}' || chr(10) || '{CLOSE}' || chr(10)"
+    empty = lambda way: " || ".join(map(mark, way)) or "''"
+    least = "CASE t.role " + " ".join(f"WHEN {said(r)} THEN [{', '.join('least(' + ', '.join(f'{c[0]} + b.b[{at[c[1]]}]' for c in CHOICES[s, r]) + ')' for s in states)}]" for r in roles) + " END"
+    pick = "CASE t.role " + " ".join(
+        f"WHEN {said(r)} THEN CASE w.state " + " ".join(f"WHEN {at[s]} THEN CASE " + " ".join(f"WHEN {c[0]} + b.b[{at[c[1]]}] = a.b[{at[s]}] THEN {number[s, r, i]}" for i, c in enumerate(CHOICES[s, r])) + " END" for s in states) + " END" for r in roles
+    ) + " END"
+    choices = ", ".join(f"({k}, {at[c[3]]}, '{c[3]}', {c[4]}, {c[3] != c[1]}, {len(c[5])}, {empty(c[5])})" for k, c in enumerate(flat, 1))
+    known = ", ".join(f"('{k}', '{v}')" for k, v in {**{r: r for r in ROLES}, **ALIASES}.items())
+    return f"""
+WITH RECURSIVE known(name, role) AS (VALUES {known}
+), choices(id, to_state, as_role, merged, relabelled, n_way, way) AS (VALUES {choices}
+), ending(state, n, way) AS (VALUES {", ".join(f"({at[s]}, {len(w)}, {empty(w)})" for s, w in ENDING.items())}
+), rows AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN '?' || row_number() OVER () ELSE conv_id::VARCHAR END AS k FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), turns AS (
+  SELECT k, conv_id, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, r.role NULLS FIRST, text NULLS FIRST) AS i, coalesce(known.role, '?') AS role, coalesce(text, '') AS text, count(*) OVER (PARTITION BY k) AS n
+  FROM rows r LEFT JOIN known ON known.name = lower(trim(r.role, ' ' || chr(9) || chr(10) || chr(13)))
+), costs(k, i, b) AS (
+  SELECT DISTINCT k, n + 1, [{", ".join(str(INSERT * len(ENDING[s])) for s in states)}] FROM turns
+  UNION ALL SELECT b.k, b.i - 1, {least} FROM costs b JOIN turns t ON t.k = b.k AND t.i = b.i - 1
+), way(k, i, state, choice) AS (
+  SELECT DISTINCT k, 0::BIGINT, 1, 0 FROM turns
+  UNION ALL SELECT w.k, t.i, c.to_state, c.id FROM way w JOIN turns t ON t.k = w.k AND t.i = w.i + 1 JOIN costs a ON a.k = w.k AND a.i = t.i JOIN costs b ON b.k = w.k AND b.i = t.i + 1 JOIN choices c ON c.id = {pick}
+), steps AS (
+  SELECT t.*, c.*, w.state, sum((NOT c.merged)::INTEGER) OVER (PARTITION BY t.k ORDER BY t.i) AS g FROM turns t JOIN way w ON w.k = t.k AND w.i = t.i JOIN choices c ON c.id = w.choice
+), made AS (
+  SELECT k, g, string_agg(way, '' ORDER BY i) || '{OPEN}' || min(as_role) || chr(10) || replace(string_agg(text, chr(10) ORDER BY i), '<|', '< |') || '{CLOSE}' || chr(10) AS text FROM steps GROUP BY k, g
+), whole AS (
+  SELECT k, string_agg(text, '' ORDER BY g) AS text FROM made GROUP BY k
+), counts AS (
+  SELECT k, any_value(conv_id) AS conv_id, max(i) AS n, max(g) AS groups, sum(merged::INTEGER) AS merged, sum(relabelled::INTEGER) AS relabelled, sum(n_way) AS inserted, arg_max(state, i) AS state FROM steps GROUP BY k
+)
+SELECT c.conv_id, c.n::INTEGER AS n_turns, (c.groups + c.inserted + e.n)::INTEGER AS n_out, costs.b[1]::INTEGER AS cost, c.merged::INTEGER AS merged, c.relabelled::INTEGER AS relabelled, (c.inserted + e.n)::INTEGER AS inserted, w.text || e.way AS text
+FROM counts c JOIN whole w ON w.k = c.k JOIN ending e ON e.state = c.state JOIN costs ON costs.k = c.k AND costs.i = 1
+"""
+
+
+SQL = _sql()

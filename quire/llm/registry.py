@@ -23,6 +23,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_minhash": minhash.SQL,
+        "op2_chat": chat.SQL,
         "op3_mixing": mixing.SQL,
         "op4_linededup": linededup.SQL,
         "op5_urlfilter": urlfilter.SQL,

@@ -83,3 +83,22 @@ def test_query_keeps_every_conversation(spark):
         by.setdefault(r.conv_id, []).append(((r.turn is not None, r.turn), (r.role is not None, r.role or ""), (r.text is not None, r.text or ""), r.role))
     for r in out:
         assert r.cost == brute([chat.role_of(t[3]) for t in sorted(by[r.conv_id], key=lambda t: t[:3])])
+
+
+def test_sql_on_odd_conversations(spark):
+    """All kinds of roles, nulls, ties and repeats against the SQL twin."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(11)
+    roles = ["system", "user", "assistant", " Human ", "bot", "zzz", "", None]
+    rows = [(r.choice([None, *range(60)]), r.choice([None, 0, 1, 2, 3, 4]), r.choice(roles), r.choice([None, "", "a", "b <|x|>", "é\nf"])) for _ in range(500)]
+    pdf = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", pdf)
+    cur = con.execute(chat.SQL)
+    names = [d[0] for d in cur.description]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(*names).collect()
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(x)) for x in got)
