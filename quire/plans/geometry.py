@@ -247,7 +247,29 @@ def intersections(spark, d):
     return _points(spark, d)
 
 
-@query("lattice_cells")
+#: Points that share a place on either axis are of one table; the cells between the lines of each.
+LATTICE = f"""{POINTS}, reach AS (
+  SELECT doc_id, page, px, py, px AS qx, py AS qy FROM points
+  UNION SELECT r.doc_id, r.page, r.px, r.py, p.px, p.py FROM reach r JOIN points p ON p.doc_id = r.doc_id AND p.page = r.page AND (p.px = r.qx OR p.py = r.qy)
+), comps AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, page, c) AS n FROM (SELECT doc_id, page, px, py, min(qx * 100000 + qy) AS c FROM reach GROUP BY doc_id, page, px, py)
+), ex AS (
+  SELECT *, row_number() OVER w - 1 AS col, lead(px) OVER w AS nx FROM (SELECT DISTINCT doc_id, page, c, px FROM comps WHERE n >= 4) WINDOW w AS (PARTITION BY doc_id, page, c ORDER BY px)
+), ey AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page, c ORDER BY py DESC) - 2 AS row, lead(py) OVER (PARTITION BY doc_id, page, c ORDER BY py) AS ny FROM (SELECT DISTINCT doc_id, page, c, py FROM comps WHERE n >= 4)
+), lcells AS (
+  SELECT *, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY c) - 1 AS table_id FROM (
+    SELECT ex.doc_id, ex.page, ex.c, row, col, px AS x0, py AS y0, nx AS x1, ny AS y1, max(row) OVER w AS r, max(col) OVER w AS k FROM ex JOIN ey ON ex.doc_id = ey.doc_id AND ex.page = ey.page AND ex.c = ey.c WHERE nx IS NOT NULL AND ny IS NOT NULL WINDOW w AS (PARTITION BY ex.doc_id, ex.page, ex.c))
+  WHERE r >= 1 AND k >= 1
+), ltexts AS (
+  SELECT c.doc_id, c.page, c.table_id, c.row, c.col, string_agg(s.text, ' ' ORDER BY s.line_idx, s.span_idx) AS text FROM lcells c JOIN spans s ON s.doc_id = c.doc_id AND s.page = c.page
+  AND s.x + s.width / 2 BETWEEN c.x0 AND c.x1 AND s.y BETWEEN c.y0 AND c.y1 GROUP BY ALL
+), lattice AS (
+  SELECT c.doc_id, c.page, c.table_id::INTEGER AS table_id, c.row::INTEGER AS row, c.col::INTEGER AS col, coalesce(trim(t.text), '') AS text, c.x0, c.y0, c.x1, c.y1 FROM lcells c LEFT JOIN ltexts t USING (doc_id, page, table_id, row, col)
+)"""
+
+
+@query("lattice_cells", f"WITH RECURSIVE {LATTICE} SELECT * FROM lattice")
 def lattice_cells(spark, d):
     return tables.lattice(tables.rectangle_segments(mapped.rects(spark, d)), mapped.spans(spark, d))
 
@@ -307,16 +329,21 @@ def stream_boundaries(spark, d):
     return tables.boundaries(found, tables.modal_columns(found)).withColumn("b", F.round("b", 6))
 
 
-@query("stream_tables", f"""WITH {BOUNDS}, hit AS (
+STREAM = f"""{BOUNDS}, hit AS (
   SELECT r.doc_id, r.page, r.table_id, r.row, w.word_idx, w.text, coalesce(max(b.col) FILTER (WHERE (w.w0 + w.w1) / 2 >= b.b - 10), 0) AS col
   FROM words w JOIN runs r USING (doc_id, page, line_idx) JOIN bounds b ON b.doc_id = w.doc_id AND b.page = w.page GROUP BY ALL
-), texts AS (SELECT doc_id, page, table_id, row, col, string_agg(text, ' ' ORDER BY word_idx) AS text FROM hit GROUP BY ALL)
-SELECT r.doc_id, r.page, r.table_id::INTEGER AS table_id, r.row::INTEGER AS row, b.col, coalesce(t.text, '') AS text
-FROM runs r JOIN bounds b ON b.doc_id = r.doc_id AND b.page = r.page LEFT JOIN texts t ON t.doc_id = r.doc_id AND t.page = r.page AND t.table_id = r.table_id AND t.row = r.row AND t.col = b.col""")
+), stexts AS (SELECT doc_id, page, table_id, row, col, string_agg(text, ' ' ORDER BY word_idx) AS text FROM hit GROUP BY ALL
+), stream AS (SELECT r.doc_id, r.page, r.table_id::INTEGER AS table_id, r.row::INTEGER AS row, b.col, coalesce(t.text, '') AS text
+  FROM runs r JOIN bounds b ON b.doc_id = r.doc_id AND b.page = r.page LEFT JOIN stexts t ON t.doc_id = r.doc_id AND t.page = r.page AND t.table_id = r.table_id AND t.row = r.row AND t.col = b.col
+)"""
+
+
+@query("stream_tables", f"WITH {STREAM} SELECT * FROM stream")
 def stream_tables(spark, d):
     return tables.stream(mapped.spans(spark, d))
 
 
-@query("table_strategy")
+@query("table_strategy", f"""WITH RECURSIVE {LATTICE}, {STREAM[len(SPANS) + 2:]} SELECT doc_id, page, table_id, row, col, text, 'lattice' AS strategy FROM lattice
+UNION ALL SELECT doc_id, page, table_id, row, col, text, 'stream' FROM stream s WHERE NOT EXISTS (SELECT 1 FROM lattice l WHERE l.doc_id = s.doc_id AND l.page = s.page)""")
 def table_strategy(spark, d):
     return tables.detect(tables.rectangle_segments(mapped.rects(spark, d)), mapped.spans(spark, d)).select(*PAGE, "table_id", "row", "col", "text", "strategy")
