@@ -370,6 +370,10 @@ def bbox_iou(spark, d):
     return metrics.overlaps(_boxes(spark, d, 0.0), _boxes(spark, d, 3.0)).select("doc_id", "f", "t", F.round("iou", 6).alias("iou"))
 
 
-@query("greedy_match")
+@query("greedy_match", f"""WITH RECURSIVE {IOU}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY iou DESC, f, t) AS n FROM i WHERE iou >= 0.5
+), m AS (SELECT doc_id, 0::BIGINT AS n, []::BIGINT[] AS fs, []::BIGINT[] AS ts, false AS hit, NULL::BIGINT AS f, NULL::BIGINT AS t, NULL::DOUBLE AS iou FROM k WHERE n = 1
+  UNION ALL SELECT k.doc_id, k.n, CASE WHEN ok THEN list_append(fs, k.f) ELSE fs END, CASE WHEN ok THEN list_append(ts, k.t) ELSE ts END, ok, k.f, k.t, k.iou
+  FROM (SELECT m.*, k.f AS kf, k.t AS kt, NOT list_contains(m.fs, k.f) AND NOT list_contains(m.ts, k.t) AS ok FROM m JOIN k ON k.doc_id = m.doc_id AND k.n = m.n + 1) x JOIN k ON k.doc_id = x.doc_id AND k.n = x.n + 1)
+SELECT doc_id, 1 AS page, f, t, round(iou, 6) AS iou FROM m WHERE hit""")
 def greedy_match(spark, d):
-    return metrics.match(metrics.overlaps(_boxes(spark, d, 0.0), _boxes(spark, d, 3.0)))
+    return metrics.match(metrics.overlaps(_boxes(spark, d, 0.0), _boxes(spark, d, 3.0))).withColumn("iou", F.round("iou", 6))
