@@ -198,7 +198,26 @@ def _two(spark, d):
     return a, b, ls(a), ls(b)
 
 
-@query("diff_lines")
+@query("diff_lines", f"""WITH RECURSIVE {PAGES}, a AS (SELECT doc_id, page, text FROM pages_ WHERE NOT (doc_id % 5 = 0 AND page = 1)
+), b AS (SELECT doc_id, page, CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS text FROM pages_ WHERE NOT (doc_id % 7 = 0 AND page = 2)
+), both_ AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page, b.page) AS page, coalesce(string_split(a.text, chr(10)), []) AS x, coalesce(string_split(b.text, chr(10)), []) AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.page = b.page
+), cut AS (SELECT *, coalesce(list_min([i FOR i IN range(1, least(len(x), len(y)) + 1) IF x[i] <> y[i]]) - 1, least(len(x), len(y))) AS s FROM both_
+), q AS (SELECT doc_id, page, s, x[s + 1 :] AS x, y[s + 1 :] AS y, len(x) - s AS n, len(y) - s AS m FROM cut WHERE len(x) + len(y) > 2 * s
+), lengths(doc_id, page, i, best) AS (
+  SELECT doc_id, page, 0::BIGINT, [0::BIGINT FOR k IN range(m + 1)] FROM q
+  UNION ALL SELECT r.doc_id, r.page, r.i + 1, list_prepend(0::BIGINT, [list_max([greatest(r.best[t + 1], r.best[t] + (q.x[r.i + 1] = q.y[t])::BIGINT) FOR t IN range(1, k + 1)]) FOR k IN range(1, q.m + 1)])
+  FROM lengths r JOIN q ON q.doc_id = r.doc_id AND q.page = r.page WHERE r.i < q.n
+), back(doc_id, page, step, i, j, kind, ta, tb, la, lb) AS (
+  SELECT doc_id, page, 0::BIGINT, n, m, 'same', NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT FROM q
+  UNION ALL SELECT doc_id, page, step + 1, CASE WHEN mv = 'added' THEN i ELSE i - 1 END, CASE WHEN mv = 'removed' THEN j ELSE j - 1 END, mv, CASE WHEN mv = 'removed' THEN x[i] END, CASE WHEN mv = 'added' THEN y[j] END, CASE WHEN mv = 'removed' THEN s + i - 1 END, CASE WHEN mv = 'added' THEN s + j - 1 END
+  FROM (SELECT t.doc_id, t.page, t.step, t.i, t.j, q.x, q.y, q.s, CASE WHEN t.i > 0 AND t.j > 0 AND q.x[t.i] = q.y[t.j] THEN 'same' WHEN t.j > 0 AND (t.i = 0 OR r1.best[t.j] >= r0.best[t.j + 1]) THEN 'added' ELSE 'removed' END AS mv
+    FROM back t JOIN q ON q.doc_id = t.doc_id AND q.page = t.page JOIN lengths r1 ON r1.doc_id = t.doc_id AND r1.page = t.page AND r1.i = t.i LEFT JOIN lengths r0 ON r0.doc_id = t.doc_id AND r0.page = t.page AND r0.i = t.i - 1 WHERE t.i + t.j > 0)
+), ops AS (SELECT *, lead(kind) OVER w AS k2, lead(tb) OVER w AS y, lead(lb) OVER w AS ly FROM back WHERE kind <> 'same' WINDOW w AS (PARTITION BY doc_id, page ORDER BY step DESC)
+), same_ AS (SELECT *, coalesce(list_min([c FOR c IN range(1, least(length(ta), length(y)) + 1) IF substr(ta, c, 1) <> substr(y, c, 1)]) - 1, least(length(ta), length(y))) AS c FROM ops
+), marked AS (SELECT *, coalesce(kind = 'removed' AND k2 = 'added' AND least(strlen(ta), strlen(y)) > 0 AND c / least(strlen(ta), strlen(y)) >= 0.3::DOUBLE, false) AS hit FROM same_
+), eaten AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY doc_id, page ORDER BY step DESC), false) AS gone FROM marked)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY step DESC) - 1)::INTEGER AS op_idx, CASE WHEN hit THEN 'changed' ELSE kind END AS kind, ta AS text_a, CASE WHEN hit THEN y ELSE tb END AS text_b, la::INTEGER AS line_a, (CASE WHEN hit THEN ly ELSE lb END)::INTEGER AS line_b
+FROM eaten WHERE NOT gone""")
 def diff_lines(spark, d):
     _, _, a, b = _two(spark, d)
     return compare.diff_lines(a, b)
