@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry, names, text as T
 from quire.operators import compare, convert, forms, markdown, metrics, mutate, pageset, render, search, security, structure, tables, validate
 from quire.operators.lines import PAGE, joined, lines_of
-from quire import pipeline
+from quire import pipeline, storage
 from quire.plans import mapped
 from quire.sources import htmltree, office, pdf, reader
 
@@ -118,7 +118,7 @@ def _decks(spark, d):
         return pd.Series(out)
 
     each = F.struct(F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("body"))
-    decks = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(each)).alias("s")).select("o_custkey", F.pandas_udf(make, "binary")("s").alias("content"))
+    decks = storage.spread(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), "o_custkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list(each)).alias("s")).select("o_custkey", F.pandas_udf(make, "binary")("s").alias("content"))
     return reader.open_table(decks, "o_custkey", "content", "pptx")
 
 
@@ -179,7 +179,7 @@ def data_uri(spark, d):
 @query("page_info", "SELECT s_suppkey AS doc_id, i::INTEGER AS page, 600.0::DOUBLE + s_nationkey AS width, 800.0::DOUBLE + i AS height, 0 AS rotation FROM supplier, generate_series(1, s_suppkey % 3 + 1) AS g(i)")
 def page_info(spark, d):
     make = F.pandas_udf(lambda keys, nations: pd.Series([pdf.write([{"width": 600 + n, "height": 800 + i} for i in range(1, k % 3 + 2)]) for k, n in zip(keys, nations)]), "binary")
-    made = read(spark, d, "supplier").select("s_suppkey", make("s_suppkey", "s_nationkey").alias("content"))
+    made = storage.spread(read(spark, d, "supplier"), "s_suppkey").select("s_suppkey", make("s_suppkey", "s_nationkey").alias("content"))
     return reader.open_table(made, "s_suppkey", "content", "pdf").pages
 
 
@@ -487,7 +487,7 @@ def office_round_trip(spark, d):
         found = [office.slides(convert.pptx_bytes([(n, [b])], {}))[0] for n, b in zip(names_, brands)]
         return pd.DataFrame([(s["title"], s["blocks"][-1]["text"]) for s in found], columns=["heading", "body"])
 
-    out = read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.pandas_udf(trip, "heading string, body string")("p_name", "p_brand").alias("x"))
+    out = storage.spread(read(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.pandas_udf(trip, "heading string, body string")("p_name", "p_brand").alias("x"))
     return out.select("doc_id", "x.heading", "x.body")
 
 
