@@ -33,9 +33,20 @@ def projection(body: DataFrame, width: float) -> DataFrame:
     bins = int(-(-width // 1))
     first = F.greatest(F.floor("x0"), F.lit(0)).cast("int")
     last = F.least(F.ceil("x1"), F.lit(bins)).cast("int") - 1
-    hit = body.filter(last >= first).select(*PAGE, F.explode(F.sequence(first, last)).alias("bin")).groupBy(*PAGE, "bin").agg(F.count("*").alias("n"))
-    every = body.select(*PAGE).distinct().select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(hit, [*PAGE, "bin"], "left").select(*PAGE, "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    ext = F.collect_list(F.struct(first.alias("a"), (last + 1).alias("b")))
+    pages = body.groupBy(*PAGE).agg(ext.alias("_ext"))
+    runs = pages.select(*PAGE, F.explode(cover(F.lit(0), F.lit(bins))).alias("r"))
+    return runs.select(*PAGE, F.explode(F.sequence(F.col("r.i0"), F.col("r.i1") - 1)).alias("bin"), F.col("r.n").cast("bigint").alias("n"))
+
+
+def cover(low: Column, high: Column) -> Column:
+    """An array of (i0, i1, n): the points from low to high in runs over which equally many of the column _ext (a, b)
+    lie. Counts change only where one begins or ends, so only there they are taken."""
+    ends = F.filter(F.concat(F.transform("_ext", lambda e: e["a"].cast("int")), F.transform("_ext", lambda e: e["b"].cast("int"))), lambda p: (p > low) & (p < high))
+    cuts = F.concat(F.array(low), F.array_sort(F.array_distinct(ends)), F.array(high))
+    over = lambda i: F.size(F.filter("_ext", lambda e: (e["a"] <= i) & (i < e["b"])))
+    pairs = F.arrays_zip(F.slice(cuts, 1, F.size(cuts) - 1).alias("i0"), F.slice(cuts, 2, F.size(cuts) - 1).alias("i1"))
+    return F.transform(pairs, lambda p: F.struct(p["i0"].alias("i0"), p["i1"].alias("i1"), over(p["i0"]).alias("n")))
 
 
 def page_layout(zoned: DataFrame, width: float, min_gutter: float = MIN_GUTTER, min_lines: float = MIN_LINES, most: int = MAX_COLUMNS) -> DataFrame:
@@ -52,12 +63,11 @@ def page_layout(zoned: DataFrame, width: float, min_gutter: float = MIN_GUTTER,
     body = F.filter("lines", lambda x: x["zone"] == "body")
     pages = pages.withColumn("_ext", F.transform(body, lambda x: F.struct(F.greatest(F.floor(x["x0"]), F.lit(0)).alias("a"), F.least(F.ceil(x["x1"]), F.lit(bins)).alias("b"), ((x["x0"] + x["x1"]) / 2).alias("mid"))))
     pages = pages.withColumn("_low", F.ceil(F.size("_ext") * 0.02))
-    covered = lambda i: F.size(F.filter("_ext", lambda e: (e["a"] <= i) & (i < e["b"])))
-    low = F.filter(F.sequence(F.lit(margin), F.lit(bins - margin - 1)), lambda i: covered(i) <= F.col("_low"))
+    low = F.filter(cover(F.lit(margin), F.lit(bins - margin)), lambda r: r["n"] <= F.col("_low"))
     run = lambda g0, g1: F.struct(g0.cast("double").alias("g0"), g1.cast("double").alias("g1"), ((g0 + g1) / 2).alias("center"))
     start = F.struct(F.array().cast("array<struct<g0:double,g1:double,center:double>>").alias("done"), F.lit(-1.0).alias("g0"), F.lit(-1.0).alias("g1"))
     closed = lambda a: F.when(a["g1"] - a["g0"] >= min_gutter, F.array_append(a["done"], run(a["g0"], a["g1"]))).otherwise(a["done"])
-    step = lambda a, i: F.when(a["g1"] == i, F.struct(a["done"].alias("done"), a["g0"].alias("g0"), (i + 1.0).alias("g1"))).otherwise(F.struct(closed(a).alias("done"), i.cast("double").alias("g0"), (i + 1.0).alias("g1")))
+    step = lambda a, r: F.when(a["g1"] == r["i0"], F.struct(a["done"].alias("done"), a["g0"].alias("g0"), r["i1"].cast("double").alias("g1"))).otherwise(F.struct(closed(a).alias("done"), r["i0"].cast("double").alias("g0"), r["i1"].cast("double").alias("g1")))
     pages = pages.withColumn("gutters", F.when(F.size("_ext") > 0, F.aggregate(low, start, step, closed)).otherwise(start["done"]))
     ends = F.array_append(F.transform("gutters", lambda g: g["center"]), F.lit(float(width)))
     pages = pages.withColumn("_ends", ends)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType
 
 from quire.functions import geometry
-from quire.operators.lines import PAGE
+from quire.operators.lines import PAGE, sliced
 
 
 def normal(text: Column) -> Column:
@@ -26,19 +27,23 @@ def overlaps(found: DataFrame, truth: DataFrame) -> DataFrame:
 def match(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """One-to-one pairs, the largest overlap first (then the smaller ids), of at least `least`."""
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    cols = ["f", "t", "iou"]
+    schema = ArrayType(StructType.fromDDL(", ".join(f"{c} {types[c]}" for c in cols)))
+    arrow = to_arrow_type(schema)
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "f", "t"], ascending=[False, True, True])
+    def greedy(page: list[dict]) -> list[dict]:
         f, t, keep = set(), set(), []
-        for i, row in enumerate(pdf.itertuples()):
-            if row.f not in f and row.t not in t:
-                f.add(row.f)
-                t.add(row.t)
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    cols = [*PAGE, "f", "t", "iou"]
-    return pairs.select(*cols).filter(F.col("iou") >= least).groupBy(*PAGE).applyInPandas(greedy, ", ".join(f"{c} {types[c]}" for c in cols))
+        for row in page:
+            if row["f"] not in f and row["t"] not in t:
+                f.add(row["f"])
+                t.add(row["t"])
+                keep.append({c: row[c] for c in cols})
+        return keep
+
+    udf = F.arrow_udf(lambda pages: sliced(greedy, arrow, pages), schema).asNondeterministic()
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("_o"), *cols)))
+    pages = pairs.filter(F.col("iou") >= least).groupBy(*PAGE).agg(ranked.alias("_p"))
+    return pages.select(*PAGE, F.explode(udf("_p")).alias("_m")).select(*PAGE, "_m.*")
 
 
 def scores(hit: Column, found: Column, truth: Column) -> list[Column]:
