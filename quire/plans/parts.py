@@ -109,12 +109,8 @@ def _decks(spark, d):
     def make(found: pd.Series) -> pd.Series:
         out = []
         for slides in found:
-            buf = io.BytesIO(convert.pptx_bytes([(s["title"], [s["body"]]) for s in slides], {}))
-            with zipfile.ZipFile(buf, "a") as z:
-                for i, s in enumerate(slides, 1):
-                    if s["o"] % 3 == 0:
-                        z.writestr(f"ppt/notesSlides/notesSlide{i}.xml", f'<p:notes xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>n{s["o"]}</a:t></a:r></a:p></p:notes>')
-            out.append(buf.getvalue())
+            notes = [(f"ppt/notesSlides/notesSlide{i}.xml", f'<p:notes xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>n{s["o"]}</a:t></a:r></a:p></p:notes>') for i, s in enumerate(slides, 1) if s["o"] % 3 == 0]
+            out.append(convert.pptx_bytes([(s["title"], [s["body"]]) for s in slides], {}, notes))
         return pd.Series(out)
 
     each = F.struct(F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("body"))
