@@ -27,12 +27,12 @@ def edited(files: DataFrame, edit: Callable[..., bytes], content: str = "content
 
     def run(found: pd.Series, *values: pd.Series) -> pd.DataFrame:
         rows = []
+        values = [v.to_dict("records") if isinstance(v, pd.DataFrame) else v.tolist() for v in values]
         for i, c in enumerate(found):
             try:
                 if c is None:
                     raise ValueError("there is no content")
-                given = {n: v.iloc[i] for n, v in zip(names, values)}
-                given = {n: v.to_dict() if isinstance(v, pd.Series) else v.tolist() if hasattr(v, "tolist") else v for n, v in given.items()}
+                given = {n: v[i].tolist() if hasattr(v[i], "tolist") else v[i] for n, v in zip(names, values)}
                 made = edit(bytes(c), **same, **given)
                 rows.append((made[0] if isinstance(made, tuple) else made, None))
             except Exception as e:  # a bad file is a row with an error
