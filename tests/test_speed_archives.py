@@ -74,3 +74,13 @@ def test_damaged_archives_give_what_zipfile_gives(monkeypatch):
     for c, f in zip(cases, fast):
         s = taken(c)
         assert f == s, c
+
+
+def test_slides_alike_are_read_once_and_not_shared(monkeypatch):
+    made = convert.pptx_bytes([("T", ["same"]), ("T", ["same"])], {})
+    first = office.slides(made)
+    calls = counted(monkeypatch, office, "_slide")
+    second = office.slides(made)
+    assert not calls and first == second and first[0]["blocks"] == first[1]["blocks"]
+    second[0]["blocks"][0]["text"] = "changed"
+    assert office.slides(made) == first
